@@ -240,3 +240,109 @@ def out(names: list[str], ints: set[str] = frozenset(), keep: set[str] = frozens
         else:
             sel.append(r(c, c))
     return ", ".join(sel)
+
+
+# ----------------------------------------------------------- forecasting ------
+def interp_state(name: str, src: str, fill: list[str], part: str | None = "location",
+                 order: str = "datetime", limit: int = 3) -> str:
+    """CTE ``name`` = ``src`` + ``_rn`` + per column ``c__pi, c__px, c__ni, c__f`` (filled)."""
+    pby = f"PARTITION BY {part} " if part else ""
+    wb = f"({pby}ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    wf = f"({pby}ORDER BY {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    parts = []
+    for c in fill:
+        parts += [f"last_value(CASE WHEN {c} IS NOT NULL THEN _rn END IGNORE NULLS) OVER {wb} AS {c}__pi",
+                  f"last_value({c} IGNORE NULLS) OVER {wb} AS {c}__px",
+                  f"first_value(CASE WHEN {c} IS NOT NULL THEN _rn END IGNORE NULLS) OVER {wf} AS {c}__ni",
+                  f"first_value({c} IGNORE NULLS) OVER {wf} AS {c}__nx"]
+    fills = [f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}__pi IS NULL OR _rn - {c}__pi > {limit} THEN NULL "
+             f"WHEN {c}__ni IS NULL THEN {c}__px ELSE {c}__px + ({c}__nx - {c}__px) * CAST(_rn - {c}__pi AS DOUBLE)"
+             f" / CAST({c}__ni - {c}__pi AS DOUBLE) END AS {c}__f" for c in fill]
+    return (f"{name}_rn AS (SELECT *, row_number() OVER ({pby}ORDER BY {order}) AS _rn FROM {src}),\n"
+            f"{name}_q AS (SELECT *, {', '.join(parts)} FROM {name}_rn),\n"
+            f"{name} AS (SELECT *, {', '.join(fills)} FROM {name}_q)")
+
+
+def view(c: str, j: str, origin_rn: str, rn: str = "_rn") -> str:
+    """Prefix-only value of row ``j`` of column ``c`` as seen from ``origin_rn``."""
+    return (f"CASE WHEN {j}.{c} IS NOT NULL OR {j}.{c}__ni <= {origin_rn} THEN {j}.{c}__f "
+            f"WHEN {j}.{c}__pi IS NOT NULL AND {j}.{rn} - {j}.{c}__pi <= 3 THEN {j}.{c}__px END")
+
+
+def padl(expr: str, n: int) -> str:
+    return f"list_reverse(list_resize(list_reverse({expr}), {n}))"
+
+
+def forecast_state(origin_where: str, truth: bool = False) -> str:
+    """CTEs from ``base`` (and ``wxd``) to ``st``: one row per origin with the state lists."""
+    wcols = ["temperature", "humidity", "wind_speed"]
+    extra = ", count(*) OVER (PARTITION BY location) AS _n" if truth else ""
+    return ",\n".join([
+        "pb AS (SELECT location, datetime, latitude, longitude, pm25, pm10, no2, so2 FROM base)",
+        interp_state("pst", "pb", ["pm25", "pm10", "no2", "so2"]),
+        "wh AS (SELECT datetime, " + ", ".join(f"max({c}) AS {c}" for c in wcols) + " FROM base GROUP BY datetime)",
+        interp_state("wst", "wh", wcols, None),
+        "rows AS (SELECT p.*, w._rn AS _wrn, " + ", ".join(
+            f"w.{c}, w.{c}__pi, w.{c}__px, w.{c}__ni, w.{c}__f" for c in wcols) +
+        f"{extra} FROM pst p LEFT JOIN wst w ON p.datetime = w.datetime)",
+        f"origins AS (SELECT * FROM rows r WHERE {origin_where})",
+        "st0 AS (SELECT o.location, o.datetime AS origin, o._rn AS origin_rn, o._wrn AS owrn, "
+        "o.latitude, o.longitude, " +
+        ", ".join(f"CASE WHEN o.{c} IS NOT NULL THEN o.{c} WHEN o.{c}__pi IS NOT NULL AND o._rn - o.{c}__pi <= 3 "
+                  f"THEN o.{c}__px END AS {c}" for c in ["pm10", "no2", "so2"]) + ", " +
+        padl(f"list({view('pm25', 'j', 'o._rn')} ORDER BY j._rn) FILTER (WHERE j._rn >= o._rn - 23)", 24) + " AS pm, " +
+        padl(f"list({view('temperature', 'j', 'o._wrn', '_wrn')} ORDER BY j._rn) FILTER (WHERE j._rn >= o._rn - 2)", 3) + " AS t3, " +
+        padl(f"list({view('humidity', 'j', 'o._wrn', '_wrn')} ORDER BY j._rn) FILTER (WHERE j._rn >= o._rn - 2)", 3) + " AS h3, " +
+        padl(f"list({view('wind_speed', 'j', 'o._wrn', '_wrn')} ORDER BY j._rn) FILTER (WHERE j._rn >= o._rn - 5)", 6) + " AS w6 "
+        "FROM origins o JOIN rows j ON j.location = o.location AND j._rn BETWEEN o._rn - 23 AND o._rn "
+        "GROUP BY ALL)",
+        "tg AS (SELECT DISTINCT origin, s, origin + s * INTERVAL 1 HOUR AS target FROM st0, range(1, 13) r(s))",
+        "wlast AS (SELECT * FROM wxd ORDER BY datetime DESC LIMIT 1)",
+        "fw AS (SELECT tg.origin, list(coalesce(w.temperature, (SELECT temperature FROM wlast)) ORDER BY tg.s) AS ft, "
+        "list(coalesce(w.humidity, (SELECT humidity FROM wlast)) ORDER BY tg.s) AS fh, "
+        "list(coalesce(w.wind_speed, (SELECT wind_speed FROM wlast)) ORDER BY tg.s) AS fv, "
+        "list(coalesce(w.precipitation, (SELECT precipitation FROM wlast)) ORDER BY tg.s) AS fp "
+        "FROM tg ASOF LEFT JOIN wxd w ON tg.target >= w.datetime GROUP BY tg.origin)",
+        "st AS (SELECT s.*, list_concat(s.t3, f.ft) AS wt, list_concat(s.h3, f.fh) AS wh, "
+        "list_concat(list_slice(s.w6, 4, 6), f.fv) AS ww, list_concat(s.w6, f.fv) AS wf, f.fp AS wp "
+        "FROM st0 s JOIN fw f ON s.origin = f.origin)",
+    ])
+
+
+def _lsum(expr: str) -> str:
+    return f"list_reduce({expr}, lambda a, x: a + x)"
+
+
+def _mean_full(n: int) -> str:
+    sl = f"list_slice(pm, -{n}, -1)"
+    return (f"CASE WHEN len({sl}) = {n} AND len(list_filter({sl}, lambda x: x IS NOT NULL)) = {n} "
+            f"THEN {_lsum(sl)} / {n} END")
+
+
+BLEND_COEFS = [("pm25_lag1", 0.5), ("pm25_roll6", 0.3), ("pm25_roll24", 0.2),
+               ("wind_change_3h", -0.1), ("stagnation_hours_6h", 0.5)]
+
+
+def blend_step(s: int) -> str:
+    feats = {
+        "pm25_lag1": "pm[-1]",
+        "pm25_roll6": _mean_full(6),
+        "pm25_roll24": _mean_full(24),
+        "wind_change_3h": f"ww[{s + 3}] - ww[{s}]",
+        "stagnation_hours_6h": (f"CASE WHEN origin_rn + {s} - 6 >= 1 THEN CAST(list_reduce(list_transform("
+                                f"list_slice(wf, {s}, {s + 5}), lambda v: CASE WHEN v < 2 THEN 1 ELSE 0 END), "
+                                f"lambda a, x: a + x) AS DOUBLE) END"),
+    }
+    raw = "0.0" + "".join(f" + {c} * coalesce(CAST({feats[f]} AS DOUBLE), 0.0)" for f, c in BLEND_COEFS)
+    return f"greatest(0.0, {raw})"
+
+
+def recursion(src: str = "st", horizon: int = 12) -> str:
+    """Unrolled recursive forecast with the persistence blend: CTEs ``r1`` .. ``r{horizon}``."""
+    out = []
+    prev = src
+    for s in range(1, horizon + 1):
+        out.append(f"r{s} AS (SELECT * REPLACE (list_append(pm, {blend_step(s)}) AS pm), "
+                   f"{blend_step(s)} AS p{s} FROM {prev})")
+        prev = f"r{s}"
+    return ",\n".join(out)

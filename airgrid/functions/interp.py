@@ -64,16 +64,17 @@ def interpolate(df: DataFrame, cols: list[str], key: str | None = KEY,
     return out.withColumns(filled).drop(_RN)
 
 
-def interpolation_state(df: DataFrame, c: str, key: str | None = KEY,
+def interpolation_state(df: DataFrame, cols: list[str], key: str | None = KEY,
                         time: str = TIME, limit: int = INTERP_LIMIT) -> DataFrame:
-    """Adds ``_rn`` and ``{c}_pi, _px, _ni, _filled`` used for prefix-only views."""
+    """Adds ``_rn`` and, per column, ``{c}_pi, _px, _ni, _filled`` (prefix-only views)."""
     w = station_window(key, time)
     out = df.withColumn(_RN, F.row_number().over(w))
-    pi, px, ni, nx = _parts(c, w)
-    return out.withColumns({
-        f"{c}_pi": pi, f"{c}_px": px, f"{c}_ni": ni,
-        f"{c}_filled": fill_expr(c, pi, px, ni, nx, limit),
-    })
+    add = {}
+    for c in cols:
+        pi, px, ni, nx = _parts(c, w)
+        add.update({f"{c}_pi": pi, f"{c}_px": px, f"{c}_ni": ni,
+                    f"{c}_filled": fill_expr(c, pi, px, ni, nx, limit)})
+    return out.withColumns(add)
 
 
 def prefix_view(c: str, origin_rn: Column, limit: int = INTERP_LIMIT) -> Column:
