@@ -319,12 +319,17 @@ def _mean_full(n: int) -> str:
             f"THEN {_lsum(sl)} / {n} END")
 
 
-BLEND_COEFS = [("pm25_lag1", 0.5), ("pm25_roll6", 0.3), ("pm25_roll24", 0.2),
-               ("wind_change_3h", -0.1), ("stagnation_hours_6h", 0.5)]
+def _blend_coefs() -> list[tuple[str, float]]:
+    from airgrid.operators.forecast import BLEND
+    return list(BLEND.coefs.items())
 
 
-def blend_step(s: int) -> str:
-    feats = {
+BLEND_COEFS = _blend_coefs()
+
+
+def blend_feats(s: int) -> dict[str, str]:
+    """SQL of the future-row features the blend uses, at step ``s``."""
+    return {
         "pm25_lag1": "pm[-1]",
         "pm25_roll6": _mean_full(6),
         "pm25_roll24": _mean_full(24),
@@ -332,7 +337,14 @@ def blend_step(s: int) -> str:
         "stagnation_hours_6h": (f"CASE WHEN origin_rn + {s} - 6 >= 1 THEN CAST(list_reduce(list_transform("
                                 f"list_slice(wf, {s}, {s + 5}), lambda v: CASE WHEN v < 2 THEN 1 ELSE 0 END), "
                                 f"lambda a, x: a + x) AS DOUBLE) END"),
+        "temperature": f"wt[{s + 3}]",
+        "humidity": f"wh[{s + 3}]",
+        "hour_sin": f"sin(2 * pi() * hour(origin + INTERVAL {s} HOUR) / 24)",
     }
+
+
+def blend_step(s: int) -> str:
+    feats = blend_feats(s)
     raw = "0.0" + "".join(f" + {c} * coalesce(CAST({feats[f]} AS DOUBLE), 0.0)" for f, c in BLEND_COEFS)
     return f"greatest(0.0, {raw})"
 

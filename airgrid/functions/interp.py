@@ -26,15 +26,26 @@ from airgrid.schemas import INTERP_LIMIT, KEY, TIME
 _RN = "_rn"
 
 
-def _parts(c: str, w: WindowSpec) -> tuple[Column, Column, Column, Column]:
+def _reverse(w_key: str | None, time: str) -> WindowSpec:
+    """Running frame over the descending order: "first at or after" in O(n).
+
+    (A ``rowsBetween(0, unboundedFollowing)`` frame is re-aggregated for every
+    row, which is quadratic in the series length.)
+    """
+    w = Window.partitionBy(w_key) if w_key else Window
+    return w.orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _parts(c: str, w: WindowSpec, key: str | None = KEY,
+           time: str = TIME) -> tuple[Column, Column, Column, Column]:
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    ahead = _reverse(key, time)
     x = F.col(c)
     pos = F.when(x.isNotNull(), F.col(_RN))
     pi = F.last(pos, ignorenulls=True).over(back)
     px = F.last(x, ignorenulls=True).over(back)
-    ni = F.first(pos, ignorenulls=True).over(ahead)
-    nx = F.first(x, ignorenulls=True).over(ahead)
+    ni = F.last(pos, ignorenulls=True).over(ahead)
+    nx = F.last(x, ignorenulls=True).over(ahead)
     return pi, px, ni, nx
 
 
@@ -59,7 +70,7 @@ def interpolate(df: DataFrame, cols: list[str], key: str | None = KEY,
     out = df.withColumn(_RN, F.row_number().over(w))
     filled = {}
     for c in cols:
-        pi, px, ni, nx = _parts(c, w)
+        pi, px, ni, nx = _parts(c, w, key, time)
         filled[c] = fill_expr(c, pi, px, ni, nx, limit)
     return out.withColumns(filled).drop(_RN)
 
@@ -71,7 +82,7 @@ def interpolation_state(df: DataFrame, cols: list[str], key: str | None = KEY,
     out = df.withColumn(_RN, F.row_number().over(w))
     add = {}
     for c in cols:
-        pi, px, ni, nx = _parts(c, w)
+        pi, px, ni, nx = _parts(c, w, key, time)
         add.update({f"{c}_pi": pi, f"{c}_px": px, f"{c}_ni": ni,
                     f"{c}_filled": fill_expr(c, pi, px, ni, nx, limit)})
     return out.withColumns(add)

@@ -39,10 +39,13 @@ def resample_station(long: DataFrame, stations: DataFrame,
     """Readings of stations without coordinates -> hourly grid + station metadata.
 
     ``long``: ``location, datetime, parameter, value``; ``stations``: ``location,
-    latitude, longitude`` (one row per station).
+    latitude, longitude`` (one row per station).  Mean per exact timestamp (the
+    pivot), then hourly mean of those, on a gap-free grid per station.
     """
-    hourly = (long.withColumn(TIME, F.date_trunc("hour", TIME).cast("timestamp"))
+    per_ts = (long.where(F.col(TIME).isNotNull())
               .groupBy(KEY, TIME).pivot("parameter", parameters).agg(F.avg("value")))
+    hourly = (per_ts.groupBy(KEY, F.date_trunc("hour", TIME).cast("timestamp").alias(TIME))
+              .agg(*[F.avg(p).alias(p) for p in parameters]))
     grid = hourly_spine(hourly).join(hourly, [KEY, TIME], "left")
     return grid.join(stations.select(KEY, *COORD_COLS), KEY, "left")
 

@@ -209,3 +209,60 @@ def missing_map(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def station_series(df: DataFrame, location: str, col: str = "pm25") -> DataFrame:
     """One station's series."""
     return df.where(F.col(KEY) == location).select(TIME, col)
+
+
+def pca_variance(df: DataFrame, cols: list[str], target_share: float = 0.95) -> DataFrame:
+    """Standardize, full PCA, explained and cumulative variance per component.
+
+    Complete rows only (as the reference drops NULL rows before PCA).  The
+    covariance is a distributed aggregation; only the k x k matrix reaches the driver.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    data = df.select(*cols).na.drop()
+    k = len(cols)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v"),
+                            StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True),
+                            PCA(k=k, inputCol="_s", outputCol="_pca")])
+    model = pipe.fit(data)
+    ev = [float(v) for v in model.stages[-1].explainedVariance]
+    rows, cum = [], 0.0
+    for i, v in enumerate(ev):
+        cum += v
+        rows.append((i + 1, v, cum, int(cum >= target_share)))
+    return df.sparkSession.createDataFrame(
+        rows, "component int, explained_variance double, cumulative double, reaches_target int")
+
+
+def pca_projection(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """2-D projection of the standardized complete rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    data = df.select(*keys, *cols).na.drop()
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v"),
+                            StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True),
+                            PCA(k=2, inputCol="_s", outputCol="_pca")])
+    out = pipe.fit(data).transform(data)
+    arr = vector_to_array("_pca")
+    return out.select(*keys, arr[0].alias("pc1"), arr[1].alias("pc2"))
+
+
+def kmeans_elbow(df: DataFrame, cols: list[str], ks: range = range(2, 10), seed: int = 42,
+                 label_k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """K-means inertia for each k (elbow) and the cluster labels for ``label_k``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    data = df.select(*cols).na.drop()
+    prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v"),
+                            StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True)])
+    scaled = prep.fit(data).transform(data).select("_s").cache()
+    rows, labels = [], None
+    for k in ks:
+        m = KMeans(k=k, seed=seed, featuresCol="_s", predictionCol="cluster").fit(scaled)
+        rows.append((k, float(m.summary.trainingCost)))
+        if k == label_k:
+            labels = m.transform(scaled).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    elbow = df.sparkSession.createDataFrame(rows, "k int, inertia double")
+    return elbow, labels

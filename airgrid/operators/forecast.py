@@ -57,9 +57,13 @@ def asof_weather(targets: DataFrame, weather: DataFrame, target_col: str = "targ
     w = weather.select(F.col(TIME).alias("_wt"), *cols)
     packed = F.struct(F.col("_wt"), *[F.col(c) for c in cols])
     per_hour = w.groupBy(_hour_ceil(F.col("_wt")).alias("_h")).agg(F.max_by(packed, "_wt").alias("_r"))
-    lo = w.agg(F.min(F.date_trunc("hour", "_wt")).alias("lo")).first()["lo"]
-    hi = targets.agg(F.max(F.date_trunc("hour", target_col)).alias("hi")).first()["hi"]
-    last = w.agg(F.max_by(packed, "_wt").alias("_r")).first()["_r"]
+    # two tiny driver-side aggregates: the weather range and last row, the target range
+    wrow = w.agg(F.min(F.date_trunc("hour", "_wt")).alias("lo"),
+                 F.max_by(packed, "_wt").alias("_r")).first()
+    trow = targets.agg(F.max(F.date_trunc("hour", target_col)).alias("hi"),
+                       F.max((F.col(target_col) > F.date_trunc("hour", target_col)).cast("int"))
+                       .alias("off")).first()
+    lo, last, hi = wrow["lo"], wrow["_r"], trow["hi"]
     spark = targets.sparkSession
     if lo is None or hi is None or last is None:
         return targets.withColumns({c: F.lit(None).cast("double") for c in cols})
@@ -74,8 +78,7 @@ def asof_weather(targets: DataFrame, weather: DataFrame, target_col: str = "targ
     # weather rows strictly inside an hour: only needed for off-hour targets
     inner = (w.withColumn("_h", F.date_trunc("hour", "_wt"))
              .where(F.col("_wt") > F.col("_h")))
-    off_hour = base.where(t > F.col("_h")).limit(1).count() > 0
-    if off_hour and inner.limit(1).count() > 0:
+    if trow["off"] and inner.limit(1).count() > 0:
         on_grid = on_grid.withColumn("_id", F.monotonically_increasing_id())
         ok = F.col("_wt") <= t
         cand = (on_grid.join(inner.withColumn("_p", packed).select("_h", "_wt", "_p"), "_h", "left")
@@ -144,7 +147,8 @@ class LinearForecaster(Forecaster):
 
 # The fixed persistence blend used as the SQL-checkable forecaster of the catalog.
 BLEND = LinearForecaster(coefs={"pm25_lag1": 0.5, "pm25_roll6": 0.3, "pm25_roll24": 0.2,
-                                "wind_change_3h": -0.1, "stagnation_hours_6h": 0.5})
+                                "wind_change_3h": -0.1, "stagnation_hours_6h": 0.5,
+                                "temperature": 0.05, "humidity": -0.02, "hour_sin": 1.0})
 
 
 @dataclass
@@ -191,7 +195,7 @@ def _packed(c: str, rn: str) -> Column:
 
 
 def origin_state(base: DataFrame, weather_hours: DataFrame | None = None,
-                 history: int = HISTORY) -> DataFrame:
+                 history: int = HISTORY, last_rows: int | None = None) -> DataFrame:
     """Per (station, row): prefix-only gap-filled state arrays ending at that row.
 
     ``base`` is the un-filled hourly panel.  Weather is filled on the distinct
@@ -207,6 +211,9 @@ def origin_state(base: DataFrame, weather_hours: DataFrame | None = None,
     wsel = [TIME, "_wrn"] + [f"{c}{s}" for c in ["temperature", "humidity", "wind_speed"]
                              for s in ["", "_pi", "_px", "_ni", "_filled"]]
     df = df.drop(*WEATHER_COLS).join(hours.select(*wsel), TIME, "left")
+    if last_rows:
+        top = Window.partitionBy(KEY).orderBy(F.col(TIME).desc())
+        df = df.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= last_rows).drop("_k")
     rn, wrn = F.col("_rn"), F.col("_wrn")
     w24 = w.rowsBetween(-(history - 1), 0)
     w3 = w.rowsBetween(-2, 0)
@@ -415,7 +422,9 @@ def latest_origins(state: DataFrame) -> DataFrame:
 def forecast_latest(base: DataFrame, weather: DataFrame, model: Forecaster, fit=None,
                     horizon: int = HORIZON, explain: bool = False) -> DataFrame:
     """P03/P09 core: forecast ``horizon`` hours from each station's last row."""
-    st = latest_origins(origin_state(base))
+    # only the last HISTORY rows of a station feed its latest state (top-k per group
+    # before the collect windows); the interpolation state itself is computed on all rows
+    st = latest_origins(origin_state(base, last_rows=HISTORY))
     full = assemble_state(st, future_weather(st, weather, horizon))
     return recursive_forecast(full, model, fit, horizon, explain=explain)
 
