@@ -29,13 +29,11 @@ def p09_batch_forecast_job(spark, sf_dir):
 SELECT date_trunc('hour', datetime) AS datetime, location, parameter, """ + sp.r("avg(value)", "value") +
        """, CAST(count(*) AS BIGINT) AS n FROM meas GROUP BY 1, 2, 3""")
 def r01_stream_hourly_means(spark, sf_dir):
-    """Readings landed as 8 files, streamed 2 files per trigger (availableNow) into hourly means.
-
-    A station-hour spread over several files is updated by several micro-batches.
-    """
+    """Readings landed in time order (one file per 5 days), streamed one file per
+    trigger (availableNow) into watermarked hourly means."""
     meas, _ = cm.inputs(spark, sf_dir, hourly=False)
     src = scratch_path(spark, "landing")
-    meas.repartition(8).write.mode("overwrite").parquet(src)
+    hourly.land_in_order(meas, src, chunk_days=5)
     sink = scratch_path(spark, "hourly-sink")
-    hourly.run_hourly(spark, src, sink, scratch_path(spark, "hourly-ckpt"), files_per_trigger=2)
+    hourly.run_hourly(spark, src, sink, scratch_path(spark, "hourly-ckpt"), files_per_trigger=1)
     return hourly.read_hourly(spark, sink)

@@ -17,20 +17,32 @@ from airgrid.operators import forecast as fc
 from airgrid.operators.clean import dedup_weather
 from airgrid.schemas import FEATURES, TARGET
 
-QUICK = {n: models.scale_preset(p, max_trees=15, max_depth=5) for n, p in models.PRESETS.items()}
+QUICK = {n: models.scale_preset(p, max_trees=8, max_depth=4) for n, p in models.PRESETS.items()}
 HZ = range(1, 13)
+_MEMO: dict = {}
+
+
+def _memo(spark, sf_dir, name, make):
+    """Fitted models are reused by the catalog entries of one session (same data, same presets)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MEMO:
+        _MEMO[key] = make()
+    return _MEMO[key]
 
 
 def _complete(spark, sf_dir):
-    tr, te, fit, _ = cm.test_features(spark, sf_dir)
-    train = splits.complete_cases(splits.add_target(tr))
-    test = splits.complete_cases(splits.add_target(te))
-    return train, test, fit
+    def make():
+        tr, te, fit, _ = cm.test_features(spark, sf_dir)
+        train = splits.complete_cases(splits.add_target(tr)).cache()
+        test = splits.complete_cases(splits.add_target(te)).cache()
+        return train, test, fit
+    return _memo(spark, sf_dir, "complete", make)
 
 
 def _fit(spark, sf_dir, name):
     train, test, fit = _complete(spark, sf_dir)
-    return models.fit_model(train, name, QUICK[name]), train, test, fit
+    m = _memo(spark, sf_dir, f"fit:{name}", lambda: models.fit_model(train, name, QUICK[name]))
+    return m, train, test, fit
 
 
 # ------------------------------------------------------------------ M ---------
@@ -69,9 +81,9 @@ def m07_missing_fill(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, median double, has_indicator int")
 
 
-def _training(spark, sf_dir, presets=None):
+def _training(spark, sf_dir):
     train, test, fit = _complete(spark, sf_dir)
-    res = models.train_and_select(train, test, presets or QUICK)
+    res = _memo(spark, sf_dir, "training", lambda: models.train_and_select(train, test, QUICK))
     return res, train, test, fit
 
 
@@ -109,16 +121,20 @@ def m11_gap_report(spark, sf_dir):
 @query("m12_random_search")
 def m12_random_search(spark, sf_dir):
     """Seeded random search (Ridge space), mean MAE over expanding time-series folds."""
+    return _search(spark, sf_dir)
+
+
+def _search(spark, sf_dir):
     train, _, _ = _complete(spark, sf_dir)
-    return models.cv_search(train, {"kind": "ridge"}, models.SEARCH_SPACES["Ridge"], trials=4, folds=5)
+    return _memo(spark, sf_dir, "search", lambda: models.cv_search(
+        train, {"kind": "ridge"}, models.SEARCH_SPACES["Ridge"], trials=4, folds=5).cache())
 
 
 @query("m13_refit_best")
 def m13_refit_best(spark, sf_dir):
     """Refit the best trial on all training rows; MAE / R2 on test."""
     train, test, _ = _complete(spark, sf_dir)
-    res = models.cv_search(train, {"kind": "ridge"}, models.SEARCH_SPACES["Ridge"], trials=4, folds=5)
-    best = res.orderBy("cv_mae", "trial").first()
+    best = _search(spark, sf_dir).orderBy("cv_mae", "trial").first()
     import ast
     m = models.fit_model(train, "best", {"kind": "ridge", **ast.literal_eval(best["params"])})
     p = m.predict(test)
@@ -220,8 +236,8 @@ def e18_kmeans_clusters(spark, sf_dir):
 @query("p05_ensemble_forecast")
 def p05_ensemble_forecast(spark, sf_dir):
     """Recursive 12-step forecast scored by a two-member Spark ML ensemble."""
-    train, _, fit = _complete(spark, sf_dir)
-    members = [models.fit_model(train, n, QUICK[n]) for n in ("Ridge", "HistGB")]
+    _, _, fit = _complete(spark, sf_dir)
+    members = [_fit(spark, sf_dir, n)[0] for n in ("Ridge", "HistGB")]
     _, wx = cm.inputs(spark, sf_dir)
     out = fc.forecast_latest(cm.base(spark, sf_dir), dedup_weather(wx), models.as_forecaster(members), fit)
     return out.select("location", "origin", "horizon", "datetime", "pm25_pred", "missing_ratio", "is_extreme")

@@ -287,3 +287,17 @@ def f17_build_features_train(spark, sf_dir):
 def f17_build_features_test(spark, sf_dir):
     _, te, _, _ = cm.test_features(spark, sf_dir)
     return te.select(*BASE_COLUMNS, *_ALL_F)
+
+
+@query("f18_feature_check",
+       WITH_FEATS + "\n" + "\nUNION ALL ".join(
+           f"SELECT '{f}' AS feature, CAST(1 AS BIGINT) AS present, CAST(count({f}) AS BIGINT) AS non_null_rows "
+           f"FROM ftrain" for f in FEATURES))
+def f18_feature_check(spark, sf_dir):
+    """Every FEATURES name exists in the train table, with its non-NULL row count."""
+    tr, _, _ = cm.train_features(spark, sf_dir)
+    missing = set(features.check_features(tr))
+    present = [f for f in FEATURES if f not in missing]
+    wide = tr.agg(*[F.count(F.col(f)).alias(f) for f in present])
+    long = wide.unpivot([], present, "feature", "non_null_rows")
+    return long.withColumn("present", F.lit(1))

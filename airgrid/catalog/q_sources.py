@@ -172,3 +172,35 @@ def s15_unknown_requests(spark, sf_dir):
     ev = cm.events(spark, sf_dir)
     req = clean.clean_locations(ev.select(fixtures.raw_station_name(5).alias("location")).distinct())
     return stations.unknown_requests(req, _registry(spark, sf_dir))
+
+
+@query("s04_forecast_csv", WITH_BASE + ",\n" + sp.forecast_state(
+    "r._rn = (SELECT max(r2._rn) FROM rows r2 WHERE r2.location = r.location)") + ",\n" + sp.recursion() + "\n" +
+    "\nUNION ALL ".join(
+        f"SELECT origin + INTERVAL {s} HOUR AS datetime, location, {sp.r(f'p{s}', 'pm25_pred')}, "
+        f"timezone('Europe/Budapest', timezone('UTC', origin + INTERVAL {s} HOUR)) AS datetime_local FROM r12"
+        for s in range(1, 13)))
+def s04_forecast_csv(spark, sf_dir):
+    """Forecast table (with local time) through the CSV sink and back."""
+    from airgrid.operators import forecast as fc
+    _, wx = cm.inputs(spark, sf_dir)
+    out = fc.local_time(fc.forecast_latest(cm.base(spark, sf_dir), clean.dedup_weather(wx), fc.BLEND))
+    path = scratch_path(spark, "forecast-csv")
+    files.write_csv(out.select("datetime", "location", "pm25_pred", "datetime_local"), path)
+    return spark.read.schema("datetime timestamp, location string, pm25_pred double, datetime_local timestamp") \
+        .option("header", True).option("timestampFormat", files.TS_FORMAT).csv(path)
+
+
+@query("s06_artifact_store", "WITH " + sp.FEATS_CTES + "\nSELECT m.location, CAST(m.location_id AS BIGINT) "
+       "AS location_id, " + sp.r("fm.lat_mean", "lat_mean") + ", " + sp.r("fm.lon_mean", "lon_mean") +
+       " FROM fit_map m, fit_means fm")
+def s06_artifact_store(spark, sf_dir):
+    """Fitted spatial artifacts saved to the shared folder and loaded back."""
+    from airgrid.operators.features import SpatialFit
+    _, fit, _ = cm.train_features(spark, sf_dir)
+    path = scratch_path(spark, "artifacts")
+    fit.save(path)
+    back = SpatialFit.load(spark, path)
+    return back.mapping.select("location", "location_id",
+                               F.lit(back.lat_mean).cast("double").alias("lat_mean"),
+                               F.lit(back.lon_mean).cast("double").alias("lon_mean"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from airgrid.functions.interp import interpolate
 from airgrid.functions.text import clean_names
+from airgrid.session import cut_lineage
 from airgrid.schemas import (ALL_PARAMETERS, BASE_COLUMNS, COORD_COLS, DROPPED_PARAMETERS,
                              INTERP_LIMIT, KEY, POLLUTANTS, TIME, WEATHER_COLS)
 
@@ -154,16 +155,25 @@ def interpolate_station(df: DataFrame, limit: int = INTERP_LIMIT) -> DataFrame:
     return interpolate_pollutants(interpolate_weather(df, limit=limit), limit=limit)
 
 
-def build_base_dataset(pollution: DataFrame, weather: DataFrame) -> DataFrame:
-    """C11: wide pollutants + weather -> hourly base panel (not yet gap-filled)."""
+def build_base_dataset(pollution: DataFrame, weather: DataFrame, materialize: bool = True) -> DataFrame:
+    """C11: wide pollutants + weather -> hourly base panel (not yet gap-filled).
+
+    With ``materialize`` the two reduced hand-offs are cut with reliable
+    checkpoints: the cleaned wide table (read three times by the resampling:
+    grid, weather, coordinates) and the base panel (read by every later stage),
+    so the raw readings are scanned once.
+    """
     df = drop_unused(pollution)            # absent pollutants as NULL
     df = clean_locations(df)
     df = merge_weather(df, weather)
     df = drop_unused(df)
     df = clean_pollutants(df)
-    return resample_hourly(df)
+    if materialize:
+        df = cut_lineage(df)
+    base = resample_hourly(df)
+    return cut_lineage(base) if materialize else base
 
 
-def base_from_measurements(long: DataFrame, weather: DataFrame) -> DataFrame:
+def base_from_measurements(long: DataFrame, weather: DataFrame, materialize: bool = True) -> DataFrame:
     """S10 + C11."""
-    return build_base_dataset(pivot_measurements(long), weather)
+    return build_base_dataset(pivot_measurements(long), weather, materialize)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from airgrid.operators import metrics
 from airgrid.operators.forecast import LinearForecaster
 from airgrid.schemas import FEATURES
+from airgrid.session import cut_lineage
 
 # ---- fixed values: display names and ignored features of the explanation ------
 FEATURE_LABELS = {
@@ -95,13 +96,27 @@ def sampled_shapley(df: DataFrame, model, features: list[str] = FEATURES, backgr
         lambda i: F.struct(F.xxhash64("_rid", "_p", i).alias("h"), i.alias("i")))), lambda s: s["i"])
     perm = perm.withColumn("_ord", order)
     pz = perm.join(bg.select("_b", *[F.col(f).alias(f"z_{f}") for f in features]), "_b")
-    # coalition k (0..n): the first k features of the order come from x
+    # coalition k (0..n): the first k features of the order come from x, the rest from z;
+    # built as one array expression, then split into the model's columns
+    pz = pz.select("_rid", "_p", "_ord",
+                   F.array(*[F.col(f"x_{f}").cast("double") for f in features]).alias("_x"),
+                   F.array(*[F.col(f"z_{f}").cast("double") for f in features]).alias("_z"))
     co = pz.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("_k"))
-    rank = {f: F.array_position("_ord", i) for i, f in enumerate(features)}   # 1-based
-    co = co.select("_rid", "_p", "_k", "_ord",
-                   *[F.when(rank[f] <= F.col("_k"), F.col(f"x_{f}")).otherwise(F.col(f"z_{f}")).alias(f)
-                     for f in features])
-    pred = model.transform(co).select("_rid", "_p", "_k", "_ord", F.col("prediction").alias("_y"))
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.when(
+        F.array_position("_ord", i) <= F.col("_k"), F.element_at("_x", i + 1)).otherwise(F.element_at("_z", i + 1)))
+    co = co.select("_rid", "_p", "_k", "_ord", mixed.alias("_m"))
+    co = co.select("_rid", "_p", "_k", "_ord", *[F.col("_m")[i].alias(f) for i, f in enumerate(features)])
+    # the scoring plan is wide (every feature, its fill and indicator); constraint
+    # inference over it grows combinatorially, so it is switched off for this one
+    # materialisation (it only derives extra filters) and the scores are checkpointed
+    spark = df.sparkSession
+    prev = spark.conf.get("spark.sql.constraintPropagation.enabled", "true")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        pred = cut_lineage(model.transform(co).select("_rid", "_p", "_k", "_ord",
+                                                      F.col("prediction").alias("_y")))
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", prev)
     w = Window.partitionBy("_rid", "_p").orderBy("_k")
     d = pred.withColumn("_phi", F.col("_y") - F.lag("_y", 1).over(w)).where("_k > 0")
     d = d.withColumn("feature_idx", F.element_at("_ord", F.col("_k")))

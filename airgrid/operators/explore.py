@@ -78,17 +78,27 @@ def continuity_violations(df: DataFrame, hours: int = 1) -> DataFrame:
 
 
 def summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles (linear), max per column, as rows."""
+    """Count, mean, std, min, quartiles (linear), max per column, as rows.
+
+    Moments and extremes come from one aggregation; quartiles from the
+    distributed exact quantile (a range-partitioned sort per column), never from
+    a one-task buffer of all values.
+    """
+    from airgrid.functions.quantiles import exact_quantiles
     cols = cols or _numeric(df)
-    stats = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg,
-             "std": F.stddev_samp, "min": F.min,
-             "25%": lambda c: F.percentile(c, 0.25), "50%": lambda c: F.percentile(c, 0.5),
-             "75%": lambda c: F.percentile(c, 0.75), "max": F.max}
-    aggs = [fn(F.col(c)).cast("double").alias(f"{c}|{s}") for c in cols for s, fn in stats.items()]
-    wide = df.agg(*aggs)
-    long = _long(wide, [f"{c}|{s}" for c in cols for s in stats], [], "key", "value")
-    parts = F.split("key", r"\|")
-    return long.select(parts[0].alias("column_name"), parts[1].alias("stat"), "value")
+    aggs = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).cast("double").alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
+                 F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
+    row = df.agg(*aggs).first()
+    rows = []
+    for c in cols:
+        q1, q2, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        stats = [("count", row[f"{c}|count"]), ("mean", row[f"{c}|mean"]), ("std", row[f"{c}|std"]),
+                 ("min", row[f"{c}|min"]), ("25%", q1), ("50%", q2), ("75%", q3), ("max", row[f"{c}|max"])]
+        rows += [(c, s, None if v is None else float(v)) for s, v in stats]
+    return df.sparkSession.createDataFrame(rows, "column_name string, stat string, value double")
 
 
 def histogram(df: DataFrame, col: str = "pm25", bins: int = 100) -> DataFrame:

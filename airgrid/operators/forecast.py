@@ -195,7 +195,8 @@ def _packed(c: str, rn: str) -> Column:
 
 
 def origin_state(base: DataFrame, weather_hours: DataFrame | None = None,
-                 history: int = HISTORY, last_rows: int | None = None) -> DataFrame:
+                 history: int = HISTORY, last_rows: int | None = None,
+                 truth: int | None = None) -> DataFrame:
     """Per (station, row): prefix-only gap-filled state arrays ending at that row.
 
     ``base`` is the un-filled hourly panel.  Weather is filled on the distinct
@@ -230,6 +231,8 @@ def origin_state(base: DataFrame, weather_hours: DataFrame | None = None,
         _pad_left(_view(F.collect_list(_packed("humidity", "_wrn")).over(w3), wrn), 3).alias("_h3"),
         _pad_left(_view(F.collect_list(_packed("wind_speed", "_wrn")).over(w6), wrn), 6).alias("_w6"),
         *[v.alias(c) for c, v in last.items()],
+        *([F.array(*[F.lead("pm25", h).over(w) for h in range(1, truth + 1)]).alias("_truth"),
+           F.count(F.lit(1)).over(Window.partitionBy(KEY)).alias("_n")] if truth else []),
     )
     return state
 
@@ -249,10 +252,14 @@ def _field(name: str):
     return lambda s: s[name]
 
 
-def assemble_state(state: DataFrame, fut: DataFrame) -> DataFrame:
-    """Join future weather to the origin state; arrays of prefix + future values."""
+def assemble_state(state: DataFrame, fut: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Join future weather to the origin state; arrays of prefix + future values.
+
+    ``fut`` has one row per distinct origin hour (bounded by the time span), so
+    the join is a broadcast join when small and a shuffle join otherwise (AQE).
+    """
     j = state.join(fut, TIME, "left")
-    return j.select(
+    return j.select(*(keep or []),
         KEY, F.col(TIME).alias("origin"), F.col("_rn").alias("origin_rn"),
         "latitude", "longitude", "pm10", "no2", "so2", "pm",
         F.concat("_t3", "_f_temperature").alias("wt"),
@@ -343,55 +350,67 @@ def _missing(feats: dict[str, Column]) -> Column:
 
 
 def _finish(out: DataFrame) -> DataFrame:
-    out = out.select(KEY, "origin", F.explode("_out").alias("r")).select(KEY, "origin", "r.*")
-    return out.withColumns({
-        "missing_ratio": F.size("missing_features") / F.lit(float(len(FEATURES))),
-        "is_extreme": (F.col("pm25_pred") > EXTREME).cast("int"),
-    })
+    return _diagnostics(out.select(KEY, "origin", F.explode("_out").alias("r")).select(KEY, "origin", "r.*"))
+
+
+_FC_SCHEMA = ("location string, origin timestamp, horizon int, datetime timestamp, pm25_pred double, "
+              f"missing_features array<string>, effects {_EFF_T}")
+_BT_SCHEMA = ("location string, origin timestamp, horizon int, datetime timestamp, pm25_pred double, "
+              "y_true double")
+_STATE_COLS = ["location", "origin", "origin_rn", "pm10", "no2", "so2", "pm", "wt", "wh", "ww", "wf", "wp",
+               "location_id", "lat_norm", "lon_norm"]
 
 
 def recursive_forecast(state: DataFrame, model: Forecaster, fit=None, horizon: int = HORIZON,
-                       explain: bool = False) -> DataFrame:
+                       explain: bool = False, truth: str | None = None) -> DataFrame:
     """P02 + P03 (+P04, X03 when ``explain``): ``horizon`` recursive steps for all origins.
 
-    Expression models run the whole recursion inside one ``aggregate`` over
-    ``sequence(1, horizon)``: one projection, no shuffle, no plan growth.  Spark ML
-    models are scored step by step with a reliable checkpoint after each step.
-    Output: location, origin, horizon, datetime, pm25_pred, missing_features,
-    effects, missing_ratio, is_extreme.
+    Linear (expression) models: the recursion runs vectorised over Arrow
+    batches in ``mapInPandas`` (per partition, no shuffle, no plan growth).
+    Spark ML models: one ``transform`` per step over all origins, with a
+    reliable checkpoint after each step.  With ``truth`` (an array column of the
+    next ``horizon`` actual values) the output carries ``y_true`` instead of
+    the diagnostics (backtests).  Otherwise the output has location, origin,
+    horizon, datetime, pm25_pred, missing_features, effects, missing_ratio,
+    is_extreme.
     """
+    from airgrid.functions.recursion import make_scorer
     df, spatial = _spatial(state, fit)
+    df = df.withColumns(spatial)
     if isinstance(model, LinearForecaster):
-        init = F.struct(F.col("pm").cast("array<double>").alias("pm"),
-                        F.array().cast(f"array<{_REC_T}>").alias("out"))
-
-        def merge(acc, s):
-            feats = step_features(s, acc["pm"], spatial)
-            pred = model.predict_expr(feats)
-            eff = model.attributions_expr(feats) if explain else F.array().cast(_EFF_T)
-            rec = F.struct(s.cast("int").alias("horizon"), feats["datetime"].alias("datetime"),
-                           pred.alias("pm25_pred"), _missing(feats).alias("missing_features"),
-                           eff.alias("effects")).cast(_REC_T)
-            return F.struct(F.concat(acc["pm"], F.array(pred)).alias("pm"),
-                            F.concat(acc["out"], F.array(rec)).alias("out"))
-
-        rec = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, merge, lambda acc: acc["out"])
-        return _finish(df.select(KEY, "origin", rec.alias("_out")))
+        mode = "backtest" if truth else "forecast"
+        fn = make_scorer(model.coefs, model.intercept, model.fills, model.means, model.log_target,
+                         horizon, FEATURES, mode, explain)
+        cols = _STATE_COLS + ([F.col(truth).alias("_truth")] if truth else [])
+        out = df.select(*cols).mapInPandas(fn, _BT_SCHEMA if truth else _FC_SCHEMA)
+        return out if truth else _diagnostics(out)
 
     keep = [c for c in df.columns if c != "pm"]
     df = df.withColumn("_out", F.array().cast(f"array<{_REC_T}>"))
     for s in range(1, horizon + 1):
         feats = step_features(s, F.col("pm"), spatial)
-        x = df.withColumns({k: v for k, v in feats.items() if k not in spatial or k != KEY})
+        x = df.withColumns(feats)
         scored = model.predict(x)
         rec = F.struct(F.lit(s).alias("horizon"), F.col("datetime"), F.col("_pred").alias("pm25_pred"),
                        _missing({f: F.col(f) for f in FEATURES}).alias("missing_features"),
                        F.array().cast(_EFF_T).alias("effects")).cast(_REC_T)
         df = cut_lineage(scored.select(*keep, F.concat("pm", F.array(F.col("_pred"))).alias("pm"),
                                        F.concat("_out", F.array(rec)).alias("_out")))
+    if truth:
+        z = df.select(KEY, "origin", F.explode(F.arrays_zip(F.col("_out").alias("r"),
+                                                            F.col(truth).alias("t"))).alias("z"))
+        return z.select(KEY, "origin", "z.r.horizon", "z.r.datetime", "z.r.pm25_pred",
+                        F.col("z.t").alias("y_true"))
     return _finish(df)
 
 
+def _diagnostics(out: DataFrame) -> DataFrame:
+    return out.withColumns({
+        "missing_ratio": F.size("missing_features") / F.lit(float(len(FEATURES))),
+        "is_extreme": (F.col("pm25_pred") > EXTREME).cast("int"),
+    })
+
+
 # ------------------------------------------------------------------ P06/P07 --
 
 def local_time(df: DataFrame, col: str = TIME, tz: str = LOCAL_TZ, name: str = "datetime_local") -> DataFrame:
@@ -435,23 +454,16 @@ def backtest(base: DataFrame, weather: DataFrame, model: Forecaster, fit=None,
 
     Origin rows are the ``lag_hours``-th through the ``(n - horizon - 1)``-th row of a
     station; the state of an origin sees rows up to it only (prefix gap filling);
-    truth is the un-filled pm25 of the next ``horizon`` rows.
+    truth is the un-filled pm25 of the next ``horizon`` rows, taken in the same
+    window pass as the state (no join).
     """
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    n = F.count(F.lit(1)).over(Window.partitionBy(KEY))
-    truth = base.select(KEY, TIME, F.array(*[F.lead("pm25", h).over(w) for h in range(1, horizon + 1)])
-                        .alias("_truth"), n.alias("_n"))
-    st = origin_state(base).join(truth, [KEY, TIME])
+    st = origin_state(base, truth=horizon)
     st = st.where((F.col("_rn") >= lag_hours) & (F.col("_rn") <= F.col("_n") - horizon - 1))
     st = cut_lineage(st)
-    full = assemble_state(st.drop("_truth", "_n"), future_weather(st, weather, horizon))
-    fc = recursive_forecast(full, model, fit, horizon)
-    tr = st.select(KEY, F.col(TIME).alias("origin"),
-                   F.posexplode("_truth").alias("_p", "y_true"))
-    tr = tr.select(KEY, "origin", (F.col("_p") + 1).alias("horizon"), "y_true")
-    return (fc.join(tr, [KEY, "origin", "horizon"])
-            .select(KEY, F.col("origin").alias("forecast_origin"), "horizon", "y_true",
-                    F.col("pm25_pred").alias("y_pred")))
+    full = assemble_state(st, future_weather(st, weather, horizon), keep=["_truth"])
+    fc = recursive_forecast(full, model, fit, horizon, truth="_truth")
+    return fc.select(KEY, F.col("origin").alias("forecast_origin"), "horizon", "y_true",
+                     F.col("pm25_pred").alias("y_pred"))
 
 
 def serving_history(base: DataFrame, weather: DataFrame) -> DataFrame:

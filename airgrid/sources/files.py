@@ -14,7 +14,8 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 def read_pollutants_csv(spark: SparkSession, path: str) -> DataFrame:
     """Wide pollutant CSV; any absent pollutant column comes back NULL."""
     df = (spark.read.schema(WIDE_POLLUTANTS).option("header", True)
-          .option("timestampFormat", TS_FORMAT).option("enforceSchema", False).csv(path))
+          .option("timestampFormat", TS_FORMAT).option("enforceSchema", False)
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return df.select(TIME, KEY, "latitude", "longitude", *ALL_PARAMETERS)
 
 
@@ -35,7 +36,8 @@ def write_csv(df: DataFrame, path: str, index: bool = False) -> None:
     out = df
     if index:
         out = df.select(F.monotonically_increasing_id().alias("_index"), *df.columns)
-    (out.write.mode("overwrite").option("header", True).option("timestampFormat", TS_FORMAT).csv(path))
+    (out.write.mode("overwrite").option("header", True).option("timestampFormat", TS_FORMAT)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_features(df: DataFrame, path: str, partition_by: str | None = KEY) -> None:

@@ -42,11 +42,14 @@ def main() -> None:
         fn()
         times[name] = round(time.time() - t0, 3)
 
-    # the base panel is written once (a reliable stage boundary) and reused, as a job would
-    base = clean.base_from_measurements(meas, wx)
-    timed("q1_base_panel", lambda: run(base))
-    base = base.persist()
-    base.count()
+    # the base panel is cut once (reliable checkpoints of the reduced hand-offs) and reused
+    holder = {}
+
+    def build():
+        holder["base"] = clean.base_from_measurements(meas, wx).persist()
+        run(holder["base"])
+    timed("q1_base_panel", build)
+    base = holder["base"]
 
     timed("q2_gap_fill", lambda: run(clean.interpolate_station(base)))
 
