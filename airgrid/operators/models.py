@@ -59,9 +59,16 @@ def scale_preset(p: dict, max_trees: int | None = None, max_depth: int | None =
 
 @dataclass
 class MissingFill:
-    """Train medians per feature and the indicator columns."""
+    """Train medians per feature and the indicator columns.
+
+    ``constant`` lists features with one value on the training rows; they are
+    left out of linear designs (their centred column is zero, so a ridge gives
+    them a zero coefficient anyway, and keeping them makes the normal equations
+    singular).
+    """
     medians: dict[str, float]
     indicators: list[str] = field(default_factory=list)
+    constant: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         ind = {f"{c}__missing": F.col(c).isNull().cast("double") for c in self.indicators}
@@ -70,19 +77,23 @@ class MissingFill:
 
     @property
     def columns(self) -> list[str]:
-        return list(self.medians) + [f"{c}__missing" for c in self.indicators]
+        return ([c for c in self.medians if c not in self.constant]
+                + [f"{c}__missing" for c in self.indicators])
 
 
 def fit_missing(train: DataFrame, cols: list[str] = FEATURES, indicators: bool = True) -> MissingFill:
     """Medians in one aggregation; indicators for columns that have NULLs in train."""
     aggs = []
     for c in cols:
-        aggs.append(F.percentile_approx(F.col(c).cast("double"), 0.5, MEDIAN_ACCURACY).alias(f"m_{c}"))
+        x = F.col(c).cast("double")
+        aggs.append(F.percentile_approx(x, 0.5, MEDIAN_ACCURACY).alias(f"m_{c}"))
         aggs.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}"))
+        aggs.append((F.min(x) == F.max(x)).alias(f"k_{c}"))
     row = train.agg(*aggs).first()
     med = {c: (row[f"m_{c}"] if row[f"m_{c}"] is not None else 0.0) for c in cols}
     ind = [c for c in cols if indicators and row[f"n_{c}"] > 0]
-    return MissingFill(med, ind)
+    const = [c for c in cols if not indicators and row[f"k_{c}"] is not False]   # NULL: all missing
+    return MissingFill(med, ind, const)
 
 
 def with_label(df: DataFrame, target: str = TARGET) -> DataFrame:
