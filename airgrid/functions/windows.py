@@ -52,3 +52,30 @@ def rolling_sum_prev_rows(col: str | Column, n: int, w: WindowSpec) -> Column:
 def diff(col: str, k: int, w: WindowSpec) -> Column:
     """``x - x[k rows earlier]`` (pandas ``diff(k)``)."""
     return F.col(col) - F.lag(col, k).over(w)
+
+
+CHUNK = "_chunk"
+HALO = "_halo"
+
+
+def with_time_chunks(df: DataFrame, chunk_hours: int, halo: int, time: str = TIME) -> DataFrame:
+    """Split each station's series into ``chunk_hours`` blocks plus a ``halo``-hour copy.
+
+    Rows in the last ``halo`` hours of a block are also emitted into the next
+    block (flagged ``_halo``), so a window partitioned by (station, block) sees
+    the ``halo`` rows before every row it owns.  On a gap-free hourly panel a
+    look-back of ``halo`` rows equals ``halo`` hours, so backward-looking window
+    features computed per block equal the per-station ones, while one hot
+    station is spread over many tasks.  Only ``halo / chunk_hours`` of the rows
+    are duplicated.
+    """
+    h = F.floor(F.unix_seconds(F.col(time)) / 3600)
+    c = F.floor(h / chunk_hours)
+    own = df.withColumns({CHUNK: c, HALO: F.lit(False)})
+    copy = (df.where(h - F.floor(h / chunk_hours) * chunk_hours >= chunk_hours - halo)
+            .withColumns({CHUNK: c + 1, HALO: F.lit(True)}))
+    return own.unionByName(copy)
+
+
+def chunk_window(key: str = KEY, time: str = TIME) -> WindowSpec:
+    return Window.partitionBy(key, CHUNK).orderBy(time)

@@ -13,17 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airgrid.functions.windows import (diff, rolling_mean_prev, rolling_std_prev,
-                                       rolling_sum_prev_rows, station_window)
+from airgrid.functions.windows import (CHUNK, HALO, chunk_window, diff, rolling_mean_prev,
+                                       rolling_std_prev, rolling_sum_prev_rows, station_window,
+                                       with_time_chunks)
 from airgrid.schemas import FEATURES, HEATING_MONTHS, KEY, TIME
 
 LAGS = (1, 3, 6, 24)
 LOW_WIND = 2.0
+LOOKBACK = 24            # the longest backward look of any window feature, in rows (= hours)
+CHUNK_HOURS = 30 * 24    # per-station block size of the chunked window plan
 
 
-def pm_features(df: DataFrame, col: str = "pm25") -> DataFrame:
+def pm_features(df: DataFrame, col: str = "pm25", w=None) -> DataFrame:
     """Lags, previous-window means, 3-row trend, previous-12 sample std."""
-    w = station_window()
+    w = w or station_window()
     out = {f"{col}_lag{k}": F.lag(col, k).over(w) for k in LAGS}
     out[f"{col}_roll6"] = rolling_mean_prev(col, 6, w)
     out[f"{col}_roll24"] = rolling_mean_prev(col, 24, w)
@@ -48,9 +51,9 @@ def time_features(df: DataFrame, time: str = TIME) -> DataFrame:
     })
 
 
-def weather_features(df: DataFrame) -> DataFrame:
+def weather_features(df: DataFrame, w=None) -> DataFrame:
     """3-row weather deltas, physical indices, low-wind hours in the last 6 rows."""
-    w = station_window()
+    w = w or station_window()
     t, h, v = F.col("temperature"), F.col("humidity"), F.col("wind_speed")
     low = (F.coalesce(v < LOW_WIND, F.lit(False))).cast("int")   # missing wind counts 0
     return df.withColumns({
@@ -105,11 +108,26 @@ def apply_spatial(df: DataFrame, fit: SpatialFit) -> DataFrame:
     })
 
 
-def build_features(df: DataFrame, fit: SpatialFit | None = None) -> tuple[DataFrame, SpatialFit]:
-    """F01..F16 in order; fits the spatial artifacts when ``fit`` is None."""
+def build_features(df: DataFrame, fit: SpatialFit | None = None,
+                   chunk_hours: int | None = CHUNK_HOURS) -> tuple[DataFrame, SpatialFit]:
+    """F01..F16 in order; fits the spatial artifacts when ``fit`` is None.
+
+    With ``chunk_hours`` the window features run on (station, time block)
+    partitions with a 24-hour halo (``with_time_chunks``): identical results on
+    the gap-free hourly panel, and a station with a very long or very dense
+    series is split over many tasks.  ``None`` uses one partition per station.
+    """
     if fit is None:
         fit = fit_spatial(df)
-    out = weather_features(time_features(pm_features(df)))
+    if chunk_hours:
+        cols = df.columns
+        w = chunk_window()
+        ch = with_time_chunks(df, chunk_hours, LOOKBACK)
+        out = weather_features(time_features(pm_features(ch, w=w)), w=w)
+        out = out.where(~F.col(HALO)).drop(CHUNK, HALO)
+        out = out.select(*cols, *[c for c in out.columns if c not in cols])
+    else:
+        out = weather_features(time_features(pm_features(df)))
     return apply_spatial(out, fit), fit
 
 

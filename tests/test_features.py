@@ -68,3 +68,15 @@ def test_weekend_and_heating_flags(spark):
     out = features.time_features(df).orderBy("datetime").collect()
     assert out[0]["weekend_flag"] == 1 and out[0]["heating_season_flag"] == 1
     assert out[1]["weekend_flag"] == 0 and out[1]["heating_season_flag"] == 0
+
+
+def test_chunked_windows_equal_per_station(spark):
+    from conftest import SF01
+    from airgrid.catalog import common as cm
+    p = cm.prepared(spark, SF01)
+    a, fit = features.build_features(p.train, chunk_hours=None)
+    b, _ = features.build_features(p.train, fit, chunk_hours=48)   # many blocks per station
+    cols = [c for c in a.columns]
+    assert sorted(b.columns) == sorted(cols)
+    diff = a.select(*cols).exceptAll(b.select(*cols)).count() + b.select(*cols).exceptAll(a.select(*cols)).count()
+    assert a.count() == b.count() and diff == 0
