@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.operators.clean import interpolate_station
+from airgrid.session import cut_lineage
 from airgrid.schemas import INTERP_LIMIT, KEY, REQUIRED_COLUMNS, TARGET, TIME
 
 
@@ -150,10 +151,21 @@ class PreparedData:
     split_us: float
 
 
-def prepare_panels(base: DataFrame, q: float = 0.75, context: int = 24) -> PreparedData:
-    """T01 + C09/C10 + T03-T05 as the offline job does it."""
+def prepare_panels(base: DataFrame, q: float = 0.75, context: int = 24,
+                   materialize: bool = True) -> PreparedData:
+    """T01 + C09/C10 + T03-T05 as the offline job does it.
+
+    The gap-filled train and test panels are the job's hand-off tables; with
+    ``materialize`` they are cut with reliable checkpoints, so the feature
+    builds, the spatial fit and the test context read them instead of
+    re-running the gap filling.
+    """
     split_us = quantile_split_point(base, q)
     train_raw, test_raw = split_at(base, split_us)
     train = interpolate_station(train_raw)
+    if materialize:
+        train = cut_lineage(train)
     test = restrict_to(with_context(train, test_raw, context), test_raw)
+    if materialize:
+        test = cut_lineage(test)
     return PreparedData(base, train, test, split_us)
