@@ -98,3 +98,45 @@ def prefix_view(c: str, origin_rn: Column, limit: int = INTERP_LIMIT) -> Column:
     rn, pi, px, ni = (F.col(_RN), F.col(f"{c}_pi"), F.col(f"{c}_px"), F.col(f"{c}_ni"))
     return (F.when(F.col(c).isNotNull() | (ni <= origin_rn), F.col(f"{c}_filled"))
             .when(pi.isNotNull() & ((rn - pi) <= limit), px))
+
+
+def interpolate_chunked(df: DataFrame, cols: list[str], chunk_hours: int, key: str = KEY,
+                        time: str = TIME, limit: int = INTERP_LIMIT) -> DataFrame:
+    """The same fill on (station, time block) partitions, for a gap-free hourly panel.
+
+    Row positions are hour indices.  The backward part needs the previous valid
+    value within ``limit`` rows, so each block gets a ``limit``-hour halo from
+    the block before.  The next valid value may lie in a later block: every
+    block's first valid (hour, value) is taken per column, and the nearest later
+    one is carried back with a window over the small (station, block) table.
+    A station with a very long or dense series is thus spread over many tasks.
+    """
+    from airgrid.functions.windows import CHUNK, HALO, with_time_chunks
+    hour = F.floor(F.unix_seconds(F.col(time)) / 3600).cast("long")
+    ch = with_time_chunks(df.withColumn("_h", hour), chunk_hours, limit, time)
+    own = ch.where(~F.col(HALO))
+    firsts = own.groupBy(key, CHUNK).agg(*[
+        F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("_h").alias("h"), F.col(c).alias("x"))))
+        .alias(f"_f_{c}") for c in cols])
+    later = Window.partitionBy(key).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = firsts.select(key, CHUNK, *[F.last(f"_f_{c}", ignorenulls=True).over(later).alias(f"_a_{c}")
+                                        for c in cols])
+    j = ch.join(after, [key, CHUNK], "left")
+    w = Window.partitionBy(key, CHUNK).orderBy(time)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key, CHUNK).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    h = F.col("_h")
+    filled = {}
+    for c in cols:
+        x = F.col(c)
+        pos = F.when(x.isNotNull(), h)
+        pi = F.last(pos, ignorenulls=True).over(back)
+        px = F.last(x, ignorenulls=True).over(back)
+        ni = F.coalesce(F.last(pos, ignorenulls=True).over(ahead), F.col(f"_a_{c}.h"))
+        nx = F.coalesce(F.last(x, ignorenulls=True).over(ahead), F.col(f"_a_{c}.x"))
+        filled[c] = (F.when(x.isNotNull(), x)
+                     .when(pi.isNull() | ((h - pi) > limit), F.lit(None).cast("double"))
+                     .when(ni.isNull(), px)
+                     .otherwise(px + (nx - px) * (h - pi) / (ni - pi)))
+    out = j.withColumns(filled).where(~F.col(HALO))
+    return out.select(*df.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.functions.interp import interpolate
+from airgrid.functions.interp import interpolate, interpolate_chunked
 from airgrid.functions.text import clean_names
 from airgrid.session import cut_lineage
 from airgrid.schemas import (ALL_PARAMETERS, BASE_COLUMNS, COORD_COLS, DROPPED_PARAMETERS,
@@ -130,10 +130,21 @@ def resample_hourly(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C09-C11 --
 
+CHUNK_HOURS = 30 * 24
+
+
 def interpolate_pollutants(df: DataFrame, cols: list[str] = POLLUTANTS,
-                           limit: int = INTERP_LIMIT) -> DataFrame:
-    """Per station, linear by row position, forward, at most ``limit`` rows per gap."""
-    return interpolate(df, [c for c in cols if c in df.columns], KEY, TIME, limit)
+                           limit: int = INTERP_LIMIT, chunk_hours: int | None = CHUNK_HOURS) -> DataFrame:
+    """Per station, linear by row position, forward, at most ``limit`` rows per gap.
+
+    With ``chunk_hours`` (the default) the windows run on (station, time block)
+    partitions (``interpolate_chunked``), exact on the gap-free hourly panel;
+    ``None`` uses one window partition per station.
+    """
+    cols = [c for c in cols if c in df.columns]
+    if chunk_hours:
+        return interpolate_chunked(df, cols, chunk_hours, KEY, TIME, limit)
+    return interpolate(df, cols, KEY, TIME, limit)
 
 
 def interpolate_weather(df: DataFrame, cols: list[str] = WEATHER_COLS,

@@ -83,3 +83,23 @@ def test_clean_pollutants_sentinel(spark):
     df = df.withColumns({"pm10": F.lit(1.0), "no2": F.lit(1.0), "so2": F.lit(1.0)})
     out = clean.clean_pollutants(df).collect()
     assert out[0]["pm25"] is None and out[0]["temperature"] == -5.0 and out[1]["pm25"] == 3.0
+
+
+def test_chunked_interpolation_equals_per_station(spark):
+    from conftest import SF01
+    from airgrid.catalog import common as cm
+    b = cm.base(spark, SF01)
+    a = clean.interpolate_pollutants(b, chunk_hours=None)
+    for hours in (48, 7):
+        c = clean.interpolate_pollutants(b, chunk_hours=hours)
+        assert c.count() == a.count()
+        assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+
+
+def test_chunked_interpolation_long_gap_across_blocks(spark):
+    vals = [5, N, N, N, N, N, N, N, N, N, 15, N, N, 3, N, N, N, N, N]
+    a = clean.interpolate_pollutants(_series(spark, vals).withColumnRenamed("x", "pm25"), ["pm25"],
+                                     chunk_hours=None)
+    c = clean.interpolate_pollutants(_series(spark, vals).withColumnRenamed("x", "pm25"), ["pm25"],
+                                     chunk_hours=4)
+    assert _collect(a, "pm25") == _collect(c, "pm25")
