@@ -1,0 +1 @@
+"""Composed jobs: offline training, batch serving, walk-forward backtest."""
