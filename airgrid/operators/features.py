@@ -74,6 +74,7 @@ class SpatialFit:
     lat_mean: float | None
     lon_mean: float | None
     mapping: DataFrame   # location, location_id
+    n_stations: int = -1
 
     def save(self, path: str) -> None:
         spark = self.mapping.sparkSession
@@ -84,7 +85,8 @@ class SpatialFit:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "SpatialFit":
         m = spark.read.json(f"{path}/means").first()
-        return SpatialFit(m["lat_mean"], m["lon_mean"], spark.read.parquet(f"{path}/location_mapping"))
+        mapping = spark.read.parquet(f"{path}/location_mapping")
+        return SpatialFit(m["lat_mean"], m["lon_mean"], mapping, mapping.count())
 
 
 def fit_spatial(train: DataFrame) -> SpatialFit:
@@ -92,15 +94,25 @@ def fit_spatial(train: DataFrame) -> SpatialFit:
 
     The index is a window over the distinct-station dimension only.
     """
-    means = train.agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b")).first()
+    means = train.agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b"),
+                      F.countDistinct(KEY).alias("n")).first()
     mapping = (train.select(KEY).where(F.col(KEY).isNotNull()).distinct()
                .withColumn("location_id", F.row_number().over(Window.orderBy(KEY)) - 1))
-    return SpatialFit(means["a"], means["b"], mapping)
+    return SpatialFit(means["a"], means["b"], mapping, int(means["n"]))
+
+
+BROADCAST_MAX_STATIONS = 2_000_000
 
 
 def apply_spatial(df: DataFrame, fit: SpatialFit) -> DataFrame:
-    """F16: centred coordinates and station id (unseen stations get -1)."""
-    out = df.join(fit.mapping, KEY, "left")
+    """F16: centred coordinates and station id (unseen stations get -1).
+
+    The station index is broadcast when its counted size is under
+    ``BROADCAST_MAX_STATIONS`` (no shuffle of the feature table); beyond that
+    it is an ordinary shuffle join.
+    """
+    small = 0 <= fit.n_stations <= BROADCAST_MAX_STATIONS
+    out = df.join(F.broadcast(fit.mapping) if small else fit.mapping, KEY, "left")
     return out.withColumns({
         "lat_norm": F.col("latitude") - F.lit(fit.lat_mean).cast("double"),
         "lon_norm": F.col("longitude") - F.lit(fit.lon_mean).cast("double"),
