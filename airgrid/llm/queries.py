@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import toxicity
+from airgrid.llm import chat, decontam, licenses, omh, toxicity, vectors, warc
 from airgrid.llm.common import held_out, table
+from airgrid.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,3 +25,47 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
                               lambda i: ~held_out(i))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal label: links, component and the one that is kept."""
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered maximal conversations."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document and the one that is kept."""
+    return omh.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark overlap of every document."""
+    found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort("hit_items")
+    return found.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"),
+                        F.size(items).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+                        decontam.is_contaminated().alias("contaminated"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a content-addressed archive of ``pages``, written and read back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document and the licence whose text it is."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))

@@ -52,11 +52,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(start):
         return np.empty(0, dtype=np.uint64)
-    # Horner per word from a global prefix: sum of byte * base**offset, offsets restart at
-    # each word, so equal words get equal sums wherever they stand.
-    offset = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw)))) \
-        if start[0] == 0 else np.arange(len(raw)) - np.concatenate(
-            [np.zeros(start[0], dtype=np.int64), np.repeat(start, np.diff(np.append(start, len(raw))))])
+    # Sum of byte * base**offset with offsets that restart at each word, so equal words
+    # get equal sums wherever they stand.
+    owner = np.maximum(np.cumsum(step[:-1] == 1) - 1, 0)
+    offset = np.maximum(np.arange(len(raw)) - start[owner], 0)
     longest = int((end - start).max())
     power = _powers(longest + 1)
     term = val * power[np.minimum(offset, longest)]
