@@ -169,8 +169,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys array<long>, sig binary")
 
 
-@F.pandas_udf("int")
-def _matching(a: pd.Series, b: pd.Series) -> pd.Series:
+def _equal_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Number of equal bytes of two signatures of one length."""
     if not len(a):
         return pd.Series([], dtype="int32")
     x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = buckets.where("a < node").select("a", F.col("node").alias("b")).distinct()
     fa = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     fb = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    matching = F.pandas_udf(_equal_bytes, "int")
     close = (pairs.join(fb, "b").join(fa, "a")
-             .where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (_matching("sa", "sb") >= least))
+             .where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (matching("sa", "sb") >= least))
              .select("a", "b"))
     tried = stored(close, "omh-pairs")
     edges = stored(_verify(tried, reps, base, similarity), "omh-links")
