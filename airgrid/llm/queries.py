@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import chat, decontam, licenses, omh, toxicity, vectors, warc
+from airgrid.llm import chat, decontam, licenses, omh, packing, tokens, toxicity, vectors, warc
 from airgrid.llm.common import held_out, table
 from airgrid.session import scratch_path
 
@@ -46,6 +46,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+@query
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, each token in the line of its first character."""
+    return tokens.attribute(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark overlap of every document."""
@@ -57,6 +63,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontam.is_contaminated().alias("contaminated"))
 
 
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length bucket, batch and slot of every document."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a content-addressed archive of ``pages``, written and read back."""
