@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import chat, decontam, licenses, omh, packing, tokens, toxicity, vectors, warc
+from airgrid.llm import chat, decontam, licenses, omh, packing, pii, tokens, toxicity, vectors, warc
 from airgrid.llm.common import held_out, table
 from airgrid.session import scratch_path
 
@@ -34,6 +34,15 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base patterns (counts and digest) and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    counts = [pii.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 @query
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered maximal conversations."""
