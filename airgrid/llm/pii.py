@@ -115,7 +115,7 @@ def window_tags(text: str, starts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS,
-          max_windows: int = MAX_WINDOWS, epochs: int = 10) -> dict[str, np.ndarray]:
+          max_windows: int = MAX_WINDOWS, epochs: int = 6) -> dict[str, np.ndarray]:
     """Fit the tagger on at most ``max_windows`` windows of at most ``max_docs`` documents.
 
     Documents that hold a digit or an at sign are drawn by a hash of id and text, their

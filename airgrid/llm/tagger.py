@@ -138,7 +138,8 @@ def gradients(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     return loss, g
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01,
+        least_steps: int = 300, seed: int = 3) -> dict[str, np.ndarray]:
     """Adam on the CRF likelihood; no window gives the untrained model, which tags nothing."""
     m = new_model(seed)
     if not len(x):
@@ -147,7 +148,9 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 128, rate:
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
-    step, total = 0, epochs * (-(-len(x) // batch))
+    per_epoch = -(-len(x) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))           # few windows are read more often
+    step, total = 0, epochs * per_epoch
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
