@@ -78,9 +78,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
                .withColumn("record_type", F.when(alone | (first & (F.col("copy") == 1)), "response").otherwise("revisit"))
                .withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("best_id"))))
     records.select(_header(date).cast("binary").alias("header"), "sha256").write.parquet(f"{path}/headers")
-    # The join moves each payload once; grouping by its keys needs no further exchange.
-    kept = (rows.join(winner, (rows.sha256 == winner.sha256) & rows.page_id.eqNullSafe(winner.best_id)
-                      & rows.url.eqNullSafe(winner.best_url), "left_semi").dropDuplicates(["sha256", "page_id", "url"]))
+    # Equal rows are combined before the one exchange that moves payloads; the join reuses it.
+    named = F.concat_ws("|", "sha256", F.coalesce(F.col("page_id").cast("string"), F.lit("null")),
+                        F.coalesce(F.concat(F.lit("="), "url"), F.lit("null")))
+    wanted = winner.select("sha256", F.col("best_id").alias("page_id"), F.col("best_url").alias("url")).select(named.alias("row"))
+    once = rows.withColumn("row", named).groupBy("row").agg(F.first("sha256").alias("sha256"), F.first("payload").alias("payload"))
+    kept = once.join(wanted, "row", "left_semi")
     (kept.select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads"))
 
 
