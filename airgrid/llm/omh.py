@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.buckets import block_pairs
-from airgrid.llm.common import stored
+from airgrid.llm.common import stored, widest
 from airgrid.llm.graph import components
 from airgrid.llm.words import gram_hashes, mix, occurrence, word_hashes
 
-SHINGLE, PICK, SKETCHES, SLOTS, SIMILARITY, BLOCK = 5, 2, 20, 64, 0.8, 1024
-_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, size=max(SKETCHES, SLOTS), dtype=np.uint64) | np.uint64(1)
+SHINGLE, PICK, SKETCHES, SLOTS, SIMILARITY, BLOCK = 5, 2, 20, 256, 0.8, 1024
+ERRORS = 4.5                        # standard errors that a signature may stay below the bound
+_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
 _CHUNK = 1 << 14
+_ROWS = 64
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -48,8 +50,19 @@ def digest(text: str | None) -> bytes:
                            digest_size=16, person=b"words" if len(w) else b"raw").digest()
 
 
-def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """(order-minhash keys, signature of SLOTS bytes of plain minimum hashes)."""
+def shared(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """At least the number of common shingles of sequences of n and m, from their different 16-bit hashes."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum()) + min(n - len(a), m - len(b))
+
+
+def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+    """(order-minhash keys, signature of SLOTS bytes, different 16-bit shingle hashes in order).
+
+    The signature deals the shingles into SLOTS bins by one hash and keeps a byte of the
+    smallest hash in each bin, 0 for an empty bin.
+    """
     n = len(s)
     take = min(PICK, n)
     best = np.full((len(_SEEDS), take), np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -68,11 +81,15 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes]:
         where = np.concatenate([place, p + at], axis=1)
         o = np.argsort(both, axis=1, kind="stable")[:, :take]
         best, place = both[rows, o], where[rows, o]
-    order = np.sort(place[:SKETCHES], axis=1)
+    order = np.sort(place, axis=1)
     key = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     for j in range(take):
         key = mix(key ^ s[order[:, j]])
-    return key, (best[:SLOTS, 0] & np.uint64(255)).astype(np.uint8).tobytes()
+    h = np.sort(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)       # 256 bins by the top byte
+    sig = np.zeros(SLOTS, dtype=np.uint8)
+    sig[bins] = 1 + (h[first] >> np.uint64(20)) % np.uint64(254)       # 255 stays free
+    return key, sig.tobytes(), np.unique((s >> np.uint64(24)).astype(np.uint16)).tobytes()
 
 
 # ---- verification --------------------------------------------------------------
@@ -161,31 +178,51 @@ def _sketches(docs: DataFrame) -> DataFrame:
             out = []
             for i, t in zip(f["doc_id"], f["text"], strict=True):
                 s = shingles(t)
-                keys, sig = sketch(s) if len(s) else (np.empty(0, np.uint64), b"")
-                out.append((i, digest(t), len(s), keys.view(np.int64), sig))
-            made = pd.DataFrame(out, columns=["doc_id", "digest", "n", "keys", "sig"])
+                keys, sig, small = sketch(s) if len(s) else (np.empty(0, np.uint64), b"", b"")
+                out.append((i, digest(t), len(s), keys.view(np.int64), sig, small))
+            made = pd.DataFrame(out, columns=["doc_id", "digest", "n", "keys", "sig", "small"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
-    return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys array<long>, sig binary")
+    return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys array<long>, sig binary, small binary")
 
 
-def _equal_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Number of equal bytes of two signatures of one length."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-    return pd.Series((x == y).sum(axis=1).astype("int32"))
+def may_be_similar(match: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether signatures allow the similarity for sequences of n and m shingles.
 
-
-def least_matching(similarity: float = SIMILARITY, slots: int = SLOTS, errors: float = 4.5) -> int:
-    """Signature slots that a pair at the similarity reaches but for ``errors`` standard errors.
-
-    Sequences of equal length n that share a part p of their shingles have p / (2 - p)
-    of their union in common, and no pair at the similarity has less.
+    A pair at the similarity shares ``c >= similarity * max(n, m)`` of its ``u = n + m - c``
+    different shingles.  The smallest hashes of the ``filled`` bins are a random draw of
+    that many from the u, so matches follow a hypergeometric law; pairs more than ERRORS
+    standard errors below its mean are left out.  Lengths are tested exactly.
     """
-    j = similarity / (2 - similarity)
-    return int(np.floor(slots * j - errors * np.sqrt(slots * j * (1 - j))))
+    top, low = np.maximum(n, m), np.minimum(n, m)
+    c = similarity * top
+    u = np.maximum(n + m - c, 1.0)
+    j = np.minimum(c / u, 1.0)
+    spread = np.sqrt(filled * j * (1 - j) * np.clip((u - filled) / np.maximum(u - 1, 1), 0, 1))
+    return (low >= c - 1e-9) & (match >= filled * j - ERRORS * spread - 1.0)
+
+
+def signature_matches(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal filled bins, and bins filled in either, of every left with every right signature."""
+    a, b = np.ascontiguousarray(left.T), np.ascontiguousarray(np.where(right > 0, right, 255).T)
+    match = np.zeros((left.shape[0], right.shape[0]), dtype=np.uint16)
+    for c in range(left.shape[1]):
+        match += a[c][:, None] == b[c][None, :]
+    ha, hb = (left > 0).astype(np.float32), (right > 0).astype(np.float32)
+    filled = ha.sum(1)[:, None] + hb.sum(1)[None, :] - ha @ hb.T
+    return match, filled
+
+
+def _may_be_similar(similarity: float):
+    def run(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
+        y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
+        match, filled = ((x == y) & (x > 0)).sum(axis=1), ((x | y) > 0).sum(axis=1)
+        return pd.Series(may_be_similar(match, filled, n.to_numpy(), m.to_numpy(), similarity))
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "n": pd.Series, "m": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "boolean")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -219,36 +256,53 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: floa
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _cross_pairs(buckets: DataFrame, reps: DataFrame, least: int, similarity: float, most: int | None,
-                 block: int) -> DataFrame:
+def _cross_pairs(buckets: DataFrame, reps: DataFrame, similarity: float, most: int | None, block: int) -> DataFrame:
     """Pairs of different components that share a bucket and look similar by signature.
 
-    For each node and other component of a group the ``most`` best pairs (all if None).
+    Signatures leave out most pairs; of the others the number of common shingles is
+    bounded from above by their 16-bit hashes, which only leaves out pairs that cannot
+    be similar.  For each node of a group the ``most`` best pairs (all if None).
     """
-    facts = reps.select("node", "n", "sig")
+    facts = reps.select("node", "n", "sig", "small", "keys")
     groups = (block_pairs(buckets, ["key"], F.col("node"), block).join(facts, "node")
-              .select("key", "_i", "_j", "_side", "node", "comp", "n", "sig"))
+              .select("key", "band", "_i", "_j", "_side", "node", "comp", "n", "sig", "small", "keys"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(len(f), -1)
-        n, node, comp = f["n"].to_numpy(), f["node"].to_numpy(), f["comp"].to_numpy()
-        same = np.zeros((len(f), len(f)), dtype=np.uint8)
-        for c in range(x.shape[1]):
-            same += x[:, c, None] == x[None, :, c]
-        top, low = np.maximum(n[:, None], n[None, :]), np.minimum(n[:, None], n[None, :])
-        ok = (same >= least) & (low >= similarity * top - 1e-9) & (comp[:, None] != comp[None, :])
-        if f["_i"].iloc[0] != f["_j"].iloc[0]:
-            ok &= f["_side"].to_numpy()[:, None] != f["_side"].to_numpy()[None, :]
-        a, b = np.nonzero(ok)
+        n, node, comp, side = (f[c].to_numpy() for c in ("n", "node", "comp", "_side"))
+        keys, band = np.stack(f["keys"].to_numpy()), int(f["band"].iloc[0])
+        sets = [np.frombuffer(s, np.uint16) for s in f["small"]]
+        two = f["_i"].iloc[0] != f["_j"].iloc[0]
+        # Members of the largest component need no comparison with each other: the rest meet all.
+        names, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(inverse != sizes.argmax())
+        found = []
+        for k in range(0, len(rest), _ROWS):
+            r = rest[k:k + _ROWS]
+            match, filled = signature_matches(x[r], x)
+            ok = may_be_similar(match, filled, n[r][:, None], n[None, :], similarity) & (comp[r][:, None] != comp[None, :])
+            if two:
+                ok &= side[r][:, None] != side[None, :]
+            i, b = np.nonzero(ok)
+            a = r[i]
+            # Each pair once: in the first band it shares (an unmixed bucket before has it in one component).
+            once = ~(keys[a, :band] == keys[b, :band]).any(axis=1) & ((a < b) | (inverse[b] == sizes.argmax()))
+            a, b = a[once], b[once]
+            common = np.array([shared(sets[p], sets[q], n[p], n[q]) for p, q in zip(a, b, strict=True)], dtype=np.int64)
+            enough = common >= similarity * np.maximum(n[a], n[b]) - 1e-9
+            found.append((a[enough], b[enough], common[enough]))
+        a, b, common = (np.concatenate(v) if found else np.empty(0, np.int64) for v in (zip(*found) if found else [[]] * 3))
         if most is not None and len(a):
-            o = np.lexsort((node[b], -same[a, b].astype(int), comp[b], a))
+            o = np.lexsort((node[b], -common, a))
             a, b = a[o], b[o]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (comp[b][1:] != comp[b][:-1])])
+            new = np.concatenate([[True], a[1:] != a[:-1]])
             first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             use = np.arange(len(a)) - first < most
             a, b = a[use], b[use]
         return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])}).drop_duplicates()
 
+    # A fixed count: what a group costs follows its pairs, not the bytes that coalescing goes by.
+    groups = groups.repartition(4 * widest(groups), "key", "_i", "_j")
     return groups.groupBy("key", "_i", "_j").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -265,29 +319,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made = stored(_sketches(base), "omh-sketches")
     reps = stored(made.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"),
-                                             F.min_by(F.struct("n", "keys", "sig"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("s"))
+                                             F.min_by(F.struct("n", "keys", "sig", "small"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("s"))
                   .select(F.xxhash64("doc_id", "digest").alias("node"), "digest", "doc_id", "copies", "s.*"), "omh-classes")
-    spread = reps.where("doc_id is not null").select("node", F.explode("keys").alias("key"))
-    least = least_matching(similarity)
+    spread = reps.where("doc_id is not null").select("node", F.posexplode("keys").alias("band", "key"))
     hubs = spread.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     buckets = stored(spread.join(hubs, "key"), "omh-buckets")
     facts = reps.select("node", "n", "sig")
     pairs = buckets.where("a < node").select("a", F.col("node").alias("b")).distinct()
     fa = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     fb = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    matching = F.pandas_udf(_equal_bytes, "int")
-    close = (pairs.join(fb, "b").join(fa, "a")
-             .where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (matching("sa", "sb") >= least))
+    close = (pairs.join(fb, "b").join(fa, "a").where(_may_be_similar(similarity)("sa", "sb", "na", "nb"))
              .select("a", "b"))
     tried = stored(close, "omh-pairs")
     edges = stored(_verify(tried, reps, base, similarity), "omh-links")
     comp = components(edges, "a", "b")
     for most in (8, None):
         comp = stored(comp, "omh-components")
-        named = buckets.select("key", "node").join(comp, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("comp"))
+        named = buckets.select("key", "band", "node").join(comp, "node", "left").select(
+            "key", "band", "node", F.coalesce("component", "node").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        cand = _cross_pairs(named.join(mixed, "key"), reps, least, similarity, most, block)
+        cand = _cross_pairs(named.join(mixed, "key"), reps, similarity, most, block)
         cand = stored(cand.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
         if cand.isEmpty():
             if most is None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.buckets import block_pairs
-from airgrid.llm.common import stored
+from airgrid.llm.common import stored, widest
 from airgrid.llm.graph import components
 
 COSINE, MISS, TARGET_BUCKET, BLOCK = 0.98, 1e-6, 1024, 1024
@@ -92,6 +92,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spread = hashed.select("rep", "copies", "space", "unit", "keys", F.posexplode("keys").alias("t", "key"))
     groups = block_pairs(spread, ["space", "t", "key"], F.col("rep"), block)
 
+    # A fixed count: what a group costs follows its pairs, not the bytes that coalescing goes by.
+    groups = groups.repartition(4 * widest(groups), "space", "t", "key", "_i", "_j")
+
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates(["rep", "_side"]) if f["_i"].iloc[0] != f["_j"].iloc[0] else f
         x = np.frombuffer(b"".join(f["unit"]), dtype=np.float64).reshape(len(f), -1)
