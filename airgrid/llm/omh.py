@@ -261,7 +261,8 @@ def _cross_pairs(buckets: DataFrame, reps: DataFrame, similarity: float, most: i
 
     Signatures leave out most pairs; of the others the number of common shingles is
     bounded from above by their 16-bit hashes, which only leaves out pairs that cannot
-    be similar.  For each node of a group the ``most`` best pairs (all if None).
+    be similar.  For each node of a group the ``most`` best pairs (all if None); a group
+    that holds some back adds the pair (0, 0).
     """
     facts = reps.select("node", "n", "sig", "small", "keys")
     groups = (block_pairs(buckets, ["key"], F.col("node"), block).join(facts, "node")
@@ -292,14 +293,17 @@ def _cross_pairs(buckets: DataFrame, reps: DataFrame, similarity: float, most: i
             enough = common >= similarity * np.maximum(n[a], n[b]) - 1e-9
             found.append((a[enough], b[enough], common[enough]))
         a, b, common = (np.concatenate(v) if found else np.empty(0, np.int64) for v in (zip(*found) if found else [[]] * 3))
+        full = True
         if most is not None and len(a):
             o = np.lexsort((node[b], -common, a))
             a, b = a[o], b[o]
             new = np.concatenate([[True], a[1:] != a[:-1]])
             first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             use = np.arange(len(a)) - first < most
+            full = use.all()
             a, b = a[use], b[use]
-        return pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])}).drop_duplicates()
+        out = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])}).drop_duplicates()
+        return out if full else pd.concat([out, pd.DataFrame({"a": [0], "b": [0]})])
 
     # A fixed count: what a group costs follows its pairs, not the bytes that coalescing goes by.
     groups = groups.repartition(4 * widest(groups), "key", "_i", "_j")
@@ -333,20 +337,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = stored(close, "omh-pairs")
     edges = stored(_verify(tried, reps, base, similarity), "omh-links")
     comp = components(edges, "a", "b")
-    for most in (8, None):
+    for most in (32, None):
         comp = stored(comp, "omh-components")
         named = buckets.select("key", "band", "node").join(comp, "node", "left").select(
             "key", "band", "node", F.coalesce("component", "node").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         cand = _cross_pairs(named.join(mixed, "key"), reps, similarity, most, block)
         cand = stored(cand.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
-        if cand.isEmpty():
-            if most is None:
-                break
-            continue
-        more = stored(_verify(cand, reps, base, similarity), "omh-links")
-        tried, edges = tried.unionByName(cand), edges.unionByName(more)
-        comp = components(edges, "a", "b")
+        held_back, cand = not cand.where("a = b").isEmpty(), cand.where("a <> b")
+        if not cand.isEmpty():
+            more = stored(_verify(cand, reps, base, similarity), "omh-links")
+            tried, edges = tried.unionByName(cand), edges.unionByName(more)
+            comp = components(edges, "a", "b")
+        if not held_back:
+            break
     classes = reps.select("node", "digest", "doc_id").join(comp, "node", "left").select(
         "digest", "doc_id", F.coalesce("component", "node").alias("comp"))
     first = classes.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
