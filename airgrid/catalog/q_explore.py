@@ -95,8 +95,8 @@ def e07_summary(spark, sf_dir):
 @query("e08_histogram", WITH_BASE + """,
 b AS (SELECT min(pm25) AS lo, max(pm25) AS hi, (max(pm25) - min(pm25)) / 100 AS w FROM base),
 h AS (SELECT CAST(least(floor((pm25 - lo) / w), 99) AS INTEGER) AS bin FROM base, b WHERE pm25 IS NOT NULL)
-SELECT CAST(bin AS BIGINT) AS bin, """ + sp.r("lo + bin * w", "lo") + ", " + sp.r("lo + (bin + 1) * w", "hi") +
-    """, CAST(count(*) AS BIGINT) AS n FROM h, b GROUP BY bin, lo, w""")
+SELECT CAST(g.bin AS BIGINT) AS bin, """ + sp.r("lo + g.bin * w", "lo") + ", " + sp.r("lo + (g.bin + 1) * w", "hi") +
+    """, CAST(count(h.bin) AS BIGINT) AS n FROM b, range(100) g(bin) LEFT JOIN h ON h.bin = g.bin GROUP BY g.bin, lo, w""")
 def e08_histogram(spark, sf_dir):
     return explore.histogram(cm.base(spark, sf_dir), "pm25", 100)
 

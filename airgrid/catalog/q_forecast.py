@@ -70,8 +70,8 @@ def v10_residuals(spark, sf_dir):
 rs AS (SELECT pm25_next - pm25_pred AS residual FROM sc),
 b AS (SELECT min(residual) AS lo, (max(residual) - min(residual)) / 50 AS w FROM rs),
 h AS (SELECT CAST(least(floor((residual - lo) / w), 49) AS INTEGER) AS bin FROM rs, b)
-SELECT CAST(bin AS BIGINT) AS bin, """ + sp.r("lo + bin * w", "lo") + ", " + sp.r("lo + (bin + 1) * w", "hi") +
-       ", CAST(count(*) AS BIGINT) AS n FROM h, b GROUP BY bin, lo, w")
+SELECT CAST(g.bin AS BIGINT) AS bin, """ + sp.r("lo + g.bin * w", "lo") + ", " + sp.r("lo + (g.bin + 1) * w", "hi") +
+       ", CAST(count(h.bin) AS BIGINT) AS n FROM (SELECT * FROM b WHERE lo IS NOT NULL) b, range(50) g(bin) LEFT JOIN h ON h.bin = g.bin GROUP BY g.bin, lo, w")
 def v10_residual_histogram(spark, sf_dir):
     return metrics.residual_histogram(metrics.residuals(_scored(spark, sf_dir)), 50)
 
@@ -92,6 +92,32 @@ def p01_asof_weather(spark, sf_dir):
     return fc.asof_weather(tg, _weather(spark, sf_dir), "target")
 
 
+@query("p01_asof_subhour", """
+WITH w AS (SELECT CAST(ts AS TIMESTAMP) AS datetime, CAST(max(event_id % 300) AS DOUBLE) AS temperature,
+                  CAST(max(user_id % 60) AS DOUBLE) AS humidity, CAST(max(event_id % 7) AS DOUBLE) AS wind_speed,
+                  CAST(max(event_id % 3) AS DOUBLE) AS precipitation
+           FROM events WHERE event_type = 'view' GROUP BY ts),
+tg AS (SELECT CAST(event_id AS BIGINT) AS event_id,
+              CAST(ts AS TIMESTAMP) + (event_id % 41 - 20) * INTERVAL 1 DAY AS target FROM events WHERE event_type <> 'view'),
+wlast AS (SELECT * FROM w ORDER BY datetime DESC LIMIT 1),
+j AS (SELECT tg.*, w.datetime AS wtime, w.temperature, w.humidity, w.wind_speed, w.precipitation
+      FROM tg ASOF LEFT JOIN w ON tg.target >= w.datetime)
+SELECT event_id, target, """ + ", ".join(
+    sp.r(f"CASE WHEN wtime IS NULL THEN (SELECT {c} FROM wlast) ELSE {c} END", c) for c in sp.WX) +
+    ", coalesce(wtime, (SELECT datetime FROM wlast)) AS weather_time FROM j")
+def p01_asof_subhour(spark, sf_dir):
+    """As-of lookup on weather at raw event times; targets before, inside and after its range."""
+    ev = cm.events(spark, sf_dir)
+    at = F.col("ts").cast("timestamp")
+    d = lambda c, n: F.max((F.col(c) % n).cast("double"))
+    w = ev.where("event_type = 'view'").groupBy(at.alias("datetime")).agg(
+        d("event_id", 300).alias("temperature"), d("user_id", 60).alias("humidity"),
+        d("event_id", 7).alias("wind_speed"), d("event_id", 3).alias("precipitation"))
+    days = F.make_dt_interval((F.col("event_id") % 41 - 20).cast("int"))
+    tg = ev.where("event_type <> 'view'").select(F.col("event_id").cast("long").alias("event_id"), (at + days).alias("target"))
+    return fc.asof_weather(tg, w, "target")
+
+
 # ------------------------------------------------------------------ P03 -------
 _P03_STATE = sp.forecast_state("r._rn = (SELECT max(r2._rn) FROM rows r2 WHERE r2.location = r.location)")
 _P03_SQL = (WITH_BASE + ",\n" + _P03_STATE + ",\n" + sp.recursion() + "\n" + "\nUNION ALL ".join(

@@ -40,7 +40,7 @@ def s02_weather_csv(spark, sf_dir):
 @query("s03_features_parquet", WITH_BASE + ",\n" + sp.interp_station("filled", "base") +
        "\nSELECT " + sp.out(BASE_COLUMNS, keep={"location", "datetime"}) + " FROM filled")
 def s03_features_parquet(spark, sf_dir):
-    """Gap-filled panel written as Parquet partitioned by station, read back."""
+    """Gap-filled panel written as Parquet by month, read back."""
     path = scratch_path(spark, "panel-parquet")
     files.write_features(clean.interpolate_station(cm.base(spark, sf_dir)), path)
     return files.read_features(spark, path).select(*BASE_COLUMNS)
@@ -82,7 +82,7 @@ def s08_measurement_json(spark, sf_dir):
 def s09_time_range(spark, sf_dir):
     """Inclusive time-range filter pushed into the Parquet scan of a landed panel."""
     path = scratch_path(spark, "panel-range")
-    files.write_features(cm.base(spark, sf_dir), path, partition_by=None)
+    files.write_features(cm.base(spark, sf_dir), path)
     return files.time_range(files.read_features(spark, path), "2024-01-10 00:00:00",
                             "2024-01-20 12:00:00").select(*BASE_COLUMNS)
 
@@ -152,15 +152,14 @@ def s13_sensor_index(spark, sf_dir):
 
 @query("s14_sensor_map", "WITH " + _REG.format(k=3).lstrip(",\n") + """,
 idx AS (SELECT DISTINCT sensor_id, parameter, location FROM reg_pairs)
-SELECT parameter, CAST(count(*) AS BIGINT) AS n_sensors,
-       string_agg(CAST(sensor_id AS VARCHAR) || '@' || location, ',' ORDER BY sensor_id, location) AS sensors
-FROM idx GROUP BY parameter""")
+SELECT parameter, location, CAST(count(*) AS BIGINT) AS n_sensors,
+       string_agg(CAST(sensor_id AS VARCHAR), ',' ORDER BY sensor_id) AS sensors
+FROM idx WHERE parameter IN ('pm25', 'pm10', 'no2', 'so2', 'co', 'o3') GROUP BY parameter, location""")
 def s14_sensor_map(spark, sf_dir):
-    """parameter -> sorted {sensor, location} list (flattened to text for comparison)."""
+    """(parameter, location) -> sorted sensor list (flattened to text for comparison)."""
     m = stations.sensor_map(stations.sensor_index(_registry(spark, sf_dir)))
-    return m.select("parameter", F.size("sensors").cast("long").alias("n_sensors"),
-                    F.array_join(F.transform("sensors", lambda s: F.concat(
-                        s["sensor_id"].cast("string"), F.lit("@"), s["location"])), ",").alias("sensors"))
+    return m.select("parameter", "location", F.size("sensors").cast("long").alias("n_sensors"),
+                    F.array_join(F.col("sensors").cast("array<string>"), ",").alias("sensors"))
 
 
 @query("s15_unknown_requests", "WITH " + _REG.format(k=3).lstrip(",\n") + """,

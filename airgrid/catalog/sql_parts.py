@@ -13,6 +13,8 @@ D = 6
 
 POLL = ["no2", "pm10", "pm25", "so2"]
 WX = ["temperature", "humidity", "wind_speed", "precipitation"]
+REQUIRED = ["pm25_next", "pm25_lag1", "pm25_lag3", "pm25_lag6", "pm25_lag24", "pm25_roll6", "pm25_roll24",
+            "pm25_trend_3h", "pm25_std_12h", "temp_change_3h", "humidity_change_3h", "wind_change_3h", "stagnation_hours_6h"]
 BASE_COLS = ["location", "datetime", "latitude", "longitude"] + POLL + WX
 
 
@@ -319,12 +321,8 @@ def _mean_full(n: int) -> str:
             f"THEN {_lsum(sl)} / {n} END")
 
 
-def _blend_coefs() -> list[tuple[str, float]]:
-    from airgrid.operators.forecast import BLEND
-    return list(BLEND.coefs.items())
-
-
-BLEND_COEFS = _blend_coefs()
+BLEND_COEFS = [("pm25_lag1", 0.5), ("pm25_roll6", 0.3), ("pm25_roll24", 0.2), ("wind_change_3h", -0.1),
+               ("stagnation_hours_6h", 0.5), ("temperature", 0.05), ("humidity", -0.02), ("hour_sin", 1.0)]
 
 
 def blend_feats(s: int) -> dict[str, str]:

@@ -12,7 +12,7 @@ or after it:
 This is pandas ``interpolate(limit=limit, limit_direction="forward")`` on
 equally spaced rows.  Interior gaps are drawn toward the *next* valid reading,
 so a filled value uses data after it (kept on purpose for the training panel;
-backtests use :func:`prefix_view` instead).
+backtests use prefix-only views instead).
 """
 
 from __future__ import annotations
@@ -88,18 +88,6 @@ def interpolation_state(df: DataFrame, cols: list[str], key: str | None = KEY,
     return out.withColumns(add)
 
 
-def prefix_view(c: str, origin_rn: Column, limit: int = INTERP_LIMIT) -> Column:
-    """Value of ``c`` at a row as seen from an origin that knows rows ``<= origin_rn``.
-
-    The fully filled value is visible if the row is valid or its gap closed at or
-    before the origin; otherwise only a trailing-gap repeat of the last value
-    (within ``limit`` rows) is known.
-    """
-    rn, pi, px, ni = (F.col(_RN), F.col(f"{c}_pi"), F.col(f"{c}_px"), F.col(f"{c}_ni"))
-    return (F.when(F.col(c).isNotNull() | (ni <= origin_rn), F.col(f"{c}_filled"))
-            .when(pi.isNotNull() & ((rn - pi) <= limit), px))
-
-
 def interpolate_chunked(df: DataFrame, cols: list[str], chunk_hours: int, key: str = KEY,
                         time: str = TIME, limit: int = INTERP_LIMIT) -> DataFrame:
     """The same fill on (station, time block) partitions, for a gap-free hourly panel.

@@ -1,10 +1,10 @@
 """Exact quantiles without collecting a column into one task.
 
-``percentile`` buffers every distinct value of a group in one task.  Here the
-values are range-partitioned and sorted (a distributed, spill-capable sort),
-each sorted partition is counted (one number per partition reaches the
-driver), and global ranks are partition offset + position inside the
-partition.  Only the rows at the requested ranks are collected.  Linear
+``percentile`` buffers every distinct value of a group in one task.  Here all
+columns go through one pass: equal values are counted (with map-side
+pre-aggregation), the counts are range-partitioned and sorted by (column, value),
+and global ranks are the totals of the partitions before plus a running sum inside
+the partition.  Only the rows at the requested ranks reach the driver.  Linear
 interpolation between neighbouring ranks, as pandas / ``quantile_cont``.
 """
 
@@ -12,37 +12,41 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.session import cut_lineage
 
-_LOW_BITS = 33          # monotonically_increasing_id: partition id in the upper bits
+
+def exact_quantiles_many(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles ``qs`` of every column; NULL and NaN are left out, a column without values gives None."""
+    entries = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])
+    counts = (df.select(F.explode(entries).alias("e")).select("e.c", "e.v")
+              .where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    laid = cut_lineage(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (laid.groupBy("c", "part").agg(F.sum("n").alias("size"))
+             .withColumns({"skip": F.coalesce(F.sum("size").over(before), F.lit(0)),
+                           "total": F.sum("size").over(Window.partitionBy("c"))}))
+    upto = F.col("skip") + F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))
+    ranked = laid.join(sizes, ["c", "part"]).withColumn("upto", upto)
+    wanted = F.array(*[f(F.lit(q) * (F.col("total") - 1)).cast("long") for q in qs for f in (F.floor, F.ceil)])
+    hit = F.filter(wanted, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    rows = ranked.select("c", "v", "total", F.explode(F.array_distinct(hit)).alias("rank")).collect()
+    at = {(r["c"], r["rank"]): r["v"] for r in rows}
+    totals = {r["c"]: r["total"] for r in rows}
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        out[c] = []
+        for q in qs:
+            if c not in totals:
+                out[c].append(None)
+                continue
+            pos = q * (totals[c] - 1)
+            lo, hi = at[c, math.floor(pos)], at[c, math.ceil(pos)]
+            out[c].append(lo + (hi - lo) * (pos - math.floor(pos)))
+    return out
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    srt = cut_lineage(vals.orderBy("v").select(
-        "v", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid")))
-    counts = sorted((r["pid"], r["n"]) for r in srt.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    n = sum(c for _, c in counts)
-    if n == 0:
-        return [None for _ in qs]
-    offsets, acc = {}, 0
-    for pid, c in counts:
-        offsets[pid] = acc
-        acc += c
-    targets = set()
-    for q in qs:
-        pos = q * (n - 1)
-        targets.update({math.floor(pos), math.ceil(pos)})
-    off = F.element_at(F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]), F.col("pid"))
-    rank = off + (F.col("mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)))
-    got = {r["rank"]: r["v"] for r in srt.select(rank.alias("rank"), "v")
-           .where(F.col("rank").isin(sorted(targets))).collect()}
-    out = []
-    for q in qs:
-        pos = q * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        out.append(got[lo] + (got[hi] - got[lo]) * (pos - lo))
-    return out
+    return exact_quantiles_many(df, [col], qs)[col]

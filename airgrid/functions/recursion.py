@@ -14,8 +14,7 @@ import math
 import numpy as np
 import pandas as pd
 
-HEATING = (10, 11, 12, 1, 2, 3, 4)
-LOW_WIND = 2.0
+from airgrid.schemas import HEATING_MONTHS, LOW_WIND
 
 
 def _seq_sum(cols: list[np.ndarray]) -> np.ndarray:
@@ -72,7 +71,7 @@ def step_features(s: int, pm: list[np.ndarray], b: dict) -> dict[str, np.ndarray
         "month": month, "month_sin": np.sin(2 * math.pi * month / 12),
         "month_cos": np.cos(2 * math.pi * month / 12),
         "weekend_flag": (wd >= 5).astype("float64"),
-        "heating_season_flag": np.isin(month, HEATING).astype("float64"),
+        "heating_season_flag": np.isin(month, HEATING_MONTHS).astype("float64"),
         "temperature": t, "humidity": h, "wind_speed": v, "precipitation": b["wp"][:, s - 1],
         "temp_change_3h": t - b["wt"][:, s - 1], "humidity_change_3h": h - b["wh"][:, s - 1],
         "wind_change_3h": v - b["ww"][:, s - 1],
@@ -118,15 +117,9 @@ def make_scorer(coefs: dict[str, float], intercept: float, fills: dict[str, floa
                 out["datetime"].append((b["origin"] + pd.Timedelta(hours=s)).to_numpy())
                 out["pm25_pred"].append(pred)
                 if mode == "forecast":
-                    nanm = np.column_stack([np.isnan(np.asarray(x[f], dtype="float64")) for f in features])
-                    out["miss"].append([[features[j] for j in np.flatnonzero(r)] for r in nanm])
-                    if explain:
-                        vals = np.column_stack([float(c) * (filled[f] - float(means.get(f, 0.0)))
-                                                for f, c in items])
-                        out["eff"].append([[{"feature": f, "value": float(vv)} for (f, _), vv in zip(items, r)]
-                                           for r in vals])
-                    else:
-                        out["eff"].append([[] for _ in range(n)])
+                    out["miss"].append(np.column_stack([np.isnan(np.asarray(x[f], dtype="float64")) for f in features]))
+                    out["eff"].append(np.column_stack([float(c) * (filled[f] - float(means.get(f, 0.0)))
+                                                       for f, c in items]) if explain else np.empty((n, 0)))
             # rows ordered (origin, horizon)
             order = np.arange(n * horizon).reshape(horizon, n).T.ravel()
             res = pd.DataFrame({
@@ -137,10 +130,9 @@ def make_scorer(coefs: dict[str, float], intercept: float, fills: dict[str, floa
                 "pm25_pred": np.concatenate(out["pm25_pred"])[order],
             })
             if mode == "forecast":
-                miss = [m for step in out["miss"] for m in step]
-                eff = [e for step in out["eff"] for e in step]
-                res["missing_features"] = [miss[i] for i in order]
-                res["effects"] = [eff[i] for i in order]
+                # flags and values as arrays; Spark SQL turns them into names and structs
+                res["missing_flags"] = list(np.concatenate(out["miss"])[order])
+                res["effect_values"] = list(np.concatenate(out["eff"])[order])
             else:
                 truth = _stack(pdf["_truth"], horizon)
                 res["y_true"] = truth.ravel()

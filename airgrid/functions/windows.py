@@ -71,10 +71,11 @@ def with_time_chunks(df: DataFrame, chunk_hours: int, halo: int, time: str = TIM
     """
     h = F.floor(F.unix_seconds(F.col(time)) / 3600)
     c = F.floor(h / chunk_hours)
-    own = df.withColumns({CHUNK: c, HALO: F.lit(False)})
-    copy = (df.where(h - F.floor(h / chunk_hours) * chunk_hours >= chunk_hours - halo)
-            .withColumns({CHUNK: c + 1, HALO: F.lit(True)}))
-    return own.unionByName(copy)
+    tag = lambda chunk, halo_row: F.struct(chunk.cast("long").alias(CHUNK), F.lit(halo_row).alias(HALO))
+    late = h - c * chunk_hours >= chunk_hours - halo
+    tags = F.when(late, F.array(tag(c, False), tag(c + 1, True))).otherwise(F.array(tag(c, False)))
+    # one explode, so that the frame is read once
+    return df.withColumn("_tag", F.explode(tags)).select(*df.columns, "_tag.*")
 
 
 def chunk_window(key: str = KEY, time: str = TIME) -> WindowSpec:

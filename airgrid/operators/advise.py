@@ -82,8 +82,8 @@ def window_facts(series: DataFrame, windows: DataFrame, value: str = "pm25_pred"
         F.count("weather_code").alias("_nc"),
         F.count(F.when(F.col("weather_code").isin(GOOD_WEATHER), 1)).alias("_ng"),
         packed.alias("_rows"))
-    mid = F.element_at("_rows", (F.size("_rows") / 2).cast("int") + 1)["c"]
-    first_valid = F.element_at(F.filter("_rows", lambda r: r["c"].isNotNull()), 1)["c"]
+    mid = F.try_element_at("_rows", (F.size("_rows") / 2).cast("int") + 1)["c"]
+    first_valid = F.try_element_at(F.filter("_rows", lambda r: r["c"].isNotNull()), F.lit(1))["c"]
     return g.select(KEY, "window_start", "window_end", "avg_pm",
                     F.when(F.col("_nc") > 0, F.col("_ng") / F.col("_nc")).otherwise(F.lit(0.0))
                     .alias("weather_ratio"),

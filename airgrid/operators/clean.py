@@ -8,7 +8,7 @@ step works on the hourly panel, whose size is stations x hours.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.interp import interpolate, interpolate_chunked
@@ -22,6 +22,11 @@ HOUR = "interval 1 hour"
 
 # ---------------------------------------------------------------- S10 / S11 --
 
+def no_nan(c: str) -> Column:
+    """A double without NaN: NULL stands for every missing reading."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def pivot_measurements(long: DataFrame, parameters: list[str] = ALL_PARAMETERS) -> DataFrame:
     """Long readings -> one row per (datetime, location, latitude, longitude).
 
@@ -32,7 +37,7 @@ def pivot_measurements(long: DataFrame, parameters: list[str] = ALL_PARAMETERS)
     keys = [TIME, KEY] + COORD_COLS
     valid = long.where(F.col(TIME).isNotNull() & F.col(KEY).isNotNull()
                        & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    return valid.groupBy(*keys).pivot("parameter", parameters).agg(F.avg("value"))
+    return valid.groupBy(*keys).pivot("parameter", parameters).agg(F.avg(no_nan("value")))
 
 
 def resample_station(long: DataFrame, stations: DataFrame,
@@ -40,15 +45,16 @@ def resample_station(long: DataFrame, stations: DataFrame,
     """Readings of stations without coordinates -> hourly grid + station metadata.
 
     ``long``: ``location, datetime, parameter, value``; ``stations``: ``location,
-    latitude, longitude`` (one row per station).  Mean per exact timestamp (the
-    pivot), then hourly mean of those, on a gap-free grid per station.
+    latitude, longitude``.  Mean per exact timestamp (the pivot), then hourly mean of
+    those, on a gap-free grid per station.  Of several coordinates of one station the
+    smallest pair is used, so no row doubles.
     """
     per_ts = (long.where(F.col(TIME).isNotNull())
-              .groupBy(KEY, TIME).pivot("parameter", parameters).agg(F.avg("value")))
+              .groupBy(KEY, TIME).pivot("parameter", parameters).agg(F.avg(no_nan("value"))))
     hourly = (per_ts.groupBy(KEY, F.date_trunc("hour", TIME).cast("timestamp").alias(TIME))
               .agg(*[F.avg(p).alias(p) for p in parameters]))
     grid = hourly_spine(hourly).join(hourly, [KEY, TIME], "left")
-    return grid.join(stations.select(KEY, *COORD_COLS), KEY, "left")
+    return grid.join(station_coordinates(stations), KEY, "left")
 
 
 # ------------------------------------------------------------------ C01-C05 --
@@ -59,9 +65,9 @@ def clean_locations(df: DataFrame, col: str = KEY) -> DataFrame:
 
 
 def dedup_weather(weather: DataFrame) -> DataFrame:
-    """One row per timestamp, mean of every weather column."""
+    """One row per timestamp, mean of every weather column (the largest code: codes have no mean)."""
     cols = [c for c in weather.columns if c != TIME]
-    return weather.groupBy(TIME).agg(*[F.avg(c).alias(c) for c in cols])
+    return weather.groupBy(TIME).agg(*[(F.max(c) if c == "weather_code" else F.avg(no_nan(c))).alias(c) for c in cols])
 
 
 def merge_weather(pollution: DataFrame, weather: DataFrame,
@@ -84,8 +90,8 @@ def drop_unused(df: DataFrame, expected: list[str] = POLLUTANTS,
 
 
 def clean_pollutants(df: DataFrame, cols: list[str] = POLLUTANTS) -> DataFrame:
-    """Negative readings (the -1 sentinel) become NULL; weather is exempt."""
-    return df.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in cols if c in df.columns})
+    """Negative readings (the -1 sentinel) and NaN become NULL; weather is exempt."""
+    return df.withColumns({c: F.when(no_nan(c) >= 0, F.col(c)) for c in cols if c in df.columns})
 
 
 # ------------------------------------------------------------------ C06-C08 --
@@ -116,8 +122,9 @@ def resample_weather(df: DataFrame, cols: list[str] = WEATHER_COLS) -> DataFrame
 
 
 def station_coordinates(df: DataFrame) -> DataFrame:
-    """Distinct (location, latitude, longitude); more than one pair per station fans out."""
-    return df.select(KEY, *COORD_COLS).distinct()
+    """One (latitude, longitude) per location: the smallest pair, so a station never fans out."""
+    pair = F.min(F.struct(*COORD_COLS)).alias("_at")
+    return df.groupBy(KEY).agg(pair).select(KEY, "_at.*")
 
 
 def resample_hourly(df: DataFrame) -> DataFrame:
@@ -186,5 +193,6 @@ def build_base_dataset(pollution: DataFrame, weather: DataFrame, materialize: bo
 
 
 def base_from_measurements(long: DataFrame, weather: DataFrame, materialize: bool = True) -> DataFrame:
-    """S10 + C11."""
-    return build_base_dataset(pivot_measurements(long), weather, materialize)
+    """S10 + C11.  The pivot is cut first, since the name folding reads it twice."""
+    wide = pivot_measurements(long)
+    return build_base_dataset(cut_lineage(wide) if materialize else wide, weather, materialize)

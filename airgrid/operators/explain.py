@@ -1,8 +1,7 @@
 """Explanations.
 
-* X01 permutation importance: a feature column is permuted inside random hash
-  buckets (row ranks by position vs by a seeded random key, joined on
-  (bucket, rank)), so no global sort or single-partition window is needed; all
+* X01 permutation importance: every repeat permutes the rows by a one-to-one map of
+  their positions; rows and donors meet in one join per repeat and all
   (feature, repeat) permutations are scored in one scoring job.
 * X02 global attribution: exact for linear models (coef x centred value, in
   columns); for other models sampled Shapley values (Strumbelj & Kononenko,
@@ -12,13 +11,16 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.operators import metrics
 from airgrid.operators.forecast import LinearForecaster
 from airgrid.schemas import FEATURES
-from airgrid.session import cut_lineage
+from airgrid.session import cut_lineage, scratch_path
 
 # ---- fixed values: display names and ignored features of the explanation ------
 FEATURE_LABELS = {
@@ -61,102 +63,99 @@ def linear_attributions(df: DataFrame, model: LinearForecaster, top: int | None
     return out.orderBy(F.desc("importance"), "feature").limit(top) if top else out
 
 
-def sampled_shapley(df: DataFrame, model, features: list[str] = FEATURES, background: DataFrame | None = None,
-                    permutations: int = 8, seed: int = 42, max_rows: int | None = None,
-                    max_background: int = 256) -> DataFrame:
-    """X02 for any model: Monte-Carlo Shapley values (log-space prediction), mean |phi| per feature.
-
-    For every (row, permutation) a background row z is drawn; along the
-    permutation, feature j switches from z to x; phi_j is the prediction
-    change at that switch.  All coalitions of all permutations are scored in one
-    ``transform`` and differenced with a window over (row, permutation).
-    ``max_rows`` keeps a deterministic hash-ordered sample (the reference
-    explains a 2,000-row sample); None explains every row.
+_LOW = (1 << 33) - 1        # monotonically_increasing_id: row number in the lower bits
+
+
+def _indexed(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with positions 0..n-1 in ``_pos``, stored so that they never change, and n."""
+    laid = cut_lineage(df.withColumn("_mid", F.monotonically_increasing_id()))
+    part = F.shiftright("_mid", 33)
+    sizes = laid.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))     # a row per partition
+    skip = sizes.withColumn("_skip", F.coalesce(F.sum("_size").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = sizes.agg(F.sum("_size")).first()[0] or 0
+    out = (laid.withColumn("_part", part).join(skip.select("_part", "_skip"), "_part")
+           .withColumn("_pos", F.col("_skip") + F.col("_mid").bitwiseAND(F.lit(_LOW))))
+    return out.drop("_part", "_skip", "_mid"), int(n)
+
+
+def _shuffled(pos: Column, n: int, seed: int) -> Column:
+    """A seeded one-to-one map of 0..n-1 onto itself (two affine steps modulo n)."""
+    rng = random.Random(seed)
+    for _ in range(2):
+        a = rng.randrange(1, min(max(n, 2), 1 << 29))
+        while math.gcd(a, n) != 1:
+            a += 1
+        pos = F.pmod(pos * F.lit(a) + F.lit(rng.randrange(0, max(n, 1))), F.lit(max(n, 1)))
+    return pos
+
+
+def shapley_values(rows: DataFrame, model, features: list[str] = FEATURES, background: DataFrame | None = None,
+                   permutations: int = 8, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """keys, feature and phi: sampled Shapley values (log-space prediction) of each row.
+
+    For every (row, permutation) one background row z is drawn from all of them;
+    along the permutation, feature j switches from z to x and phi_j is the prediction
+    change at that switch, averaged over permutations.  Rows are told apart by
+    position, so equal rows do not mix.  Coalition k adds its score to the feature
+    switched last and takes it from the one switched next, so one aggregate is
+    enough.  ``keys`` name each row (default: its position).
     """
-    x = df.select(*features).withColumn("_rid", F.xxhash64(*features, F.lit(seed)))
-    if max_rows:
-        x = x.orderBy("_rid").limit(max_rows)
-    # background: at most ``max_background`` rows, one per hash slot (a proven bound,
-    # so it is broadcast); each (row, permutation) draws one of them by hash
-    src = (background if background is not None else df).select(*features)
-    slots = (src.withColumn("_bid", F.xxhash64(*features, F.lit(seed + 1)))
-             .groupBy(F.pmod("_bid", F.lit(max_background)).alias("_slot"))
-             .agg(F.min_by(F.struct(*features), "_bid").alias("r"))
-             .orderBy("_slot").select("r.*").collect())
-    nb = max(len(slots), 1)
-    bg = F.broadcast(df.sparkSession.createDataFrame(
-        [(i, *row) for i, row in enumerate(slots)],
-        _bg_schema(src, features)))
-    # per (row, permutation): a background index and a random feature order
-    perm = x.select("_rid", *[F.col(f).alias(f"x_{f}") for f in features],
+    x, _ = _indexed(rows.select(*(keys or []), *features))
+    bg, nb = _indexed((background if background is not None else rows).select(*features))
+    names = F.array(*[F.lit(f) for f in features])
+    last = len(features) - 1
+    perm = x.select("_pos", *(keys or []), F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
                     F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_p"))
-    perm = perm.withColumn("_b", F.pmod(F.xxhash64("_rid", "_p"), F.lit(nb)))
+    perm = perm.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_pos", "_p"), F.lit(max(nb, 1))))
     order = F.transform(F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.lit(len(features) - 1)),
-        lambda i: F.struct(F.xxhash64("_rid", "_p", i).alias("h"), i.alias("i")))), lambda s: s["i"])
-    perm = perm.withColumn("_ord", order)
-    pz = perm.join(bg.select("_b", *[F.col(f).alias(f"z_{f}") for f in features]), "_b")
-    # coalition k (0..n): the first k features of the order come from x, the rest from z;
-    # built as one array expression, then split into the model's columns
-    pz = pz.select("_rid", "_p", "_ord",
-                   F.array(*[F.col(f"x_{f}").cast("double") for f in features]).alias("_x"),
-                   F.array(*[F.col(f"z_{f}").cast("double") for f in features]).alias("_z"))
-    co = pz.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(features)))).alias("_k"))
-    mixed = F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.when(
+        F.sequence(F.lit(0), F.lit(last)),
+        lambda i: F.struct(F.xxhash64(F.lit(seed), "_pos", "_p", i).alias("h"), i.alias("i")))), lambda s: s["i"])
+    z = bg.select(F.col("_pos").alias("_b"), F.array(*[F.col(f).cast("double") for f in features]).alias("_z"))
+    pairs = perm.withColumn("_ord", order).join(z, "_b")
+    co = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(last + 1))).alias("_k"))
+    mixed = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.when(
         F.array_position("_ord", i) <= F.col("_k"), F.element_at("_x", i + 1)).otherwise(F.element_at("_z", i + 1)))
-    co = co.select("_rid", "_p", "_k", "_ord", mixed.alias("_m"))
-    co = co.select("_rid", "_p", "_k", "_ord", *[F.col("_m")[i].alias(f) for i, f in enumerate(features)])
-    # the scoring plan is wide (every feature, its fill and indicator); constraint
-    # inference over it grows combinatorially, so it is switched off for this one
-    # materialisation (it only derives extra filters) and the scores are checkpointed
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.constraintPropagation.enabled", "true")
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    try:
-        pred = cut_lineage(model.transform(co).select("_rid", "_p", "_k", "_ord",
-                                                      F.col("prediction").alias("_y")))
-    finally:
-        spark.conf.set("spark.sql.constraintPropagation.enabled", prev)
-    w = Window.partitionBy("_rid", "_p").orderBy("_k")
-    d = pred.withColumn("_phi", F.col("_y") - F.lag("_y", 1).over(w)).where("_k > 0")
-    d = d.withColumn("feature_idx", F.element_at("_ord", F.col("_k")))
-    fname = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature_idx") + 1)
-    per = d.groupBy("_rid", fname.alias("feature")).agg(F.avg("_phi").alias("phi"))
-    return per.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
-
-
-def _bg_schema(src: DataFrame, features: list[str]):
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField("_b", T.IntegerType())]
-                        + [src.schema[f] for f in features])
+    path = scratch_path(rows.sparkSession, "coalitions")
+    ids = ["_pos", *(keys or []), "_k", "_ord"]
+    co.select(*ids, mixed.alias("_m")).write.parquet(path)
+    co = rows.sparkSession.read.parquet(path).select(*ids, *[F.col("_m")[i].alias(f) for i, f in enumerate(features)])
+    scored = model.transform(co).select(*ids, F.col("prediction").alias("_y"))
+    moves = F.concat(
+        F.when(F.col("_k") > 0, F.array(F.struct(F.try_element_at("_ord", F.greatest(F.col("_k"), F.lit(1))).alias("i"),
+                                                 F.col("_y").alias("d"))))
+        .otherwise(F.array().cast("array<struct<i:int,d:double>>")),
+        F.when(F.col("_k") <= last, F.array(F.struct(F.try_element_at("_ord", F.least(F.col("_k"), F.lit(last)) + 1).alias("i"),
+                                                     (-F.col("_y")).alias("d"))))
+        .otherwise(F.array().cast("array<struct<i:int,d:double>>")))
+    per = scored.select("_pos", *(keys or []), F.explode(moves).alias("m"))
+    return (per.groupBy("_pos", *(keys or []), F.element_at(names, F.col("m.i") + 1).alias("feature"))
+            .agg((F.sum("m.d") / permutations).alias("phi")))
+
+
+def sampled_shapley(df: DataFrame, model, features: list[str] = FEATURES, background: DataFrame | None = None,
+                    permutations: int = 8, seed: int = 42) -> DataFrame:
+    """X02 for any model: mean |phi| per feature over every row of ``df``."""
+    phi = shapley_values(df, model, features, background, permutations, seed)
+    return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
 
 
 def permutation_importance(df: DataFrame, model, features: list[str] = FEATURES, repeats: int = 5,
-                           seed: int = 42, target: str = "label", bucket_rows: int = 100000) -> DataFrame:
+                           seed: int = 42, target: str = "label") -> DataFrame:
     """Mean drop of R^2 (on the log target) when one feature is permuted.
 
-    ``model.transform`` must add ``prediction``.  Permutations are drawn inside
-    hash buckets of about ``bucket_rows`` rows each.
+    ``model.transform`` must add ``prediction``.  Each repeat has one permutation of
+    all rows: a one-to-one map of row positions, so rows meet their donors in one
+    join per repeat; the features are then swapped one at a time after the join.
     """
-    n = df.count()
-    buckets = max(1, n // bucket_rows)
-    base = df.withColumn("_id", F.monotonically_increasing_id())
-    base = base.withColumn("_bk", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(buckets)))
-    base = base.withColumn("_rp", F.row_number().over(Window.partitionBy("_bk").orderBy("_id"))).cache()
-    combos = [(f, r) for f in features for r in range(repeats)]
-    rows = base.select("*", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
-                                                  for f, r in combos])).alias("_c"))
-    rows = rows.select("*", F.col("_c.f").alias("_f"), F.col("_c.r").alias("_r")).drop("_c")
-    keyed = rows.withColumn("_rr", F.row_number().over(
-        Window.partitionBy("_f", "_r", "_bk").orderBy(F.xxhash64("_id", "_f", "_r", F.lit(seed)))))
-    donor = base.select("_bk", F.col("_rp").alias("_rr"),
-                        F.struct(*[F.col(f).alias(f) for f in features]).alias("_d"))
-    j = keyed.join(donor, ["_bk", "_rr"])
-    swapped = j.select(*[c for c in df.columns if c not in features], "_f", "_r",
-                       *[F.when(F.col("_f") == f, F.col("_d")[f]).otherwise(F.col(f)).alias(f)
-                         for f in features])
-    scored = model.transform(swapped)
-    per = scored.groupBy("_f", "_r").agg(metrics.r2(target, "prediction").alias("r2"))
+    base, n = _indexed(df.select(*features, target))
+    donor = base.select(F.col("_pos").alias("_from"), F.struct(*features).alias("_d"))
+    draws = F.array(*[F.struct(F.lit(r).alias("_r"), _shuffled(F.col("_pos"), n, seed + r).alias("_from")) for r in range(repeats)])
+    rows = base.withColumn("_t", F.explode(draws)).select("*", "_t.*").drop("_t").join(donor, "_from")
+    each = rows.withColumn("_f", F.explode(F.array(*[F.lit(f) for f in features])))
+    swapped = each.select(target, "_f", "_r", *[F.when(F.col("_f") == f, F.col("_d")[f]).otherwise(F.col(f)).alias(f)
+                                                for f in features])
+    per = model.transform(swapped).groupBy("_f", "_r").agg(metrics.r2(target, "prediction").alias("r2"))
     ref = model.transform(df).agg(metrics.r2(target, "prediction").alias("r2")).first()["r2"]
     return per.groupBy(F.col("_f").alias("feature")).agg(
         (F.lit(ref) - F.avg("r2")).alias("importance"), F.stddev_samp("r2").alias("importance_std"))

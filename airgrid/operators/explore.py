@@ -54,10 +54,20 @@ def negative_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def time_steps(df: DataFrame, top: int = 10) -> DataFrame:
-    """Distribution of consecutive time differences per station, most frequent first."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    step = F.unix_seconds(F.col(TIME)) - F.unix_seconds(F.lag(TIME, 1).over(w))
-    counts = (df.select(step.alias("step_seconds")).where("step_seconds IS NOT NULL")
+    """Distribution of consecutive time differences per station, most frequent first.
+
+    Differences inside a (station, day) come from that day's window; the step into a
+    day from the last reading before it comes from the small table of first and last
+    readings per day, so a station's readings are never in one task together.
+    """
+    day = F.date_trunc("day", TIME)
+    rows = df.where(F.col(TIME).isNotNull()).select(KEY, TIME, day.alias("_day"))
+    inside = rows.select((F.unix_seconds(TIME) - F.unix_seconds(F.lag(TIME, 1).over(
+        Window.partitionBy(KEY, "_day").orderBy(TIME)))).alias("step_seconds"))
+    days = rows.groupBy(KEY, "_day").agg(F.min(TIME).alias("lo"), F.max(TIME).alias("hi"))
+    between = days.select((F.unix_seconds("lo") - F.unix_seconds(F.lag("hi", 1).over(
+        Window.partitionBy(KEY).orderBy("_day")))).alias("step_seconds"))
+    counts = (inside.unionByName(between).where("step_seconds IS NOT NULL")
               .groupBy("step_seconds").agg(F.count(F.lit(1)).alias("n")))
     return counts.orderBy(F.desc("n"), "step_seconds").limit(top)
 
@@ -81,10 +91,10 @@ def summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles (linear), max per column, as rows.
 
     Moments and extremes come from one aggregation; quartiles from the
-    distributed exact quantile (a range-partitioned sort per column), never from
-    a one-task buffer of all values.
+    distributed exact quantiles (one pass over all columns), never from a
+    one-task buffer of all values.
     """
-    from airgrid.functions.quantiles import exact_quantiles
+    from airgrid.functions.quantiles import exact_quantiles_many
     cols = cols or _numeric(df)
     aggs = []
     for c in cols:
@@ -93,8 +103,9 @@ def summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
     row = df.agg(*aggs).first()
     rows = []
+    quartiles = exact_quantiles_many(df, cols, [0.25, 0.5, 0.75])
     for c in cols:
-        q1, q2, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        q1, q2, q3 = quartiles[c]
         stats = [("count", row[f"{c}|count"]), ("mean", row[f"{c}|mean"]), ("std", row[f"{c}|std"]),
                  ("min", row[f"{c}|min"]), ("25%", q1), ("50%", q2), ("75%", q3), ("max", row[f"{c}|max"])]
         rows += [(c, s, None if v is None else float(v)) for s, v in stats]
@@ -102,7 +113,7 @@ def summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str = "pm25", bins: int = 100) -> DataFrame:
-    """Equal-width bins between min and max; the last bin is closed."""
+    """All ``bins`` equal-width bins between min and max, empty ones too; the last is closed."""
     x = F.col(col)
     b = df.where(x.isNotNull()).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
@@ -111,6 +122,8 @@ def histogram(df: DataFrame, col: str = "pm25", bins: int = 100) -> DataFrame:
     width = (hi - lo) / bins if hi > lo else 1.0
     idx = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counts.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
                          (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "n")
 
@@ -259,20 +272,20 @@ def pca_projection(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame
 
 
 def kmeans_elbow(df: DataFrame, cols: list[str], ks: range = range(2, 10), seed: int = 42,
-                 label_k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """K-means inertia for each k (elbow) and the cluster labels for ``label_k``."""
+                 label_k: int = 5, keys: tuple[str, ...] = (KEY, TIME)) -> tuple[DataFrame, DataFrame | None]:
+    """K-means inertia for each k (elbow) and the cluster of every complete row for ``label_k``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    data = df.select(*cols).na.drop()
+    data = df.select(*keys, *[c for c in cols if c not in keys]).na.drop(subset=cols)
     prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_v"),
                             StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True)])
-    scaled = prep.fit(data).transform(data).select("_s").cache()
+    scaled = prep.fit(data).transform(data).select(*keys, "_s").cache()
     rows, labels = [], None
     for k in ks:
         m = KMeans(k=k, seed=seed, featuresCol="_s", predictionCol="cluster").fit(scaled)
         rows.append((k, float(m.summary.trainingCost)))
         if k == label_k:
-            labels = m.transform(scaled).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+            labels = m.transform(scaled).select(*keys, "cluster")
     elbow = df.sparkSession.createDataFrame(rows, "k int, inertia double")
     return elbow, labels

@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from airgrid.functions.windows import (CHUNK, HALO, chunk_window, diff, rolling_mean_prev,
                                        rolling_std_prev, rolling_sum_prev_rows, station_window,
                                        with_time_chunks)
-from airgrid.schemas import FEATURES, HEATING_MONTHS, KEY, TIME
+from airgrid.schemas import FEATURES, HEATING_MONTHS, KEY, LOW_WIND, TIME
 
 LAGS = (1, 3, 6, 24)
-LOW_WIND = 2.0
 LOOKBACK = 24            # the longest backward look of any window feature, in rows (= hours)
 CHUNK_HOURS = 30 * 24    # per-station block size of the chunked window plan
 
@@ -101,18 +100,12 @@ def fit_spatial(train: DataFrame) -> SpatialFit:
     return SpatialFit(means["a"], means["b"], mapping, int(means["n"]))
 
 
-BROADCAST_MAX_STATIONS = 2_000_000
-
-
 def apply_spatial(df: DataFrame, fit: SpatialFit) -> DataFrame:
     """F16: centred coordinates and station id (unseen stations get -1).
 
-    The station index is broadcast when its counted size is under
-    ``BROADCAST_MAX_STATIONS`` (no shuffle of the feature table); beyond that
-    it is an ordinary shuffle join.
+    No hint: the join is broadcast when the index is measured to be small.
     """
-    small = 0 <= fit.n_stations <= BROADCAST_MAX_STATIONS
-    out = df.join(F.broadcast(fit.mapping) if small else fit.mapping, KEY, "left")
+    out = df.join(fit.mapping, KEY, "left")
     return out.withColumns({
         "lat_norm": F.col("latitude") - F.lit(fit.lat_mean).cast("double"),
         "lon_norm": F.col("longitude") - F.lit(fit.lon_mean).cast("double"),

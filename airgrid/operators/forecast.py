@@ -28,68 +28,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions.interp import _RN, interpolation_state
-from airgrid.schemas import FEATURES, HEATING_MONTHS, KEY, LOCAL_TZ, POLLUTANTS, TIME, WEATHER_COLS
+from airgrid.schemas import (EXTREME, FEATURES, HEATING_MONTHS, HISTORY_HOURS, HORIZON, KEY, LOCAL_TZ, LOW_WIND,
+                             POLLUTANTS, TIME, WEATHER_COLS)
 from airgrid.session import cut_lineage
 
-HORIZON = 12
 HISTORY = 24
-EXTREME = 500.0
-LOW_WIND = 2.0
 
 
 # ------------------------------------------------------------------ P01 ------
 
-def _hour_ceil(c: Column) -> Column:
-    t = F.date_trunc("hour", c)
-    return F.when(t == c, t).otherwise(t + F.expr("interval 1 hour"))
-
-
 def asof_weather(targets: DataFrame, weather: DataFrame, target_col: str = "target",
                  cols: list[str] = WEATHER_COLS) -> DataFrame:
     """Attach, for each target time, the latest weather row with time <= target.
 
-    If no such row exists the last row of the weather table is used.  Works for
-    any timestamps: hour ``h`` of a forward-filled hour grid holds the latest row
-    at or before ``h``; rows inside the target's own hour are checked directly.
-    The hour grid spans the weather and target range (bounded by time, never by
-    the number of targets), and is joined on the hour.
+    If no such row exists the last row of the weather table is used.  The weather
+    becomes one row per hour of an hour grid: the rows inside the hour, one per
+    instant in time order, and the last row before the hour.  The grid spans the
+    weather and target range (bounded by time, never by the number of targets) and
+    is joined on the hour; the row is then picked inside the joined row, so targets
+    need no id and the result does not depend on how they are partitioned.
     """
-    w = weather.select(F.col(TIME).alias("_wt"), *cols)
+    w = weather.select(F.col(TIME).alias("_wt"), *cols).where(F.col("_wt").isNotNull())
     packed = F.struct(F.col("_wt"), *[F.col(c) for c in cols])
-    per_hour = w.groupBy(_hour_ceil(F.col("_wt")).alias("_h")).agg(F.max_by(packed, "_wt").alias("_r"))
-    # two tiny driver-side aggregates: the weather range and last row, the target range
-    wrow = w.agg(F.min(F.date_trunc("hour", "_wt")).alias("lo"),
-                 F.max_by(packed, "_wt").alias("_r")).first()
-    trow = targets.agg(F.max(F.date_trunc("hour", target_col)).alias("hi"),
-                       F.max((F.col(target_col) > F.date_trunc("hour", target_col)).cast("int"))
-                       .alias("off")).first()
-    lo, last, hi = wrow["lo"], wrow["_r"], trow["hi"]
-    spark = targets.sparkSession
-    if lo is None or hi is None or last is None:
-        return targets.withColumns({c: F.lit(None).cast("double") for c in cols})
-    hi = max(hi, lo)
-    grid = spark.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi), F.expr("interval 1 hour"))).alias("_h"))
-    grid = (grid.join(per_hour, "_h", "left")
-            .withColumn("_r", F.last("_r", ignorenulls=True).over(
-                Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))))
+    inside = (w.groupBy("_wt").agg(F.max(packed).alias("_r"))
+              .groupBy(F.date_trunc("hour", "_wt").alias("_h")).agg(F.array_sort(F.collect_list("_r")).alias("_in")))
+    # two tiny driver-side aggregates: the weather range with its last row, the target range
+    wrow = w.agg(F.min(F.date_trunc("hour", "_wt")).alias("lo"), F.max(packed).alias("_r")).first()
+    hi = targets.agg(F.max(F.date_trunc("hour", target_col)).alias("hi")).first()["hi"]
+    lo, last = wrow["lo"], wrow["_r"]
+    if lo is None or hi is None:
+        return targets.withColumns({**{c: F.lit(None).cast("double") for c in cols},
+                                    "weather_time": F.lit(None).cast("timestamp")})
+    grid = targets.sparkSession.range(1).select(F.explode(F.sequence(
+        F.lit(lo), F.lit(max(hi, lo)), F.expr("interval 1 hour"))).alias("_h"))
+    grid = (grid.join(inside, "_h", "left")
+            .withColumn("_before", F.last(F.try_element_at("_in", F.lit(-1)), ignorenulls=True).over(
+                Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))))
     t = F.col(target_col)
-    base = targets.withColumn("_h", F.date_trunc("hour", t))
-    on_grid = base.join(grid.select("_h", F.col("_r").alias("_g")), "_h", "left")
-    # weather rows strictly inside an hour: only needed for off-hour targets
-    inner = (w.withColumn("_h", F.date_trunc("hour", "_wt"))
-             .where(F.col("_wt") > F.col("_h")))
-    if trow["off"] and inner.limit(1).count() > 0:
-        on_grid = on_grid.withColumn("_id", F.monotonically_increasing_id())
-        ok = F.col("_wt") <= t
-        cand = (on_grid.join(inner.withColumn("_p", packed).select("_h", "_wt", "_p"), "_h", "left")
-                .groupBy("_id").agg(F.max_by(F.when(ok, F.col("_p")), F.when(ok, F.col("_wt"))).alias("_i")))
-        on_grid = (on_grid.join(cand, "_id", "left")
-                   .withColumn("_g", F.coalesce("_i", "_g")).drop("_i", "_id"))
+    joined = targets.withColumn("_h", F.date_trunc("hour", t)).join(grid, "_h", "left")
     lastlit = F.struct(F.lit(last["_wt"]).alias("_wt"), *[F.lit(last[c]).alias(c) for c in cols])
-    r = F.coalesce(F.col("_g"), lastlit)
-    return on_grid.select(*[F.col(c) for c in targets.columns],
-                          *[r[c].alias(c) for c in cols],
-                          r["_wt"].alias("weather_time"))
+    r = F.coalesce(F.try_element_at(F.filter("_in", lambda x: x["_wt"] <= t), F.lit(-1)), F.col("_before"), lastlit)
+    return (joined.withColumn("_r", r)
+            .select(*[F.col(c) for c in targets.columns], *[F.col("_r")[c].alias(c) for c in cols],
+                    F.col("_r")["_wt"].alias("weather_time")))
 
 
 # ------------------------------------------------------------------ models ---
@@ -354,7 +335,7 @@ def _finish(out: DataFrame) -> DataFrame:
 
 
 _FC_SCHEMA = ("location string, origin timestamp, horizon int, datetime timestamp, pm25_pred double, "
-              f"missing_features array<string>, effects {_EFF_T}")
+              "missing_flags array<boolean>, effect_values array<double>")
 _BT_SCHEMA = ("location string, origin timestamp, horizon int, datetime timestamp, pm25_pred double, "
               "y_true double")
 _STATE_COLS = ["location", "origin", "origin_rn", "pm10", "no2", "so2", "pm", "wt", "wh", "ww", "wf", "wp",
@@ -368,7 +349,8 @@ def recursive_forecast(state: DataFrame, model: Forecaster, fit=None, horizon: i
     Linear (expression) models: the recursion runs vectorised over Arrow
     batches in ``mapInPandas`` (per partition, no shuffle, no plan growth).
     Spark ML models: one ``transform`` per step over all origins, with a
-    reliable checkpoint after each step.  With ``truth`` (an array column of the
+    reliable checkpoint after each step; ``explain`` adds the Shapley values of
+    every member, sampled over the rows of all steps and averaged over members.  With ``truth`` (an array column of the
     next ``horizon`` actual values) the output carries ``y_true`` instead of
     the diagnostics (backtests).  Otherwise the output has location, origin,
     horizon, datetime, pm25_pred, missing_features, effects, missing_ratio,
@@ -383,8 +365,10 @@ def recursive_forecast(state: DataFrame, model: Forecaster, fit=None, horizon: i
                          horizon, FEATURES, mode, explain)
         cols = _STATE_COLS + ([F.col(truth).alias("_truth")] if truth else [])
         out = df.select(*cols).mapInPandas(fn, _BT_SCHEMA if truth else _FC_SCHEMA)
-        return out if truth else _diagnostics(out)
+        return out if truth else _diagnostics(_named(out, list(model.coefs) if explain else []))
 
+    wanted = explain and not truth
+    seen = []
     keep = [c for c in df.columns if c != "pm"]
     df = df.withColumn("_out", F.array().cast(f"array<{_REC_T}>"))
     for s in range(1, horizon + 1):
@@ -394,14 +378,46 @@ def recursive_forecast(state: DataFrame, model: Forecaster, fit=None, horizon: i
         rec = F.struct(F.lit(s).alias("horizon"), F.col("datetime"), F.col("_pred").alias("pm25_pred"),
                        _missing({f: F.col(f) for f in FEATURES}).alias("missing_features"),
                        F.array().cast(_EFF_T).alias("effects")).cast(_REC_T)
+        inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in FEATURES])
         df = cut_lineage(scored.select(*keep, F.concat("pm", F.array(F.col("_pred"))).alias("pm"),
-                                       F.concat("_out", F.array(rec)).alias("_out")))
+                                       F.concat("_out", F.array(rec)).alias("_out"),
+                                       *([inputs.alias("_x")] if wanted else [])))
+        if wanted:
+            seen.append(df.select(KEY, F.col("origin").alias("_origin"), F.lit(s).alias("_step"), "_x.*"))
+            df = df.drop("_x")
     if truth:
         z = df.select(KEY, "origin", F.explode(F.arrays_zip(F.col("_out").alias("r"),
                                                             F.col(truth).alias("t"))).alias("z"))
         return z.select(KEY, "origin", "z.r.horizon", "z.r.datetime", "z.r.pm25_pred",
                         F.col("z.t").alias("y_true"))
-    return _finish(df)
+    out = _finish(df)
+    return _with_effects(out, seen, model) if wanted else out
+
+
+def _with_effects(out: DataFrame, seen: list[DataFrame], model: "MLForecaster") -> DataFrame:
+    """Replace the empty ``effects`` by each member's sampled Shapley values, averaged over members."""
+    from functools import reduce
+
+    from airgrid.operators.explain import shapley_values
+    rows = reduce(DataFrame.unionByName, seen)
+    parts = [shapley_values(rows, m, FEATURES, keys=[KEY, "_origin", "_step"]) for m in model.members]
+    both = reduce(DataFrame.unionByName, parts).groupBy(KEY, "_origin", "_step", "feature").agg(
+        (F.sum("phi") / len(parts)).alias("value"))
+    eff = both.groupBy(KEY, "_origin", "_step").agg(
+        F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("_eff"))
+    same = (out[KEY] == eff[KEY]) & (out["origin"] == eff["_origin"]) & (out["horizon"] == eff["_step"])
+    cols = [F.coalesce(F.col("_eff"), out["effects"]).alias("effects") if c == "effects" else out[c] for c in out.columns]
+    return out.join(eff, same, "left").select(*cols)
+
+
+def _named(out: DataFrame, effects: list[str]) -> DataFrame:
+    """Names of the missing features and (feature, value) effects from the flag and value arrays."""
+    names = lambda xs: F.array(*[F.lit(x) for x in xs])
+    flagged = F.filter(F.arrays_zip(names(FEATURES).alias("f"), F.col("missing_flags").alias("m")), lambda z: z["m"])
+    eff = (F.arrays_zip(names(effects).alias("feature"), F.col("effect_values").alias("value")).cast(_EFF_T)
+           if effects else F.array().cast(_EFF_T))
+    return out.select(KEY, "origin", "horizon", "datetime", "pm25_pred",
+                      F.transform(flagged, lambda z: z["f"]).alias("missing_features"), eff.alias("effects"))
 
 
 def _diagnostics(out: DataFrame) -> DataFrame:
@@ -438,12 +454,22 @@ def latest_origins(state: DataFrame) -> DataFrame:
     return state.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def recent_rows(base: DataFrame, hours: int = HISTORY_HOURS) -> DataFrame:
+    """The last ``hours`` hours of each station's panel."""
+    ends = base.groupBy(F.col(KEY).alias("_key")).agg(F.max(TIME).alias("_end"))
+    return (base.join(ends, F.col(KEY) == F.col("_key"))
+            .where(F.col(TIME) > F.col("_end") - F.make_dt_interval(F.lit(0), F.lit(hours))).select(*base.columns))
+
+
 def forecast_latest(base: DataFrame, weather: DataFrame, model: Forecaster, fit=None,
-                    horizon: int = HORIZON, explain: bool = False) -> DataFrame:
-    """P03/P09 core: forecast ``horizon`` hours from each station's last row."""
-    # only the last HISTORY rows of a station feed its latest state (top-k per group
-    # before the collect windows); the interpolation state itself is computed on all rows
-    st = latest_origins(origin_state(base, last_rows=HISTORY))
+                    horizon: int = HORIZON, explain: bool = False, history_hours: int | None = HISTORY_HOURS) -> DataFrame:
+    """P03/P09 core: forecast ``horizon`` hours from each station's last row.
+
+    The state needs the last ``HISTORY`` rows and the gap filling three rows more,
+    so only the last ``history_hours`` of each station are read (None: all).
+    """
+    recent = recent_rows(base, history_hours) if history_hours else base
+    st = cut_lineage(latest_origins(origin_state(recent, last_rows=HISTORY)))
     full = assemble_state(st, future_weather(st, weather, horizon))
     return recursive_forecast(full, model, fit, horizon, explain=explain)
 

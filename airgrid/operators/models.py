@@ -1,11 +1,10 @@
 """Model training and selection (M01-M13, T09) on Spark ML.
 
 * Targets are fitted in ``log1p`` space and mapped back with ``max(0, expm1)``.
-* Spark trees reject NULL/NaN, so missing features are filled with train
-  medians (``percentile_approx``: one pass, bounded memory) plus 0/1 missing
-  indicators; an all-NULL column is filled with 0.
-* The reference's model presets are kept as configuration; ``scale_preset``
-  caps iteration counts for quick runs (the catalog's rows-only checks).
+* Spark trees reject NULL/NaN, so missing features are filled with exact train
+  medians (one distributed pass over all features) plus 0/1 missing indicators;
+  an all-NULL column is filled with 0.
+* The reference's model presets are kept as configuration and fitted uncut.
 * Fits of a search run concurrently from a driver thread pool: each fit is a
   distributed Spark job, the pool only overlaps them.
 """
@@ -16,18 +15,20 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airgrid.functions.quantiles import exact_quantiles_many
 from airgrid.operators import metrics, splits
 from airgrid.operators.forecast import LinearForecaster, MLForecaster
 from airgrid.schemas import FEATURES, KEY, TARGET
+from airgrid.session import cut_lineage
 
 LABEL = "label"
-MEDIAN_ACCURACY = 100000
+ROWS_PER_PARTITION = 250_000     # layout of the cached training rows, which every tree level reads
 
 # ---- fixed values: the reference's tuned presets --------------------------------
 PRESETS = {
@@ -44,17 +45,6 @@ PRESETS = {
 # ------------------------------------------------------------------------------------
 
 
-def scale_preset(p: dict, max_trees: int | None = None, max_depth: int | None = None) -> dict:
-    """Copy of a preset with tree counts / depth capped (for quick local runs)."""
-    q = dict(p)
-    for k in ("numTrees", "maxIter"):
-        if max_trees and k in q:
-            q[k] = min(q[k], max_trees)
-    if max_depth and "maxDepth" in q:
-        q["maxDepth"] = min(q["maxDepth"], max_depth)
-    return q
-
-
 # ------------------------------------------------------------------ M07 ------
 
 @dataclass
@@ -69,6 +59,7 @@ class MissingFill:
     medians: dict[str, float]
     indicators: list[str] = field(default_factory=list)
     constant: list[str] = field(default_factory=list)
+    means: dict[str, float] = field(default_factory=dict)      # of the filled training columns
 
     def transform(self, df: DataFrame) -> DataFrame:
         ind = {f"{c}__missing": F.col(c).isNull().cast("double") for c in self.indicators}
@@ -82,18 +73,20 @@ class MissingFill:
 
 
 def fit_missing(train: DataFrame, cols: list[str] = FEATURES, indicators: bool = True) -> MissingFill:
-    """Medians in one aggregation; indicators for columns that have NULLs in train."""
-    aggs = []
+    """Exact medians in one pass, counts in another; indicators for columns that have NULLs in train."""
+    aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
         x = F.col(c).cast("double")
-        aggs.append(F.percentile_approx(x, 0.5, MEDIAN_ACCURACY).alias(f"m_{c}"))
+        aggs.append(F.sum(x).alias(f"s_{c}"))
         aggs.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"n_{c}"))
         aggs.append((F.min(x) == F.max(x)).alias(f"k_{c}"))
     row = train.agg(*aggs).first()
-    med = {c: (row[f"m_{c}"] if row[f"m_{c}"] is not None else 0.0) for c in cols}
+    exact = exact_quantiles_many(train, cols, [0.5])
+    med = {c: (exact[c][0] if exact[c][0] is not None else 0.0) for c in cols}
     ind = [c for c in cols if indicators and row[f"n_{c}"] > 0]
     const = [c for c in cols if not indicators and row[f"k_{c}"] is not False]   # NULL: all missing
-    return MissingFill(med, ind, const)
+    means = {c: ((row[f"s_{c}"] or 0.0) + row[f"n_{c}"] * med[c]) / max(row["n"], 1) for c in cols}
+    return MissingFill(med, ind, const, means)
 
 
 def with_label(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -139,20 +132,50 @@ class FittedModel:
         return self.transform(df).withColumn(name, back_transform(F.col("prediction"))) \
             .drop("prediction", "features")
 
+    def save(self, path: str) -> None:
+        """The pipeline and one JSON row with the fills."""
+        self.model.write().overwrite().save(f"{path}/pipeline")
+        f = self.fill
+        (SparkSession.active().createDataFrame([(self.name, f.medians, f.indicators, f.constant, f.means)], _FILL)
+         .coalesce(1).write.mode("overwrite").parquet(f"{path}/fill"))
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FittedModel":
+        r = spark.read.schema(_FILL).parquet(f"{path}/fill").first()
+        # a map does not keep its order; the features' order is the vector's
+        order = [c for c in FEATURES if c in r["medians"]] + sorted(c for c in r["medians"] if c not in FEATURES)
+        fill = MissingFill({c: r["medians"][c] for c in order}, list(r["indicators"]), list(r["constant"]), dict(r["means"]))
+        return FittedModel(r["name"], fill, PipelineModel.load(f"{path}/pipeline"))
+
+
+_FILL = ("name string, medians map<string,double>, indicators array<string>, constant array<string>, "
+         "means map<string,double>")
+
+
+def _prepared(train: DataFrame, fill: MissingFill) -> DataFrame:
+    """Label and feature vector of the training rows, stored for the many passes of a fit."""
+    data = VectorAssembler(inputCols=fill.columns, outputCol="features", handleInvalid="error").transform(
+        with_label(fill.transform(train))).select(LABEL, "features")
+    data = cut_lineage(data)
+    parts = max(1, -(-data.count() // ROWS_PER_PARTITION))
+    return data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data
+
 
 def fit_model(train: DataFrame, name: str, preset: dict, features: list[str] = FEATURES) -> FittedModel:
     """Fit one preset on complete training rows (label = log1p(pm25_next))."""
-    ridge = preset["kind"] == "ridge"
-    fill = fit_missing(train, features, indicators=not ridge)
-    data = with_label(fill.transform(train)).cache()
-    stats = None
-    if ridge:
-        r = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sd")).first()
-        stats = (r["n"], r["sd"])
+    fill = fit_missing(train, features, indicators=preset["kind"] != "ridge")
+    data = _prepared(train, fill).persist()
+    try:
+        model = estimator(preset, label_stats(data)).fit(data)
+    finally:
+        data.unpersist()
     asm = VectorAssembler(inputCols=fill.columns, outputCol="features", handleInvalid="error")
-    model = Pipeline(stages=[asm, estimator(preset, stats)]).fit(data)
-    data.unpersist()
-    return FittedModel(name, fill, model)
+    return FittedModel(name, fill, PipelineModel([asm, model]))
+
+
+def label_stats(data: DataFrame) -> tuple[int, float]:
+    r = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sd")).first()
+    return r["n"], r["sd"]
 
 
 def to_linear(m: FittedModel) -> LinearForecaster:
@@ -160,7 +183,7 @@ def to_linear(m: FittedModel) -> LinearForecaster:
     lr = m.model.stages[-1]
     coefs = dict(zip(m.fill.columns, [float(v) for v in lr.coefficients]))
     return LinearForecaster(coefs=coefs, intercept=float(lr.intercept), fills=dict(m.fill.medians),
-                            log_target=True)
+                            means=dict(m.fill.means), log_target=True)
 
 
 def as_forecaster(models: list[FittedModel]) -> MLForecaster:
@@ -230,28 +253,62 @@ class TrainingResult:
     best: str
 
 
-def train_and_select(train: DataFrame, test: DataFrame, presets: dict[str, dict] = PRESETS,
-                     parallel: int = 2) -> TrainingResult:
-    """M02-M10 as the offline job runs them (fits overlap in a small thread pool)."""
-    with ThreadPoolExecutor(max_workers=parallel) as ex:
-        futs = {n: ex.submit(fit_model, train, n, p) for n, p in presets.items()}
-        models = {n: f.result() for n, f in futs.items()}
-    scored = score(models, test).cache()
-    board0 = leaderboard(scored, list(models))
-    members = top_members(board0)
+def validation_tail(train: DataFrame, share: float = 1 / 6) -> tuple[DataFrame, DataFrame]:
+    """T08-style split: the last ``share`` of the training rows in time order is for validation."""
+    pos = splits.global_position(train)
+    cut = int(train.count() * (1 - share))
+    return pos.where(F.col("pos") < cut).drop("pos"), pos.where(F.col("pos") >= cut).drop("pos")
+
+
+def select(models: dict[str, FittedModel], test: DataFrame, members: list[str] | None = None) -> TrainingResult:
+    """M08-M10 on fitted models: board, members (the two best unless given) and best model on ``test``."""
+    scored = cut_lineage(score(models, test))
+    members = members or top_members(leaderboard(scored, list(models)))
     board = leaderboard(scored, list(models), ensemble=members)
     return TrainingResult(models, board, members, best_model(board))
 
 
+def train_and_select(train: DataFrame, test: DataFrame, presets: dict[str, dict] = PRESETS,
+                     parallel: int = 2, select_on: str = "test") -> TrainingResult:
+    """M02-M10 as the offline job runs them (fits overlap in a small thread pool).
+
+    ``select_on="test"`` picks members and best model on the test rows, as the
+    reference does.  ``"validation"`` picks them on the last part of the training
+    rows, with models fitted on the part before, and then fits on all of them; the
+    board still shows the test error, which then had no say in the choice.
+    """
+    if select_on not in ("test", "validation"):
+        raise ValueError("select_on must be test or validation")
+
+    def fit_all(rows: DataFrame) -> dict[str, FittedModel]:
+        with ThreadPoolExecutor(max_workers=parallel) as ex:
+            futs = {n: ex.submit(fit_model, rows, n, p) for n, p in presets.items()}
+            return {n: f.result() for n, f in futs.items()}
+
+    if select_on == "test":
+        return select(fit_all(train), test)
+    early, late = validation_tail(train)
+    tail = select(fit_all(early), late)
+    final = select(fit_all(train), test, tail.members)
+    return TrainingResult(final.models, final.board, tail.members, tail.best)
+
+
 # ------------------------------------------------------------------ M12/M13 --
 
+# ---- fixed values: the reference's search spaces, in Spark ML's parameter names.  Leaf-wise
+# growth limits, row splits and L2 leaf penalties have no Spark ML counterpart.
 SEARCH_SPACES = {
-    "RandomForest": {"numTrees": ("int", 100, 800), "maxDepth": ("int", 4, 20),
-                     "minInstancesPerNode": ("int", 1, 20)},
-    "HistGB": {"maxIter": ("int", 100, 500), "stepSize": ("log", 0.01, 0.2),
-               "maxDepth": ("int", 3, 12), "minInstancesPerNode": ("int", 20, 100)},
-    "Ridge": {"alpha": ("log", 1e-3, 10.0)},
+    "RandomForest": {"numTrees": ("int", 200, 800), "maxDepth": ("int", 5, 30), "minInstancesPerNode": ("int", 1, 10),
+                     "featureSubsetStrategy": ("cat", ["sqrt", "log2", "all"])},
+    "HistGB": {"maxIter": ("int", 100, 400), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("int", 3, 12),
+               "minInstancesPerNode": ("int", 10, 100), "maxBins": ("int", 64, 255)},
+    "LGBM": {"maxIter": ("int", 200, 800), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("int", 4, 12),
+             "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "XGB": {"maxIter": ("int", 200, 800), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("int", 3, 10),
+            "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "Ridge": {"alpha": ("log", 0.01, 10.0)},
 }
+# ------------------------------------------------------------------------------------
 
 
 def sample_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
@@ -268,32 +325,44 @@ def sample_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
                 t[k] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
             elif spec[0] == "cat":
                 t[k] = rng.choice(spec[1])
+            elif spec[0] in ("float", "share"):               # a share is written as text for Spark ML
+                v = rng.uniform(spec[1], spec[2])
+                t[k] = v if spec[0] == "float" else str(v)
         out.append(t)
     return out
 
 
 def cv_search(train: DataFrame, base_preset: dict, space: dict, trials: int = 50,
               folds: int = 5, seed: int = 42, parallel: int = 4) -> DataFrame:
-    """Mean validation MAE (original scale) of each trial over expanding folds."""
-    pos = splits.global_position(train).cache()
-    n = pos.count()
-    fl = splits.ts_folds(n, folds)
+    """Mean validation MAE (original scale) of each trial over expanding folds.
+
+    The fills and vectors of a fold do not depend on the trial, so each fold is
+    prepared and stored once and every trial reads it.
+    """
+    pos = cut_lineage(splits.global_position(train))
     spark = train.sparkSession
-    params = sample_trials(space, trials, seed)
+    prepared = []
+    for f in splits.ts_folds(pos.count(), folds):
+        tr, va = splits.fold_frames(pos, f)
+        fill = fit_missing(tr, FEATURES, indicators=base_preset["kind"] != "ridge")
+        data = _prepared(tr, fill).persist()
+        asm = VectorAssembler(inputCols=fill.columns, outputCol="features", handleInvalid="error")
+        val = cut_lineage(asm.transform(fill.transform(va)).select("features", TARGET))
+        prepared.append((data, label_stats(data), val))
 
     def one(i_t):
         i, t = i_t
         maes = []
-        for f in fl:
-            tr, va = splits.fold_frames(pos, f)
-            m = fit_model(tr.drop("pos"), f"trial{i}", {**base_preset, **t})
-            p = m.predict(va.drop("pos"))
-            maes.append(p.agg(metrics.mae(TARGET, "pm25_pred").alias("m")).first()["m"])
+        for data, stats, val in prepared:
+            p = estimator({**base_preset, **t}, stats).fit(data).transform(val)
+            p = p.withColumn("_p", back_transform(F.col("prediction")))
+            maes.append(p.agg(metrics.mae(TARGET, "_p").alias("m")).first()["m"])
         return (i, str(t), float(sum(maes) / len(maes)))
 
     with ThreadPoolExecutor(max_workers=parallel) as ex:
-        rows = list(ex.map(one, enumerate(params)))
-    pos.unpersist()
+        rows = list(ex.map(one, enumerate(sample_trials(space, trials, seed))))
+    for data, _, _ in prepared:
+        data.unpersist()
     return spark.createDataFrame(rows, "trial int, params string, cv_mae double")
 
 
@@ -303,8 +372,10 @@ def best_trial(results: DataFrame) -> DataFrame:
 
 
 def group_ablation(train: DataFrame, test: DataFrame, group: str, presets: dict[str, dict],
-                   key: str = KEY) -> DataFrame:
-    """Leaderboard with and without one station in training (same test set)."""
-    with_g = train_and_select(train, test, presets).board.withColumn("experiment", F.lit("all"))
+                   key: str = KEY, with_all: TrainingResult | None = None) -> DataFrame:
+    """Leaderboard with and without one station in training (same test set).
+
+    ``with_all``: the result on all stations, if it is already at hand."""
+    with_g = (with_all or train_and_select(train, test, presets)).board.withColumn("experiment", F.lit("all"))
     without = train_and_select(splits.exclude_group(train, group, key), test, presets).board
     return with_g.unionByName(without.withColumn("experiment", F.lit(f"without {group}")))

@@ -22,11 +22,14 @@ class OfflineResult:
     test_path: str
     fit: features.SpatialFit
     training: models.TrainingResult
+    model_path: str
     metrics: DataFrame
 
 
 def run(long: DataFrame, weather: DataFrame, presets: dict | None = None,
-        out_dir: str | None = None) -> OfflineResult:
+        out_dir: str | None = None, select_on: str = "validation") -> OfflineResult:
+    """Train, choose (on a validation tail of the training rows by default), evaluate on the
+    test rows and store the chosen model or ensemble for serving."""
     spark = long.sparkSession
     base = clean.base_from_measurements(long, weather)
     prep = splits.prepare_panels(base)
@@ -38,10 +41,11 @@ def run(long: DataFrame, weather: DataFrame, presets: dict | None = None,
     fit.save(f"{root}/artifacts")
     tr = splits.complete_cases(splits.add_target(files.read_features(spark, f"{root}/train")))
     te = splits.complete_cases(splits.add_target(files.read_features(spark, f"{root}/test")))
-    res = models.train_and_select(tr, te, presets or models.PRESETS)
+    res = models.train_and_select(tr, te, presets or models.PRESETS, select_on=select_on)
     names = res.members if res.best == "ENSEMBLE" else [res.best]
+    files.save_models([res.models[n] for n in names], f"{root}/models")
     sc = models.score({n: res.models[n] for n in names}, te)
     pred = sum(sc[f"pred_{n}"] for n in names) / len(names)
     m = metrics.regression_metrics(sc.withColumn("pm25_pred", pred), TARGET, "pm25_pred")
     files.write_metrics_json(m, f"{root}/evaluation")
-    return OfflineResult(f"{root}/train", f"{root}/test", fit, res, m)
+    return OfflineResult(f"{root}/train", f"{root}/test", fit, res, f"{root}/models", m)

@@ -7,12 +7,19 @@ window with its advice text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.operators import advise, explain, splits
+from airgrid.operators import advise, explain, models, splits
 from airgrid.operators import forecast as fc
 from airgrid.schemas import KEY, TIME
+from airgrid.session import cut_lineage
+from airgrid.sources import files
+
+
+def load_forecaster(spark: SparkSession, path: str) -> fc.MLForecaster:
+    """The model or ensemble that the offline job stored."""
+    return models.as_forecaster(files.load_models(spark, path))
 
 
 def batch_forecast(base: DataFrame, weather: DataFrame, model: fc.Forecaster, fit=None,
@@ -22,7 +29,7 @@ def batch_forecast(base: DataFrame, weather: DataFrame, model: fc.Forecaster, fi
     fcst = fc.forecast_latest(base, weather, model, fit, horizon, explain=True)
     fcst = advise.attach_weather_code(fcst, weather)
     fcst = advise.concentration_band(fc.local_time(fcst))
-    fcst = fcst.withColumn("drivers", explain.top_drivers(F.col("effects")))
+    fcst = cut_lineage(fcst.withColumn("drivers", explain.top_drivers(F.col("effects"))))     # used three times
     win = advise.recommend_window(fcst, "pm25_pred")
     facts = advise.window_output(advise.window_facts(fcst, win))
     fc_rows = fcst.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(

@@ -39,6 +39,10 @@ REQUIRED_COLUMNS = [
 ]
 HEATING_MONTHS = [10, 11, 12, 1, 2, 3, 4]
 INTERP_LIMIT = 3
+HORIZON = 12               # forecast steps, hours
+HISTORY_HOURS = 48         # readings that a forecast looks back on
+EXTREME = 500.0            # predictions above are flagged
+LOW_WIND = 2.0             # wind below counts as stagnant
 TARGET = "pm25_next"
 LOCAL_TZ = "Europe/Budapest"
 # ------------------------------------------------------------------------------
@@ -68,36 +72,6 @@ WIDE_POLLUTANTS = T.StructType(
      T.StructField("longitude", T.DoubleType())]
     + [T.StructField(p, T.DoubleType()) for p in ALL_PARAMETERS])
 
-BASE = T.StructType(
-    [T.StructField("location", T.StringType()),
-     T.StructField("datetime", T.TimestampType()),
-     T.StructField("latitude", T.DoubleType()),
-     T.StructField("longitude", T.DoubleType())]
-    + [T.StructField(c, T.DoubleType()) for c in POLLUTANTS + WEATHER_COLS])
-
-EFFECT = T.StructType([
-    T.StructField("feature", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("direction", T.StringType()),
-])
-
-FORECAST = T.StructType([
-    T.StructField("location", T.StringType()),
-    T.StructField("origin", T.TimestampType()),
-    T.StructField("horizon", T.IntegerType()),
-    T.StructField("datetime", T.TimestampType()),
-    T.StructField("pm25_pred", T.DoubleType()),
-    T.StructField("effects", T.ArrayType(EFFECT)),
-])
-
-BACKTEST = T.StructType([
-    T.StructField("location", T.StringType()),
-    T.StructField("forecast_origin", T.TimestampType()),
-    T.StructField("horizon", T.IntegerType()),
-    T.StructField("y_true", T.DoubleType()),
-    T.StructField("y_pred", T.DoubleType()),
-])
-
 STATION = T.StructType([
     T.StructField("location", T.StringType()),
     T.StructField("lat", T.DoubleType()),

@@ -2,7 +2,7 @@
 
 Lineage is cut with ``DataFrame.checkpoint()`` into the shared folder named by
 ``spark.checkpoint.dir``.  The folder is read from the session; a private one is
-created only when the cluster names none (local tests).
+created only on a local master; a cluster that names none is an error.
 """
 
 from __future__ import annotations
@@ -63,7 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises in Spark Connect
             configured = None
     if not configured:
-        # Only reached where the cluster names no shared folder (local tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="airgrid-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

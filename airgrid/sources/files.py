@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airgrid.operators.clean import no_nan
 from airgrid.schemas import ALL_PARAMETERS, KEY, TIME, WEATHER_COLS, WIDE_POLLUTANTS
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -16,7 +17,7 @@ def read_pollutants_csv(spark: SparkSession, path: str) -> DataFrame:
     df = (spark.read.schema(WIDE_POLLUTANTS).option("header", True)
           .option("timestampFormat", TS_FORMAT).option("enforceSchema", False)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return df.select(TIME, KEY, "latitude", "longitude", *ALL_PARAMETERS)
+    return df.select(TIME, KEY, "latitude", "longitude", *[no_nan(c).alias(c) for c in ALL_PARAMETERS])
 
 
 WEATHER_CSV = T.StructType(
@@ -28,7 +29,7 @@ def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
     """Weather CSV written with its row index; the index column is projected away."""
     df = (spark.read.schema(WEATHER_CSV).option("header", True)
           .option("timestampFormat", TS_FORMAT).csv(path))
-    return df.select(TIME, *WEATHER_COLS)
+    return df.select(TIME, *[no_nan(c).alias(c) for c in WEATHER_COLS])
 
 
 def write_csv(df: DataFrame, path: str, index: bool = False) -> None:
@@ -40,17 +41,23 @@ def write_csv(df: DataFrame, path: str, index: bool = False) -> None:
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def write_features(df: DataFrame, path: str, partition_by: str | None = KEY) -> None:
-    """S03 sink: Parquet, partitioned by station so station reads prune directories."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+MONTH = "_month"
+
+
+def write_features(df: DataFrame, path: str) -> None:
+    """S03 sink: Parquet by month, rows sorted by station inside the files.
+
+    Time reads prune folders, station reads prune row groups, and the number of
+    folders follows the time span and not the number of stations.
+    """
+    out = df.withColumn(MONTH, F.date_format(TIME, "yyyy-MM"))
+    (out.repartition(MONTH, KEY).sortWithinPartitions(MONTH, KEY, TIME)
+     .write.mode("overwrite").partitionBy(MONTH).parquet(path))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """S03 scan."""
-    return spark.read.parquet(path)
+    """S03 scan: column types as stored in the files; the folder column is only for pruning."""
+    return spark.read.parquet(path).drop(MONTH)
 
 
 def write_metrics_json(df: DataFrame, path: str) -> None:
@@ -63,11 +70,16 @@ def time_range(df: DataFrame, start: str, end: str, col: str = TIME) -> DataFram
     return df.where(F.col(col).between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))))
 
 
-def save_model(model, path: str) -> None:
-    """Spark ML persistence for fitted pipelines."""
-    model.write().overwrite().save(path)
+def save_models(models: list, path: str) -> None:
+    """The members of an ensemble (or one model), with their missing-value fills."""
+    for k, m in enumerate(models):
+        m.save(f"{path}/{k}")
+    spark = SparkSession.active()
+    spark.createDataFrame([(k, m.name) for k, m in enumerate(models)], "place int, name string") \
+        .coalesce(1).write.mode("overwrite").json(f"{path}/members")
 
 
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+def load_models(spark: SparkSession, path: str) -> list:
+    from airgrid.operators.models import FittedModel
+    places = [r["place"] for r in spark.read.json(f"{path}/members").orderBy("place").collect()]
+    return [FittedModel.load(spark, f"{path}/{k}") for k in places]

@@ -61,7 +61,8 @@ def parse_measurements(pages: DataFrame) -> DataFrame:
     r = pages.select(KEY, "latitude", "longitude", F.explode("results").alias("r"))
     return r.select(KEY, "latitude", "longitude",
                     F.to_timestamp(F.col("r.period.datetime_from.utc"), MEASUREMENT_TIME_FORMAT).alias(TIME),
-                    F.col("r.parameter.name").alias("parameter"), F.col("r.value").alias("value"))
+                    F.col("r.parameter.name").alias("parameter"),
+                    F.nanvl(F.col("r.value"), F.lit(None).cast("double")).alias("value"))
 
 
 def read_measurements_json(spark: SparkSession, path: str) -> DataFrame:

@@ -21,15 +21,17 @@ def registry(readings: DataFrame, sensor_col: str = "sensor_id") -> DataFrame:
 
     ``readings``: location, latitude, longitude, parameter, sensor_id.  The map is
     built per station from the distinct (parameter, sensor) pairs, so its size is
-    bounded by the sensors of a station, not by readings.
+    bounded by the sensors of a station, not by readings.  Names are folded before
+    grouping: raw names that fold alike are one station, with its smallest coordinates.
     """
-    pairs = readings.select(KEY, "latitude", "longitude", "parameter", sensor_col).distinct()
-    per_param = pairs.groupBy(KEY, "latitude", "longitude", "parameter").agg(
+    named = clean_names(readings.select(KEY, "latitude", "longitude", "parameter", sensor_col).distinct(), KEY)
+    per_param = named.select(KEY, "parameter", sensor_col).distinct().groupBy(KEY, "parameter").agg(
         F.array_sort(F.collect_list(sensor_col)).alias("_ids"))
-    st = per_param.groupBy(KEY, "latitude", "longitude").agg(
+    sensors = per_param.groupBy(KEY).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter", "_ids")))).alias("sensors"))
-    return clean_names(st, KEY).select(KEY, F.col("latitude").alias("lat"),
-                                       F.col("longitude").alias("lon"), "sensors")
+    places = named.groupBy(KEY).agg(F.min(F.struct("latitude", "longitude")).alias("at"))
+    return (places.join(sensors, KEY, "left")
+            .select(KEY, F.col("at.latitude").alias("lat"), F.col("at.longitude").alias("lon"), "sensors"))
 
 
 def haversine_km(lat1, lon1, lat2, lon2):
@@ -46,11 +48,21 @@ def within_radius(stations: DataFrame, lat: float = SEARCH_LAT, lon: float = SEA
     """Stations within ``radius_km`` of a point.
 
     A latitude/longitude bounding box (plain comparisons, pushable to Parquet)
-    discards far stations before the exact haversine test.
+    discards far stations before the exact haversine test.  The box holds the whole
+    circle: all longitudes when a pole lies inside, two ranges across the 180th meridian.
     """
-    dlat = math.degrees(radius_km / EARTH_KM)
-    dlon = math.degrees(radius_km / (EARTH_KM * max(math.cos(math.radians(lat)), 1e-9)))
-    box = (F.col(lat_col).between(lat - dlat, lat + dlat) & F.col(lon_col).between(lon - dlon, lon + dlon))
+    angle = radius_km / EARTH_KM
+    dlat = math.degrees(angle) * (1 + 1e-9) + 1e-9
+    box = F.col(lat_col).between(lat - dlat, lat + dlat)
+    if abs(lat) + dlat < 90 and math.sin(angle) < math.cos(math.radians(lat)):
+        dlon = math.degrees(math.asin(math.sin(angle) / math.cos(math.radians(lat)))) * (1 + 1e-9) + 1e-9
+        lo, hi, x = lon - dlon, lon + dlon, F.col(lon_col)
+        around = x.between(lo, hi)
+        if lo < -180:
+            around = around | (x >= lo + 360)
+        if hi > 180:
+            around = around | (x <= hi - 360)
+        box = box & around
     d = haversine_km(F.lit(lat), F.lit(lon), F.col(lat_col), F.col(lon_col))
     return stations.where(box).withColumn("distance_km", d).where(F.col("distance_km") <= radius_km)
 
@@ -64,9 +76,12 @@ def sensor_index(stations: DataFrame, parameters: list[str] = ALL_PARAMETERS) ->
 
 
 def sensor_map(index: DataFrame) -> DataFrame:
-    """Parameter -> sorted list of {sensor_id, location}."""
-    return index.groupBy("parameter").agg(
-        F.array_sort(F.collect_list(F.struct("sensor_id", KEY))).alias("sensors"))
+    """(parameter, location) -> sorted list of sensor ids.
+
+    The list is bounded by the sensors of one station; all stations of a parameter
+    are never gathered into one row.
+    """
+    return index.groupBy("parameter", KEY).agg(F.array_sort(F.collect_list("sensor_id")).alias("sensors"))
 
 
 def unknown_requests(requests: DataFrame, stations: DataFrame, col: str = KEY) -> DataFrame:

@@ -50,7 +50,7 @@ def test_recursion_paths_agree(spark, data, ridge):
 def test_leaderboard_and_ensemble(data):
     train, test, _ = data
     presets = {"Ridge": models.PRESETS["Ridge"],
-               "HistGB": models.scale_preset(models.PRESETS["HistGB"], max_trees=5, max_depth=3)}
+               "HistGB": {**models.PRESETS["HistGB"], "maxIter": 5, "maxDepth": 3}}
     res = models.train_and_select(train, test, presets)
     board = {r["model"]: r for r in res.board.collect()}
     assert set(board) == {"Ridge", "HistGB", "ENSEMBLE"}
