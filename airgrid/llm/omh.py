@@ -29,7 +29,7 @@ from airgrid.llm.common import stored, widest
 from airgrid.llm.graph import components
 from airgrid.llm.words import gram_hashes, mix, occurrence, word_hashes
 
-SHINGLE, PICK, SKETCHES, SLOTS, SIMILARITY, BLOCK = 5, 2, 20, 256, 0.8, 1024
+SHINGLE, PICK, SKETCHES, SLOTS, SIMILARITY, BLOCK = 5, 2, 20, 256, 0.8, 2048
 ERRORS = 4.5                        # standard errors that a signature may stay below the bound
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) | np.uint64(1)
 _CHUNK = 1 << 14
@@ -341,7 +341,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = stored(comp, "omh-components")
         named = buckets.select("key", "band", "node").join(comp, "node", "left").select(
             "key", "band", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        # The one pair of a bucket of two was tested as a hub pair already.
+        mixed = (named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+                 .where("lo < hi and n > 2").select("key"))
         cand = _cross_pairs(named.join(mixed, "key"), reps, similarity, most, block)
         cand = stored(cand.join(tried, ["a", "b"], "left_anti"), "omh-pairs")
         held_back, cand = not cand.where("a = b").isEmpty(), cand.where("a <> b")
