@@ -1,8 +1,8 @@
 """Licence scan by canonical digest lookup (DataFrame operations only).
 
-A text is brought to a canonical form - lower case, copyright lines removed,
-equivalent spellings unified, punctuation and white space reduced to single
-spaces - and the SHA-256 of the whole form is joined to the digests of known
+A text is brought to a canonical form - lower case, statements of ownership removed,
+punctuation and white space reduced to single spaces, equivalent spellings unified;
+where its lines are wrapped does not matter - and the SHA-256 of the whole form is joined to the digests of known
 licences, which are made by the same expressions.
 """
 
@@ -11,9 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Lines that only state ownership, and spellings that licence
-# matching treats as the same word.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:portions )?(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Statements of ownership (in lower case), and spellings that licence
+# matching treats as the same word.  A statement ends with its sentence, its line or
+# where a licence begins, so a licence on the same line stays.
+_BEGIN = (r"(?:permission\s+(?:is\s+(?:hereby\s+)?granted|to\s+use)|redistributions?\s+(?:and\s+use|of\s+source)|"
+          r"this\s+(?:software|work|program|library|file|project|source\s+code)\s+is|licen[cs]ed\s+under|released\s+under|"
+          r"distributed\s+under|everyone\s+is\s+permitted|51\s+franklin|59\s+temple|all\s+rights\s+reserved|"
+          r"(?:the\s+)?(?:mit|isc|bsd|zlib|apache|mozilla|boost)\s[^\n]{0,30}?licen[cs]e\b)")
+_SHORT = r"\b(?:inc|ltd|co|corp|llc|gmbh|jr|sr|al|\p{L})"
+_NAME = (rf"(?:[^\n.]|\.(?=\S)|(?<={_SHORT})\.){{0,600}}?(?:(?<!{_SHORT})\.(?=\s|\z)|(?=\n|\z)|(?=[\s,;]{_BEGIN}))"
+         r"(?:[^\p{L}\p{N}\n]*all rights reserved\b)?")
+_SIGN = r"(?:\(c\)|©)"
+_NO_NAME = r"(?!\s+(?:notice|holder|owner|law|licen[cs]|statement|act|and|or|in|is|are|was|interest|protect|infring|claim|treat)\p{L}*\b)"
+_TITLE = (r"(?:[\p{L}\p{N}.\-]+[^\p{L}\p{N}]+){0,6}?licen[cs]e\b(?:\s*\([^)\n]{1,30}\))?"
+          r"(?:,?\s+version\s+[\d.]+(?:,\s+(?:\d+\s+)?\p{L}+\s+\d+)?)?")
+OWNERSHIP = [
+    # At the head of the text, after a title if there is one: a year, a sign or a name follows.
+    (rf"\G((?:[^\p{{L}}\p{{N}}]*{_TITLE})?[^\p{{L}}\p{{N}}]*)(?:(?:portions\s+)?(?:copyright\b{_NO_NAME}|{_SIGN})"
+     rf"[^\p{{L}}\p{{N}}]*(?:c\)[^\p{{L}}\p{{N}}]*)?[\p{{L}}\p{{N}}]{_NAME}|all\s+rights\s+reserved\b)", "$1 "),
+    # On a later line: only with a year, or with the word, a sign and a name.
+    (rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:portions )?(?:(?:copyright[ \t]*{_SIGN}?|{_SIGN})[ \t]*\d{{4}}|"
+     rf"copyright[ \t]*{_SIGN}[ \t]*\p{{L}}){_NAME}", " "),
+    (r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$", " "),
+]
 SPELLINGS = [
     (r"\b(sub)?licenc(e|es|ed|ing|ee|ees|or|ors)\b", "$1licens$2"),
     (r"\b(author|organ|recogn|util|real|initial|final|maxim|minim|custom)is(e|es|ed|ing|ation|ations)\b", "$1iz$2"),
@@ -106,10 +126,12 @@ KNOWN: list[tuple[str, str]] = [
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null counts as empty."""
     c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\r", "")
-    c = F.regexp_replace(c, COPYRIGHT_LINE, " ")
+    for pattern, left in OWNERSHIP:
+        c = F.regexp_replace(c, pattern, left)
+    c = F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")      # before the spellings: they do not see line ends
     for pattern, same in SPELLINGS:
         c = F.regexp_replace(c, pattern, same)
-    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(c)
 
 
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
