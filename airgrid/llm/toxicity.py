@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.llm.common import widest
+
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 3000, 5000, 3000
@@ -231,6 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(F.broadcast(chosen), "id")          # size bound: the three limits above
+            .groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("id", "text"), F.col("text"))).alias("text"))
+            .repartition(widest(docs))                # one row per drawn id, however often it is repeated
             .mapInPandas(extract, "id long, ids binary, rates binary").collect())
     pos, unl, cal, y = [], [], [], []
     for r in sorted(rows, key=lambda r: (r["id"], bytes(r["ids"]))):
