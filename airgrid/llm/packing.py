@@ -85,13 +85,15 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length.cast("long"), F.lit(0)).alias("n_tokens"))
                   .withColumn("row", F.monotonically_increasing_id()), "lengths")
     rows = rows.withColumn("class", length_class(F.col("n_tokens")))
-    hist = sorted((r["class"], r["n"]) for r in rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect())
+    # A class stands for its longest real length, so every boundary is one.
+    hist = sorted((r["top"], r["n"]) for r in rows.groupBy("class").agg(
+        F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n")).collect())
     total = sum(n for _, n in hist)
     ends = optimal_boundaries(np.array([x for x, _ in hist]), np.array([n for _, n in hist]), buckets) or [0]
     plan = F.array(*[F.struct(F.lit(k).cast("int").alias("bucket"), F.lit(int(e)).cast("long").alias("padded_length"),
                               F.lit(max(1, budget // max(1, int(e)))).cast("long").alias("fit")) for k, e in enumerate(ends)])
     blocks = max(1, -(-total // _BLOCK_ROWS))
-    dealt = (rows.withColumn("p", F.element_at(F.filter(plan, lambda p: p["padded_length"] >= F.col("class")), 1))
+    dealt = (rows.withColumn("p", F.element_at(F.filter(plan, lambda p: p["padded_length"] >= F.col("n_tokens")), 1))
              .select("doc_id", "n_tokens", "row", "p.*", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")))
     sizes = (dealt.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("size"))
              .withColumn("skip", F.coalesce(F.sum("size").over(
