@@ -34,7 +34,7 @@ def _named(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, n and the prefix hash (x, y) at each different turn row."""
+    """conv_id, part of the order, turn, a, b, pos, n and the prefix hash (x, y) at each different turn row."""
     order = ["turn", "a", "b"]
     rows = turns.select("conv_id", *order).distinct()
     laid = stored(rows.repartitionByRange(widest(rows), "conv_id", *order)
@@ -54,13 +54,12 @@ def prefixes(turns: DataFrame) -> DataFrame:
     totals = (placed.groupBy("conv_id", "part").agg(F.sum("x").alias("tx"), F.sum("y").alias("ty"))
               .withColumns({"sx": F.sum("tx").over(before), "sy": F.sum("ty").over(before)}))
     return (rolled.join(totals, same(rolled, totals))
-            .select(rolled.conv_id, "turn", "pos", "n", (F.col("x") + F.coalesce("sx", F.lit(0))).alias("x"),
+            .select(rolled.conv_id, rolled.part, "turn", "a", "b", "pos", "n", (F.col("x") + F.coalesce("sx", F.lit(0))).alias("x"),
                     (F.col("y") + F.coalesce("sy", F.lit(0))).alias("y")))
 
 
-def collapse(turns: DataFrame) -> DataFrame:
-    """conv_id and n of the maximal conversations, one of each group of equal ones."""
-    marks = stored(prefixes(turns), "chat-prefixes")
+def collapse(marks: DataFrame) -> DataFrame:
+    """conv_id and n of the maximal conversations of ``prefixes``, one of each group of equal ones."""
     state = ["pos", "x", "y"]
     ends = marks.where("pos = n").groupBy(*state).agg(F.min("conv_id").alias("conv_id"))
     longer = marks.where("pos < n").select(*state).distinct()
@@ -68,12 +67,12 @@ def collapse(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """One string per conversation and run of turn numbers, turns in order.
+    """One string per conversation and part, turns in order.
 
-    ``turns`` has conv_id, part, turn, a, b, role, text and n_turns (same on each row of a conversation).
+    ``turns`` has conv_id, part, pos, role, text and n_turns (same on each row of a conversation).
     """
     piece = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "a", "b", piece.alias("piece"))))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece"))))
     return (turns.groupBy("conv_id", "part").agg(ordered.alias("t"), F.max("n_turns").alias("n_turns"))
             .select("conv_id", "part", F.size("t").cast("long").alias("part_turns"), "n_turns",
                     F.array_join(F.transform("t", lambda r: r["piece"]), "").alias("rendered")))
@@ -86,14 +85,18 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Turns are ordered by number, then by content digest; null numbers come first.
     Repeated rows count once.  Null roles and texts render as empty but differ from
     empty ones when compared.  Rows without a conversation id form one conversation.
-    A conversation longer than ``part_turns`` turn numbers comes in parts.
+    A conversation of more than ``part_turns`` turns comes in parts of so many, cut by position.
     """
     named = _named(turns, conv_col, turn_col, role_col, text_col)
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("long")
-    kept = collapse(named).select(F.col("conv_id").alias("k"), "n_turns")
-    # Which parts to render: the texts meet them already dealt by (conversation, part).
-    keys = (named.select("conv_id", part.alias("p")).distinct()
-            .join(kept, F.col("conv_id").eqNullSafe(F.col("k"))).select("k", "p", "n_turns"))
-    texts = named.withColumn("part", part).join(
-        keys, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")))
-    return render(texts.dropDuplicates(["conv_id", "part", "turn", "a", "b"]))
+    marks = stored(prefixes(named), "chat-prefixes")
+    kept = collapse(marks).select(F.col("conv_id").alias("c"), "n_turns")
+    # The parts of the order that hold kept conversations, then their turns: no join meets on a whole conversation.
+    runs = (marks.select("conv_id", "part").distinct().join(kept, F.col("conv_id").eqNullSafe(F.col("c")))
+            .select("c", F.col("part").alias("r"), "n_turns"))
+    places = (marks.join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("r")))
+              .select("c", F.col("turn").alias("t"), F.col("a").alias("ta"), F.col("b").alias("tb"), "pos", "n_turns",
+                      F.floor((F.col("pos") - 1) / part_turns).cast("long").alias("part")))
+    texts = named.join(places, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))
+                       & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
+    texts = texts.select("conv_id", "part", "pos", "role", "text", "n_turns").repartition("conv_id", "part")
+    return render(texts.dropDuplicates(["conv_id", "part", "pos"]))
