@@ -15,8 +15,8 @@ def _jump(label: DataFrame) -> DataFrame:
     return nxt.join(up, "v", "left").select(F.col("_n").alias("node"), F.coalesce("further", "v").alias("label"))
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """node, component (smallest node reachable) for every node that an edge touches.
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", kind: str = "long") -> DataFrame:
+    """node, component (smallest node reachable) for every node that an edge touches; nodes are of type ``kind``.
 
     Each round lets every node point at its smallest neighbour, follows the
     pointers two steps and contracts the edges to the labels; contracted edges
@@ -24,7 +24,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     is a stored table.  Nothing but edge counts reaches the driver.  Nulls are left
     out, loops only name their node, repeated edges do not matter.
     """
-    e = (edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
+    e = (edges.select(F.col(src).cast(kind).alias("a"), F.col(dst).cast(kind).alias("b"))
          .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     e = stored(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")

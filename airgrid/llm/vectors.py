@@ -22,6 +22,7 @@ from airgrid.llm.common import stored, widest
 from airgrid.llm.graph import components
 
 COSINE, MISS, TARGET_BUCKET, BLOCK = 0.98, 1e-6, 1024, 1024
+_SIGN = -(1 << 63)
 
 
 def plan_tables(n: int, cosine: float = COSINE, miss: float = MISS, target: int = TARGET_BUCKET) -> tuple[int, int]:
@@ -53,7 +54,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Only equal non-null labels and equal dimensions are compared.  Null, empty and
     zero vectors and those with null or non-finite components link with nothing, as
     do rows without an id (their component is null and they are not kept).  Rows
-    that repeat an id are vectors of their own that share the component id.
+    that repeat an id with another vector are vectors of their own, each with its own
+    links and component; a component's id is the smallest vec_id in it.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"),
                        F.col(label_col).cast("string").alias("label"))
@@ -64,11 +66,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Equal vectors meet by digest of label and components; a scale does not matter here.
     v = v.withColumn("digest", F.when(F.col("usable"), F.sha2(F.concat_ws(":", "label", F.col("v").cast("string")), 256)))
     members = v.select("vec_id", "usable", "digest")
+    # A vector's node sorts by its smallest id; the digest keeps vectors that share an id apart.
+    node = F.concat(F.lpad(F.hex(F.col("rep").bitwiseXOR(F.lit(_SIGN))), 16, "0"), F.substring("digest", 1, 16))
     body = stored(v.where("usable").groupBy("digest")
                   .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                        F.min_by(F.struct("label", "v"), "vec_id").alias("s"))
-                  .select("digest", "rep", "copies", "s.label", "s.v"), "vectors")
-    rank = body.select("digest", "rep", "copies")
+                  .select("digest", node.alias("node"), "copies", "s.label", "s.v"), "vectors")
+    rank = body.select("digest", "node", "copies")
     largest = body.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, cosine, miss, target)
 
@@ -84,22 +88,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
                 side = (x @ planes[dim] > 0).reshape(len(x), tables, bits).astype(np.int64)
                 key = (side * weight).sum(axis=2)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(),
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "copies": part["copies"].to_numpy(),
                                     "space": [f"{dim}:{s}" for s in part["label"]],
                                     "unit": [r.tobytes() for r in x], "keys": list(key)})
 
-    hashed = body.mapInPandas(keys, "rep long, copies long, space string, unit binary, keys array<long>")
-    spread = hashed.select("rep", "copies", "space", "unit", "keys", F.posexplode("keys").alias("t", "key"))
-    groups = block_pairs(spread, ["space", "t", "key"], F.col("rep"), block)
+    hashed = body.mapInPandas(keys, "node string, copies long, space string, unit binary, keys array<long>")
+    spread = hashed.select("node", "copies", "space", "unit", "keys", F.posexplode("keys").alias("t", "key"))
+    groups = block_pairs(spread, ["space", "t", "key"], F.col("node"), block)
 
     # A fixed count: what a group costs follows its pairs, not the bytes that coalescing goes by.
     groups = groups.repartition(4 * widest(groups), "space", "t", "key", "_i", "_j")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates(["rep", "_side"]) if f["_i"].iloc[0] != f["_j"].iloc[0] else f
         x = np.frombuffer(b"".join(f["unit"]), dtype=np.float64).reshape(len(f), -1)
         key = np.stack(f["keys"].to_numpy())
-        t, copies, rep = int(f["t"].iloc[0]), f["copies"].to_numpy(), f["rep"].to_numpy()
+        t, copies, node = int(f["t"].iloc[0]), f["copies"].to_numpy(), f["node"].to_numpy().astype(str)
         side = f["_side"].to_numpy()
         near = (x @ x.T) >= cosine
         if f["_i"].iloc[0] != f["_j"].iloc[0]:
@@ -108,17 +111,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         first = ~(key[a, :t] == key[b, :t]).any(axis=1) if t else np.ones(len(a), bool)
         a, b = a[first], b[first]
         links = np.bincount(a, copies[b], len(f)) + np.bincount(b, copies[a], len(f))
-        root = rep[local_components_by_value(rep, a, b)]
-        keep = (links > 0) | (root != rep)
-        return pd.DataFrame({"rep": rep[keep], "links": links[keep].astype(np.int64), "root": root[keep]})
+        root = node[local_components_by_value(node, a, b)]
+        keep = (links > 0) | (root != node)
+        return pd.DataFrame({"node": node[keep], "links": links[keep].astype(np.int64), "root": root[keep]})
 
     found = stored(groups.groupBy("space", "t", "key", "_i", "_j")
-                   .applyInPandas(compare, "rep long, links long, root long"), "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(found.where("root <> rep"), "rep", "root").select(F.col("node").alias("rep"), "component")
-    classes = (rank.join(links, "rep", "left").join(comps, "rep", "left")
+                   .applyInPandas(compare, "node string, links long, root string"), "vector-links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    comps = components(found.where("root <> node"), "node", "root", "string")
+    smallest = F.conv(F.substring(F.coalesce("component", "node"), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+    classes = (rank.join(links, "node", "left").join(comps, "node", "left")
                .select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                       F.coalesce("component", "rep").alias("component_id")))
+                       smallest.alias("component_id")))
     return (members.join(classes, "digest", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "vec_id").alias("component_id"), "usable")
