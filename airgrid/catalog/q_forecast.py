@@ -161,7 +161,7 @@ def p02_next_row_features(spark, sf_dir):
     "\nUNION ALL ".join(f"SELECT location, CAST({s} AS BIGINT) AS horizon, "
                         f"CAST(CASE WHEN p{s} > 500 THEN 1 ELSE 0 END AS BIGINT) AS is_extreme FROM r12" for s in HZ)))
 def p04_input_warnings(spark, sf_dir):
-    """Extreme-prediction flag per forecast step (missing-feature lists are checked in tests)."""
+    """Extreme-prediction flag per forecast step (missing-feature lists are not returned)."""
     return _forecast(spark, sf_dir).select("location", "horizon", "is_extreme")
 
 
