@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import chat, decontam, licenses, omh, packing, pii, tokens, toxicity, vectors, warc
+from airgrid.llm import (align, chat, decontam, licenses, merkle, omh, packing, pieces, pii, tokens, toxicity, vectors,
+                         warc)
 from airgrid.llm.common import held_out, table
 from airgrid.session import scratch_path
 
@@ -90,3 +91,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical digest of every document and the licence whose text it is."""
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole document with the end id, and what they decode to."""
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents``: digests, proofs and the check of tampered rows."""
+    found = merkle.manifest(table(spark, sf_dir, "documents"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                         merkle.fold(F.col("tampered_leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, scored by corpus-wide link counts."""
+    return align.align(table(spark, sf_dir, "documents"))

@@ -99,3 +99,74 @@ SELECT doc_id, digest, license_id FROM own LEFT JOIN known USING (digest)
 
 
 ORACLE["op10_licenses"] = _licenses()
+
+ORACLE["op12_merkle"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, text, row_number() OVER () AS rid,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head
+  FROM documents),
+bits AS (
+  SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+                          lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS t
+  FROM range(0, 256) r(b)),
+crc AS (
+  SELECT rid, xor(list_reduce([CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT) for i in range(1, strlen(CAST(doc_id AS VARCHAR)) + 1)],
+                              lambda c, x: xor(c // 256, t[1 + (xor(c, x) % 256)]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM d, bits WHERE doc_id IS NOT NULL),
+leaves AS (
+  SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 3 = 0
+              THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))
+              ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS tampered
+  FROM d LEFT JOIN crc USING (rid)),
+placed AS (
+  SELECT *, coalesce('v' || lang, 'n') AS g,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+nodes AS (
+  SELECT g, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 8, max((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY g, level, pos // 8),
+subroots AS (SELECT g, digest AS subroot, max(level) AS depth FROM nodes WHERE n = 1 GROUP BY g, digest),
+tops AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM subroots),
+upper AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 8, max((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM upper WHERE n > 1 GROUP BY level, pos // 8),
+roots AS (SELECT digest AS root FROM upper WHERE n = 1 LIMIT 1),
+steps AS (
+  SELECT a.g, a.level, a.pos,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS bef,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS aft
+  FROM nodes a JOIN nodes b ON a.g = b.g AND a.level = b.level AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.g, a.level, a.pos),
+top_steps AS (
+  SELECT a.level, a.pos,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS bef,
+         coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS aft
+  FROM upper a JOIN upper b ON a.level = b.level AND a.pos // 8 = b.pos // 8
+  WHERE a.n > 1 GROUP BY a.level, a.pos),
+paths AS (
+  SELECT rid, list([bef, aft] ORDER BY lv) AS path FROM (
+    SELECT p.rid, s.level AS lv, s.bef, s.aft
+    FROM placed p JOIN steps s ON s.g = p.g AND s.pos = p.pos // CAST(pow(8, s.level) AS BIGINT)
+    UNION ALL
+    SELECT p.rid, t.depth + u.level, u.bef, u.aft
+    FROM placed p JOIN tops t ON t.g = p.g JOIN top_steps u ON u.pos = t.pos // CAST(pow(8, u.level) AS BIGINT))
+  GROUP BY rid),
+folded AS (
+  SELECT rid, tampered AS node, 1 AS k FROM placed
+  UNION ALL
+  SELECT f.rid, sha256(path[k][1] || node || path[k][2]), k + 1 FROM folded f JOIN paths USING (rid) WHERE k <= len(path)),
+final AS (SELECT rid, arg_max(node, k) AS folded_root FROM folded GROUP BY rid)
+SELECT p.doc_id, p.leaf, s.subroot, r.root,
+       sha256(coalesce(array_to_string(list_transform(path, lambda x: x[1] || x[2]), ''), '')) AS proof_sha256,
+       f.folded_root, f.folded_root = r.root AS verified
+FROM placed p JOIN subroots s USING (g) CROSS JOIN roots r JOIN final f USING (rid) LEFT JOIN paths USING (rid)
+"""
