@@ -1,4 +1,4 @@
-"""Vectorised recursive scoring of linear forecasters inside ``mapInPandas``.
+"""Vectorised recursive scoring of linear and tree forecasters inside ``mapInPandas``.
 
 Each Arrow batch holds many (station, origin) states; the 12 recursive steps
 run as numpy column operations over the whole batch (no per-row Python).  Sums
@@ -10,10 +10,12 @@ Spark.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
+from airgrid.functions.treekit import FlatTrees
 from airgrid.schemas import HEATING_MONTHS, LOW_WIND
 
 
@@ -82,13 +84,52 @@ def step_features(s: int, pm: list[np.ndarray], b: dict) -> dict[str, np.ndarray
     }
 
 
-def make_scorer(coefs: dict[str, float], intercept: float, fills: dict[str, float],
-                means: dict[str, float], log_target: bool, horizon: int, features: list[str],
-                mode: str, explain: bool, history: int = 24):
-    """Returns the ``mapInPandas`` function. ``mode``: "forecast" or "backtest"."""
-    items = list(coefs.items())
-
+@dataclass
+class LinearMember:
+    """intercept + sum coef * x, with fills for missing values and means that centre the effects."""
+    coefs: dict[str, float]
+    intercept: float
+    fills: dict[str, float]
+    means: dict[str, float]
+
+    def score(self, x: dict[str, np.ndarray], n: int, features: list[str] | None) -> tuple[np.ndarray, np.ndarray | None]:
+        raw, effects = np.full(n, float(self.intercept)), {}
+        for f, c in self.coefs.items():
+            filled = np.where(np.isnan(x[f]), float(self.fills.get(f, 0.0)), x[f])
+            raw = raw + float(c) * filled
+            if features is not None:
+                effects[f] = float(c) * (filled - float(self.means.get(f, 0.0)))
+        if features is None:
+            return raw, None
+        return raw, np.column_stack([effects.get(f, np.zeros(n)) for f in features])
+
+
+@dataclass
+class TreeMember:
+    """Flat trees over ``columns``; effects are exact Shapley values."""
+    trees: FlatTrees
+    columns: list[str]
+
+    def score(self, x: dict[str, np.ndarray], n: int, features: list[str] | None) -> tuple[np.ndarray, np.ndarray | None]:
+        m = np.column_stack([np.asarray(x[f], dtype="float64") for f in self.columns])
+        raw = self.trees.predict(m)
+        if features is None:
+            return raw, None
+        phi, _ = self.trees.attributions(m)
+        place = {f: j for j, f in enumerate(self.columns)}
+        return raw, np.column_stack([phi[:, place[f]] if f in place else np.zeros(n) for f in features])
+
+
+def make_scorer(members, log_target: bool, horizon: int, features: list[str], mode: str,
+                effects: list[str] | None = None, history: int = 24):
+    """Returns the ``mapInPandas`` function. ``mode``: "forecast" or "backtest".
+
+    ``members``: broadcast list of LinearMember and TreeMember; a step's prediction is
+    the mean of their predictions on the original scale, its effects (of the features
+    ``effects``, None: no effects) the mean of theirs on the fitted scale.
+    """
     def score(batches):
+        models = members.value
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -105,21 +146,16 @@ def make_scorer(coefs: dict[str, float], intercept: float, fills: dict[str, floa
             out = {"horizon": [], "datetime": [], "pm25_pred": [], "miss": [], "eff": []}
             for s in range(1, horizon + 1):
                 x = step_features(s, pm, b)
-                raw = np.full(n, float(intercept))
-                filled = {}
-                for f, c in items:
-                    xf = x[f]
-                    filled[f] = np.where(np.isnan(xf), float(fills.get(f, 0.0)), xf)
-                    raw = raw + float(c) * filled[f]
-                pred = np.maximum(0.0, np.expm1(raw) if log_target else raw)
+                scored = [m.score(x, n, effects) for m in models]
+                each = [np.maximum(0.0, np.expm1(raw) if log_target else raw) for raw, _ in scored]
+                pred = _seq_sum(each) / len(each)
                 pm.append(pred)
                 out["horizon"].append(np.full(n, s, dtype="int32"))
                 out["datetime"].append((b["origin"] + pd.Timedelta(hours=s)).to_numpy())
                 out["pm25_pred"].append(pred)
                 if mode == "forecast":
                     out["miss"].append(np.column_stack([np.isnan(np.asarray(x[f], dtype="float64")) for f in features]))
-                    out["eff"].append(np.column_stack([float(c) * (filled[f] - float(means.get(f, 0.0)))
-                                                       for f, c in items]) if explain else np.empty((n, 0)))
+                    out["eff"].append(_seq_sum([e for _, e in scored]) / len(scored) if effects else np.empty((n, 0)))
             # rows ordered (origin, horizon)
             order = np.arange(n * horizon).reshape(horizon, n).T.ravel()
             res = pd.DataFrame({

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions.interp import _RN, interpolation_state
+from airgrid.functions.recursion import LinearMember, TreeMember, make_scorer
 from airgrid.schemas import (EXTREME, FEATURES, HEATING_MONTHS, HISTORY_HOURS, HORIZON, KEY, LOCAL_TZ, LOW_WIND,
                              POLLUTANTS, TIME, WEATHER_COLS)
 from airgrid.session import cut_lineage
@@ -126,6 +127,34 @@ class LinearForecaster(Forecaster):
         return self.attributions_expr()
 
 
+    @property
+    def members(self) -> list:
+        return [LinearMember(self.coefs, self.intercept, self.fills, self.means)]
+
+    @property
+    def effect_names(self) -> list[str]:
+        return list(self.coefs)
+
+
+@dataclass
+class EnsembleForecaster(Forecaster):
+    """Mean of back-transformed members (M01, M09, P05): linear models and flat trees, in any mix.
+
+    The members travel as arrays and are scored inside the recursion; effects are exact
+    Shapley values (closed form or path weights), averaged over members.
+    """
+    parts: list                      # LinearForecaster or FlatTrees over FEATURES
+    log_target: bool = True
+
+    @property
+    def members(self) -> list:
+        return [m for p in self.parts for m in (p.members if isinstance(p, LinearForecaster) else [TreeMember(p, FEATURES)])]
+
+    @property
+    def effect_names(self) -> list[str]:
+        return FEATURES
+
+
 # The fixed persistence blend used as the SQL-checkable forecaster of the catalog.
 BLEND = LinearForecaster(coefs={"pm25_lag1": 0.5, "pm25_roll6": 0.3, "pm25_roll24": 0.2,
                                 "wind_change_3h": -0.1, "stagnation_hours_6h": 0.5,
@@ -346,26 +375,25 @@ def recursive_forecast(state: DataFrame, model: Forecaster, fit=None, horizon: i
                        explain: bool = False, truth: str | None = None) -> DataFrame:
     """P02 + P03 (+P04, X03 when ``explain``): ``horizon`` recursive steps for all origins.
 
-    Linear (expression) models: the recursion runs vectorised over Arrow
-    batches in ``mapInPandas`` (per partition, no shuffle, no plan growth).
-    Spark ML models: one ``transform`` per step over all origins, with a
-    reliable checkpoint after each step; ``explain`` adds the Shapley values of
-    every member, sampled over the rows of all steps and averaged over members.  With ``truth`` (an array column of the
-    next ``horizon`` actual values) the output carries ``y_true`` instead of
-    the diagnostics (backtests).  Otherwise the output has location, origin,
-    horizon, datetime, pm25_pred, missing_features, effects, missing_ratio,
-    is_extreme.
+    Linear models, flat trees and their ensembles: the recursion runs vectorised over
+    Arrow batches in ``mapInPandas`` (per partition, no shuffle, no plan growth, no
+    checkpoint).  Any other model with a ``transform``: one ``transform`` per step over
+    all origins, with a reliable checkpoint after each step; ``explain`` adds the
+    Shapley values of every member, sampled over the rows of all steps and averaged
+    over members.  With ``truth`` (an array column of the next ``horizon`` actual
+    values) the output carries ``y_true`` instead of the diagnostics (backtests).
+    Otherwise the output has location, origin, horizon, datetime, pm25_pred,
+    missing_features, effects, missing_ratio, is_extreme.
     """
-    from airgrid.functions.recursion import make_scorer
     df, spatial = _spatial(state, fit)
     df = df.withColumns(spatial)
-    if isinstance(model, LinearForecaster):
-        mode = "backtest" if truth else "forecast"
-        fn = make_scorer(model.coefs, model.intercept, model.fills, model.means, model.log_target,
-                         horizon, FEATURES, mode, explain)
+    if isinstance(model, (LinearForecaster, EnsembleForecaster)):
+        mode, effects = "backtest" if truth else "forecast", model.effect_names if explain and not truth else None
+        members = df.sparkSession.sparkContext.broadcast(model.members)       # bounded by the size of the models
+        fn = make_scorer(members, model.log_target, horizon, FEATURES, mode, effects)
         cols = _STATE_COLS + ([F.col(truth).alias("_truth")] if truth else [])
         out = df.select(*cols).mapInPandas(fn, _BT_SCHEMA if truth else _FC_SCHEMA)
-        return out if truth else _diagnostics(_named(out, list(model.coefs) if explain else []))
+        return out if truth else _diagnostics(_named(out, effects or []))
 
     wanted = explain and not truth
     seen = []
@@ -499,6 +527,6 @@ def serving_history(base: DataFrame, weather: DataFrame) -> DataFrame:
     return interpolate_station(base).join(codes, TIME, "left")
 
 
-__all__ = ["asof_weather", "LinearForecaster", "MLForecaster", "BLEND", "origin_state",
+__all__ = ["asof_weather", "LinearForecaster", "EnsembleForecaster", "MLForecaster", "BLEND", "origin_state",
            "future_weather", "assemble_state", "recursive_forecast", "forecast_latest",
            "backtest", "local_time", "plot_frame", "serving_history", "POLLUTANTS"]

@@ -1,29 +1,29 @@
-"""Model training and selection (M01-M13, T09) on Spark ML.
+"""Model training and selection.
 
-* Targets are fitted in ``log1p`` space and mapped back with ``max(0, expm1)``.
-* Spark trees reject NULL/NaN, so missing features are filled with exact train
-  medians (one distributed pass over all features) plus 0/1 missing indicators;
-  an all-NULL column is filled with 0.
-* The reference's model presets are kept as configuration and fitted uncut.
+* Targets are fitted in ``log1p`` space and mapped back with ``max(0, expm1(.))``.
+* Tree ensembles are ``operators.trees`` on bin codes; they see missing values as such
+  (M07) and are fitted uncut from the reference's presets.
+* Ridge is Spark ML's normal-equation solver on median-filled features.
 * Fits of a search run concurrently from a driver thread pool: each fit is a
   distributed Spark job, the pool only overlaps them.
 """
 
 from __future__ import annotations
 
-import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions.quantiles import exact_quantiles_many
-from airgrid.operators import metrics, splits
-from airgrid.operators.forecast import LinearForecaster, MLForecaster
+from airgrid.operators import metrics, splits, trees
+from airgrid.operators.forecast import EnsembleForecaster, LinearForecaster
+from airgrid.operators.search import Study
+from airgrid.operators.trees import BoostSpec, ForestSpec, TreeModel
 from airgrid.schemas import FEATURES, KEY, TARGET
 from airgrid.session import cut_lineage
 
@@ -31,15 +31,18 @@ LABEL = "label"
 ROWS_PER_PARTITION = 250_000     # layout of the cached training rows, which every tree level reads
 
 # ---- fixed values: the reference's tuned presets --------------------------------
+# Boosting parameters that the reference leaves at its libraries' defaults are written out: 31 leaves
+# of the histogram learner; 20 rows and a hessian of 0.001 a leaf, and rows that are never drawn anew,
+# of the leaf-wise learner; a hessian of one and an L2 of one of the depth-wise learner.
 PRESETS = {
-    "RandomForest": dict(kind="rf", numTrees=715, maxDepth=16, minInstancesPerNode=3,
-                         featureSubsetStrategy="all", seed=42),
-    "HistGB": dict(kind="gbt", maxIter=309, stepSize=0.052392441315122884, maxDepth=6,
-                   minInstancesPerNode=89, maxBins=172, seed=42),
-    "LGBM": dict(kind="gbt", maxIter=723, stepSize=0.012885472793169907, maxDepth=11,
-                 subsamplingRate=0.6904437214202783, featureSubsetStrategy="0.6924371848724423", seed=42),
-    "XGB": dict(kind="gbt", maxIter=615, stepSize=0.08447106507617709, maxDepth=3,
-                subsamplingRate=0.9593316490919434, featureSubsetStrategy="0.743423049049403", seed=42),
+    "RandomForest": dict(kind="forest", trees=715, max_depth=16, min_split=9, min_leaf=3, columns=None, seed=42),
+    "HistGB": dict(kind="boost", rounds=309, learning_rate=0.052392441315122884, max_depth=6, max_leaves=31,
+                   min_leaf=89, l2=0.10712858441423956, max_bins=172, seed=42),
+    "LGBM": dict(kind="boost", rounds=723, learning_rate=0.012885472793169907, max_depth=11, max_leaves=71,
+                 min_leaf=20, min_weight=1e-3, row_share=0.6904437214202783, row_every=0,
+                 column_share=0.6924371848724423, seed=42),
+    "XGB": dict(kind="boost", rounds=615, learning_rate=0.08447106507617709, max_depth=3, min_weight=1.0, l2=1.0,
+                row_share=0.9593316490919434, column_share=0.743423049049403, seed=42),
     "Ridge": dict(kind="ridge", alpha=0.01007089724896645),
 }
 # ------------------------------------------------------------------------------------
@@ -101,21 +104,20 @@ def back_transform(c):
 
 # ------------------------------------------------------------------ M02-M06 --
 
-def estimator(p: dict, n_label_std: tuple[int, float] | None = None):
-    kind = p["kind"]
-    args = {k: v for k, v in p.items() if k != "kind"}
-    if kind == "rf":
-        return RandomForestRegressor(featuresCol="features", labelCol=LABEL, **args)
-    if kind == "gbt":
-        return GBTRegressor(featuresCol="features", labelCol=LABEL, **args)
-    if kind == "ridge":
-        n, sd = n_label_std or (1, 1.0)
-        # sklearn's alpha on the sum of squares == Spark's regParam on the mean,
-        # after Spark's internal label scaling by its standard deviation
-        reg = args["alpha"] * (sd if sd else 1.0) / max(n, 1)
-        return LinearRegression(featuresCol="features", labelCol=LABEL, regParam=reg,
-                                elasticNetParam=0.0, standardization=False, solver="normal")
-    raise ValueError(kind)
+def ridge(alpha: float, n: int, sd: float) -> LinearRegression:
+    """sklearn's alpha on the sum of squares == Spark's regParam on the mean, after Spark's
+    internal label scaling by its standard deviation."""
+    return LinearRegression(featuresCol="features", labelCol=LABEL, regParam=alpha * (sd if sd else 1.0) / max(n, 1),
+                            elasticNetParam=0.0, standardization=False, solver="normal")
+
+
+def tree_spec(preset: dict) -> BoostSpec | ForestSpec:
+    kind = {"boost": BoostSpec, "forest": ForestSpec}[preset["kind"]]
+    known = {f.name for f in fields(kind)}
+    unknown = set(preset) - known - {"kind"}
+    if unknown:
+        raise ValueError(f"unknown parameters: {sorted(unknown)}")
+    return kind(**{k: v for k, v in preset.items() if k != "kind"})
 
 
 @dataclass
@@ -125,8 +127,11 @@ class FittedModel:
     model: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Spark ML ``transform`` contract: adds ``prediction`` (log space)."""
-        return self.model.transform(self.fill.transform(df))
+        """Spark ML ``transform`` contract: adds ``prediction`` (log space); the features stay as they are."""
+        given = df.withColumn("_given", F.struct(*self.fill.medians))
+        out = self.model.transform(self.fill.transform(given))
+        return out.withColumns({c: F.col("_given")[c] for c in self.fill.medians}).drop(
+            "_given", *[f"{c}__missing" for c in self.fill.indicators])
 
     def predict(self, df: DataFrame, name: str = "pm25_pred") -> DataFrame:
         return self.transform(df).withColumn(name, back_transform(F.col("prediction"))) \
@@ -161,18 +166,26 @@ def _prepared(train: DataFrame, fill: MissingFill) -> DataFrame:
     return data.coalesce(parts) if parts < data.rdd.getNumPartitions() else data
 
 
-def fit_model(train: DataFrame, name: str, preset: dict, features: list[str] = FEATURES) -> FittedModel:
+def fit_model(train: DataFrame, name: str, preset: dict, features: list[str] = FEATURES) -> "FittedModel | TreeModel":
     """Fit one preset on complete training rows (label = log1p(pm25_next))."""
-    fill = fit_missing(train, features, indicators=preset["kind"] != "ridge")
+    if preset["kind"] != "ridge":
+        return trees.fit_trees(with_label(train).select(*features, LABEL, *_identity(train, features)), name,
+                               tree_spec(preset), LABEL, features)
+    fill = fit_missing(train, features, indicators=False)
     data = _prepared(train, fill).persist()
     try:
-        model = estimator(preset, label_stats(data)).fit(data)
+        model = ridge(preset["alpha"], *label_stats(data)).fit(data)
     finally:
         data.unpersist()
     asm = VectorAssembler(inputCols=fill.columns, outputCol="features", handleInvalid="error")
     return FittedModel(name, fill, PipelineModel([asm, model]))
 
 
+def _identity(df: DataFrame, features: list[str]) -> list[str]:
+    """Columns besides the features that tell rows apart in the learners' draws."""
+    return [c for c in ("location", "datetime") if c in df.columns and c not in features]
+
+
 def label_stats(data: DataFrame) -> tuple[int, float]:
     r = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(LABEL).alias("sd")).first()
     return r["n"], r["sd"]
@@ -186,14 +199,14 @@ def to_linear(m: FittedModel) -> LinearForecaster:
                             means=dict(m.fill.means), log_target=True)
 
 
-def as_forecaster(models: list[FittedModel]) -> MLForecaster:
+def as_forecaster(members: list) -> EnsembleForecaster:
     """Ensemble-aware scoring for the recursion (mean of back-transformed members)."""
-    return MLForecaster(members=models, log_target=True)
+    return EnsembleForecaster([m.trees if isinstance(m, TreeModel) else to_linear(m) for m in members], log_target=True)
 
 
 # ------------------------------------------------------------------ M08-M11 --
 
-def score(models: dict[str, FittedModel], df: DataFrame, target: str = TARGET) -> DataFrame:
+def score(models: dict[str, FittedModel | TreeModel], df: DataFrame, target: str = TARGET) -> DataFrame:
     """Wide predictions: one ``pred_<name>`` column per model (original scale)."""
     out = df
     for name, m in models.items():
@@ -231,7 +244,7 @@ def best_model(board: DataFrame) -> str:
     return board.orderBy("MAE", "model").first()["model"]
 
 
-def gap_report(models: dict[str, FittedModel], train: DataFrame, test: DataFrame,
+def gap_report(models: dict[str, FittedModel | TreeModel], train: DataFrame, test: DataFrame,
                names: list[str]) -> DataFrame:
     """MAE and R2 of a model (or the mean of several) on train and test."""
     out = None
@@ -247,7 +260,7 @@ def gap_report(models: dict[str, FittedModel], train: DataFrame, test: DataFrame
 
 @dataclass
 class TrainingResult:
-    models: dict[str, FittedModel]
+    models: dict[str, FittedModel | TreeModel]
     board: DataFrame
     members: list[str]
     best: str
@@ -260,7 +273,7 @@ def validation_tail(train: DataFrame, share: float = 1 / 6) -> tuple[DataFrame,
     return pos.where(F.col("pos") < cut).drop("pos"), pos.where(F.col("pos") >= cut).drop("pos")
 
 
-def select(models: dict[str, FittedModel], test: DataFrame, members: list[str] | None = None) -> TrainingResult:
+def select(models: dict[str, FittedModel | TreeModel], test: DataFrame, members: list[str] | None = None) -> TrainingResult:
     """M08-M10 on fitted models: board, members (the two best unless given) and best model on ``test``."""
     scored = cut_lineage(score(models, test))
     members = members or top_members(leaderboard(scored, list(models)))
@@ -280,7 +293,7 @@ def train_and_select(train: DataFrame, test: DataFrame, presets: dict[str, dict]
     if select_on not in ("test", "validation"):
         raise ValueError("select_on must be test or validation")
 
-    def fit_all(rows: DataFrame) -> dict[str, FittedModel]:
+    def fit_all(rows: DataFrame) -> dict[str, FittedModel | TreeModel]:
         with ThreadPoolExecutor(max_workers=parallel) as ex:
             futs = {n: ex.submit(fit_model, rows, n, p) for n, p in presets.items()}
             return {n: f.result() for n, f in futs.items()}
@@ -295,74 +308,84 @@ def train_and_select(train: DataFrame, test: DataFrame, presets: dict[str, dict]
 
 # ------------------------------------------------------------------ M12/M13 --
 
-# ---- fixed values: the reference's search spaces, in Spark ML's parameter names.  Leaf-wise
-# growth limits, row splits and L2 leaf penalties have no Spark ML counterpart.
+# ---- fixed values: the reference's search spaces (kind, lower, upper or choices) ------
 SEARCH_SPACES = {
-    "RandomForest": {"numTrees": ("int", 200, 800), "maxDepth": ("int", 5, 30), "minInstancesPerNode": ("int", 1, 10),
-                     "featureSubsetStrategy": ("cat", ["sqrt", "log2", "all"])},
-    "HistGB": {"maxIter": ("int", 100, 400), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("int", 3, 12),
-               "minInstancesPerNode": ("int", 10, 100), "maxBins": ("int", 64, 255)},
-    "LGBM": {"maxIter": ("int", 200, 800), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("int", 4, 12),
-             "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
-    "XGB": {"maxIter": ("int", 200, 800), "stepSize": ("log", 0.01, 0.2), "maxDepth": ("int", 3, 10),
-            "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "RandomForest": {"trees": ("int", 200, 800), "max_depth": ("int", 5, 30), "min_split": ("int", 2, 20),
+                     "min_leaf": ("int", 1, 10), "columns": ("cat", ["sqrt", "log2", None])},
+    "HistGB": {"rounds": ("int", 100, 400), "learning_rate": ("log", 0.01, 0.2), "max_depth": ("int", 3, 12),
+               "min_leaf": ("int", 10, 100), "l2": ("float", 0.0, 1.0), "max_bins": ("int", 64, 255)},
+    "LGBM": {"rounds": ("int", 200, 800), "learning_rate": ("log", 0.01, 0.2), "max_leaves": ("int", 16, 128),
+             "max_depth": ("int", -1, 12), "row_share": ("float", 0.6, 1.0), "column_share": ("float", 0.6, 1.0)},
+    "XGB": {"rounds": ("int", 200, 800), "learning_rate": ("log", 0.01, 0.2), "max_depth": ("int", 3, 10),
+            "row_share": ("float", 0.6, 1.0), "column_share": ("float", 0.6, 1.0)},
     "Ridge": {"alpha": ("log", 0.01, 10.0)},
 }
 # ------------------------------------------------------------------------------------
 
 
-def sample_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
-    """Seeded random search: int-uniform, log-uniform and categorical parameters."""
-    import math
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        t = {}
-        for k, spec in space.items():
-            if spec[0] == "int":
-                t[k] = rng.randint(spec[1], spec[2])
-            elif spec[0] == "log":
-                t[k] = math.exp(rng.uniform(math.log(spec[1]), math.log(spec[2])))
-            elif spec[0] == "cat":
-                t[k] = rng.choice(spec[1])
-            elif spec[0] in ("float", "share"):               # a share is written as text for Spark ML
-                v = rng.uniform(spec[1], spec[2])
-                t[k] = v if spec[0] == "float" else str(v)
-        out.append(t)
-    return out
-
-
-def cv_search(train: DataFrame, base_preset: dict, space: dict, trials: int = 50,
-              folds: int = 5, seed: int = 42, parallel: int = 4) -> DataFrame:
+@dataclass
+class _Fold:
+    """What all trials share of one fold: training rows of either kind and the rows to score."""
+    train: DataFrame
+    valid: DataFrame
+    ridge: tuple | None = None
+    binned: dict = field(default_factory=dict)
+
+
+def _fold_score(fold: _Fold, preset: dict) -> float:
+    """Validation MAE (original scale) of one parameter set on one fold."""
+    if preset["kind"] == "ridge":
+        data, stats, valid = fold.ridge
+        p = ridge(preset["alpha"], *stats).fit(data).transform(valid)
+    else:
+        spec = tree_spec(preset)
+        if spec.max_bins not in fold.binned:
+            fold.binned[spec.max_bins] = trees.bin_rows(fold.train, LABEL, FEATURES, spec.max_bins)
+        data = fold.binned[spec.max_bins]
+        flat = trees.fit_boosting(data, spec) if isinstance(spec, BoostSpec) else trees.fit_forest(data, spec)
+        p = TreeModel("trial", FEATURES, flat).transform(fold.valid)
+    return p.withColumn("_p", back_transform(F.col("prediction"))).agg(metrics.mae(TARGET, "_p").alias("m")).first()["m"]
+
+
+def cv_search(train: DataFrame, base_preset: dict, space: dict, trials: int = 50, folds: int = 5, seed: int = 42,
+              batch: int = 5, parallel: int = 4, startup: int = 10) -> DataFrame:
     """Mean validation MAE (original scale) of each trial over expanding folds.
 
-    The fills and vectors of a fold do not depend on the trial, so each fold is
-    prepared and stored once and every trial reads it.
+    Trials come from a tree-structured Parzen estimator (``operators.search``) in
+    batches that are scored together; the result depends on seed and batch, not on
+    ``parallel``.  Fills, vectors and bin codes of a fold are prepared once.
     """
     pos = cut_lineage(splits.global_position(train))
     spark = train.sparkSession
     prepared = []
     for f in splits.ts_folds(pos.count(), folds):
         tr, va = splits.fold_frames(pos, f)
-        fill = fit_missing(tr, FEATURES, indicators=base_preset["kind"] != "ridge")
-        data = _prepared(tr, fill).persist()
-        asm = VectorAssembler(inputCols=fill.columns, outputCol="features", handleInvalid="error")
-        val = cut_lineage(asm.transform(fill.transform(va)).select("features", TARGET))
-        prepared.append((data, label_stats(data), val))
-
-    def one(i_t):
-        i, t = i_t
-        maes = []
-        for data, stats, val in prepared:
-            p = estimator({**base_preset, **t}, stats).fit(data).transform(val)
-            p = p.withColumn("_p", back_transform(F.col("prediction")))
-            maes.append(p.agg(metrics.mae(TARGET, "_p").alias("m")).first()["m"])
-        return (i, str(t), float(sum(maes) / len(maes)))
-
-    with ThreadPoolExecutor(max_workers=parallel) as ex:
-        rows = list(ex.map(one, enumerate(sample_trials(space, trials, seed))))
-    for data, _, _ in prepared:
-        data.unpersist()
+        if base_preset["kind"] == "ridge":
+            fill = fit_missing(tr, FEATURES, indicators=False)
+            data = _prepared(tr, fill).persist()
+            asm = VectorAssembler(inputCols=fill.columns, outputCol="features", handleInvalid="error")
+            prepared.append(_Fold(tr, va, (data, label_stats(data),
+                                           cut_lineage(asm.transform(fill.transform(va)).select("features", TARGET)))))
+        else:
+            prepared.append(_Fold(cut_lineage(with_label(tr).select(*FEATURES, LABEL, *_identity(tr, FEATURES))),
+                                  cut_lineage(va.select(*FEATURES, TARGET))))
+    study, rows = Study(space, seed, startup), []
+    try:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            while len(rows) < trials:
+                asked = study.ask(min(batch, trials - len(rows)))
+                jobs = [[pool.submit(_fold_score, f, {**base_preset, **t}) for f in prepared] for t in asked]
+                for t, js in zip(asked, jobs, strict=True):
+                    maes = [j.result() for j in js]
+                    loss = float(sum(maes) / len(maes))
+                    study.tell(t, loss)
+                    rows.append((len(rows), str(t), loss))
+    finally:
+        for f in prepared:
+            if f.ridge:
+                f.ridge[0].unpersist()
+            for b in f.binned.values():
+                b.blocks.unpersist()
     return spark.createDataFrame(rows, "trial int, params string, cv_mae double")
 
 

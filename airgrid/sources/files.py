@@ -71,15 +71,17 @@ def time_range(df: DataFrame, start: str, end: str, col: str = TIME) -> DataFram
 
 
 def save_models(models: list, path: str) -> None:
-    """The members of an ensemble (or one model), with their missing-value fills."""
+    """The members of an ensemble (or one model), each in its own form (trees, or a pipeline with its fills)."""
+    from airgrid.operators.trees import TreeModel
     for k, m in enumerate(models):
         m.save(f"{path}/{k}")
     spark = SparkSession.active()
-    spark.createDataFrame([(k, m.name) for k, m in enumerate(models)], "place int, name string") \
-        .coalesce(1).write.mode("overwrite").json(f"{path}/members")
+    rows = [(k, m.name, "trees" if isinstance(m, TreeModel) else "pipeline") for k, m in enumerate(models)]
+    spark.createDataFrame(rows, "place int, name string, form string").coalesce(1).write.mode("overwrite").json(f"{path}/members")
 
 
 def load_models(spark: SparkSession, path: str) -> list:
     from airgrid.operators.models import FittedModel
-    places = [r["place"] for r in spark.read.json(f"{path}/members").orderBy("place").collect()]
-    return [FittedModel.load(spark, f"{path}/{k}") for k in places]
+    from airgrid.operators.trees import TreeModel
+    members = spark.read.schema("place int, name string, form string").json(f"{path}/members").orderBy("place").collect()
+    return [(TreeModel if r["form"] == "trees" else FittedModel).load(spark, f"{path}/{r['place']}") for r in members]

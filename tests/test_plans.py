@@ -13,7 +13,7 @@ from conftest import SF01
 def test_offline_job_and_backtest_plan(spark):
     meas, wx = fixtures.load(spark, SF01, 3)
     presets = {"Ridge": models.PRESETS["Ridge"],
-               "HistGB": {**models.PRESETS["HistGB"], "maxIter": 3, "maxDepth": 3}}
+               "HistGB": {**models.PRESETS["HistGB"], "rounds": 3, "max_depth": 3}}
     res = offline.run(meas, wx, presets)
     m = res.metrics.first()
     assert m["n"] > 0 and m["MAE"] >= 0 and m["MASE"] is not None

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airgrid.functions.quantiles import exact_quantiles_many
+from airgrid.operators.search import Study
 from airgrid.operators import clean, explain, explore, models, splits
 from airgrid.operators import forecast as fc
 from airgrid.schemas import FEATURES, TARGET, WEATHER_COLS
@@ -143,7 +144,9 @@ def test_shapley_values_of_a_linear_model_and_repeated_rows(spark):
 
 def test_search_values_lie_in_the_spaces_and_best_trial_wins(spark):
     for name, space in models.SEARCH_SPACES.items():
-        for t in models.sample_trials(space, 40):
+        study = Study(space, startup=5)
+        for t in study.ask(10) + [x for _ in range(10) for x in study.ask(3)]:
+            study.tell(t, float(len(study.trials)))
             for k, spec in space.items():
                 if spec[0] == "cat":
                     assert t[k] in spec[1]
@@ -183,11 +186,11 @@ def test_search_refit_gap_and_ablation(spark):
 
 def test_stored_model_predicts_the_same(spark):
     train = _training_rows(spark).withColumn("pm10", F.when(F.col("no2") > 0, F.col("pm10")))
-    m = models.fit_model(train, "T", {"kind": "gbt", "maxIter": 3, "maxDepth": 2, "seed": 1})
+    m = models.fit_model(train, "T", {"kind": "boost", "rounds": 3, "max_depth": 2, "seed": 1})
     path = scratch_path(spark, "models")
-    files.save_models([m, m], path)
+    files.save_models([models.fit_model(train, "R", models.PRESETS["Ridge"]), m], path)
     back = files.load_models(spark, path)
-    assert [b.name for b in back] == ["T", "T"] and back[0].fill == m.fill
+    assert [b.name for b in back] == ["R", "T"] and back[1].spec == m.spec
     a = m.predict(train).select("datetime", F.col("pm25_pred").alias("a"))
     b = back[1].predict(train).select("datetime", F.col("pm25_pred").alias("b"))
     assert max(abs(r["a"] - r["b"]) for r in a.join(b, "datetime").collect()) == 0
