@@ -31,6 +31,9 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 # What any of the libraries may take for white space, format characters included.
 _WHITE = ("\x00-\x20\x7f-\xa0­ ᠎ -‏ -  -⁤　﻿")
 _CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
+_EDGES = re.compile(f"[^{_WHITE}](?:.*[^{_WHITE}])?", re.DOTALL)
+BLOCK_BYTES = 16 << 20
+_RUN = 1 << 16                       # characters of units that are encoded as one text
 _LINKS = 1 << 22                     # links counted in one array operation
 _COLUMNS = [("block", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
             ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("plane", pa.int32()),
@@ -40,12 +43,8 @@ _SCHEMA = ("block long, slot int, doc_id long, n_a long, n_b long, n_groups long
 
 
 def units(text: str) -> list[str]:
-    """A text behind one space, cut before every single space between two other characters."""
-    if not text:
-        return []
-    text = " " + text
-    at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
-    return [text[i:j] for i, j in zip(at, at[1:])]
+    """A text cut at every single space between two other characters; each unit stands for itself behind a space."""
+    return _CUT.split(text) if text else []
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -67,38 +66,79 @@ class Pair:
         self.a_bytes = {i: bytes(alphabet[c] for c in t) for t, i in json.loads(byte_model)["model"]["vocab"].items()
                         if all(c in alphabet for c in t)}
         self.sp = processor(piece_model)
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace(MARK, " ").encode("utf-8")
                         for i, p in enumerate(map(self.sp.id_to_piece, range(self.sp.get_piece_size())))]
-
-    def encode(self, words: list[str]) -> Iterator[tuple[list[int], list[int], bytes, bytes]]:
-        """Ids of both tokenizers and the bytes they join to, for texts behind one space."""
-        size = 4_096
-        for at in range(0, len(words), size):
-            part = words[at:at + size]
-            left = self.a.encode_batch(part, add_special_tokens=False)
-            right = self.sp.encode([w[1:] for w in part], num_threads=1)     # the library adds the space
-            for e, b in zip(left, right, strict=True):
-                yield e.ids, b, b"".join(self.a_bytes.get(i, b"") for i in e.ids), b"".join(self.b_bytes[i] for i in b)
-
-
-def groups(a: list[int], b: list[int], a_bytes, b_bytes) -> tuple[str, list[int]]:
-    """``a1,a2|b1;...`` between offsets where tokens of both end, and each link as a * 2**32 + b.
+        self.b_size = np.array([len(t) for t in self.b_bytes])
+
+    def _texts(self, words: list[str]) -> Iterator[list[int]]:
+        """Places of the units that are encoded as one text: runs of units whose ends are no white space, others alone."""
+        run, held = [], 0
+        for i, w in enumerate(words):
+            if not _EDGES.fullmatch(w):
+                yield [i]
+                continue
+            run.append(i)
+            held += len(w)
+            if held >= _RUN:
+                yield run
+                run, held = [], 0
+        if run:
+            yield run
+
+    def encode(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per text: places of its units, ids of either tokenizer and the byte offsets behind them.
+
+        Both encode a unit behind a space on its own, so units joined by spaces give
+        the ids of each; a unit ends where the bytes of its tokens end.
+        """
+        for places in self._texts(words):
+            text = " ".join([words[i] for i in places])
+            a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
+            b = np.array(self.sp.encode(text), np.int64)                     # the library adds the space
+            raw = (" " + text).encode("utf-8", "replace")
+            if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw:
+                yield places, a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            elif len(places) > 1:
+                for i in places:                         # one of them is not given back: tell which
+                    for _, *one in self.encode([words[i]]):
+                        yield [i], *one
+            else:
+                yield places, a[:0], b[:0], a[:0], b[:0]
+
+
+def _shown(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+    """``a1,a2|b1`` of every group, from ids and the places of the groups' last tokens."""
+    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    out, i, j = [], 0, 0
+    for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist(), strict=True):
+        out.append((text_a[i] if x == i + 1 else ",".join(text_a[i:x])) + "|" + (text_b[j] if y == j + 1 else ",".join(text_b[j:y])))
+        i, j = x, y
+    return out
+
+
+def link_units(both: Pair, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[np.ndarray]]:
+    """Per unit: tokens of either kind, groups (none: not given back), the groups as text and links as a * 2**32 + b.
 
     Tokens are never empty, so exactly the last two tokens of a group end together.
     """
-    parts, links = [], []
-    i = j = first_a = first_b = end_a = end_b = 0
-    while i < len(a):
-        end_a += len(a_bytes[a[i]])
-        i += 1
-        while end_b < end_a:
-            end_b += len(b_bytes[b[j]])
-            j += 1
-        if end_a == end_b:
-            parts.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            links.append((a[i - 1] << 32) | b[j - 1])
-            first_a, first_b = i, j
-    return ";".join(parts), links
+    n_a, n_b, n_groups = (np.zeros(len(words), np.int64) for _ in range(3))
+    text, links = [""] * len(words), [np.empty(0, np.int64)] * len(words)
+    for places, a, b, end_a, end_b in both.encode(words):
+        if not len(a):
+            continue
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
+        linked, shown = (a[last_a] << 32) | b[last_b], _shown(a, b, last_a, last_b)
+        ends = np.cumsum([len(words[i].encode("utf-8", "replace")) + 1 for i in places])
+        cut = np.searchsorted(common, ends) + 1                             # groups up to each unit's end
+        n_a[places] = np.diff(np.searchsorted(end_a, ends) + 1, prepend=0)
+        n_b[places] = np.diff(np.searchsorted(end_b, ends) + 1, prepend=0)
+        n_groups[places] = np.diff(cut, prepend=0)
+        for i, lo, hi in zip(places, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+            text[i], links[i] = ";".join(shown[lo:hi]), linked[lo:hi]
+    return n_a, n_b, n_groups, text, links
 
 
 def _gather(start: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -155,7 +195,7 @@ def _bitmaps(block: int, plane: int, pair: np.ndarray, slot: np.ndarray, ids: np
 def _index(byte_model, piece_model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Pair(byte_model.value, piece_model.value)
-        for block, ids, texts in text_blocks(batches):
+        for block, ids, texts in text_blocks(batches, BLOCK_BYTES):
             yield from _block(both, block, ids, texts)
     return run
 
@@ -164,19 +204,11 @@ def _block(both: Pair, block: int, ids: list, texts: list[str]) -> Iterator[pa.R
     """Rows of documents and of pair bitmaps of one block."""
     local: dict[str, int] = {}
     held = [np.array([local.setdefault(u, len(local)) for u in units(t)], dtype=np.int64) for t in texts]
-    n_a, n_b, text, links, valid = [], [], [], [], []
-    for word, (a, b, a_joined, b_joined) in zip(local, both.encode(list(local)), strict=True):
-        raw = word.encode("utf-8", "replace")
-        valid.append(a_joined == raw and b_joined == raw)
-        shown, linked = groups(a, b, both.a_bytes, both.b_bytes) if valid[-1] else ("", [])
-        n_a.append(len(a))
-        n_b.append(len(b))
-        text.append(shown)
-        links.append(linked)
+    n_a, n_b, count, text, links = link_units(both, list(local))
     local.clear()
-    n_a, n_b, valid = np.array(n_a, np.int64), np.array(n_b, np.int64), np.array(valid, bool)
-    count = np.array([len(x) for x in links], np.int64)
-    pairs, linked = np.unique(np.array([p for x in links for p in x], np.int64), return_inverse=True)
+    valid = count > 0
+    pairs, linked = np.unique(np.concatenate([np.empty(0, np.int64), *links]), return_inverse=True)
+    del links
     start = np.cumsum(count) - count
     ok = [bool(len(u)) and bool(valid[u].all()) for u in held]
     totals = [[int(v[u].sum()) if k else 0 for u, k in zip(held, ok, strict=True)] for v in (n_a, n_b, count)]

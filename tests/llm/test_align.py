@@ -66,8 +66,8 @@ def plain(ids, texts):
 
 def test_units_join_to_the_text():
     for t in ODD:
-        assert "".join(align.units(t)) == (" " + t if t else "")
-    assert align.units("a b  c\td e") == [" a", " b  c\td", " e"]
+        assert " ".join(align.units(t)) == (t or "")
+    assert align.units("a b  c\td e") == ["a", "b  c\td", "e"]
 
 
 def test_equals_plain_on_odd_and_random_texts(spark):
