@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``stored``, dealt by a hash of ``key``: a later grouping by ``key`` reads its groups in place.
+
+    The table's files lie in the scratch folder; its catalog entry is only needed to
+    open it and is removed again, which leaves the files alone.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table_name = f"airgrid_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    try:
+        return spark.table(table_name)
+    finally:
+        spark.sql(f"DROP TABLE {table_name}")
+
+
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     """True where crc32 of the id written as text falls in the held-out fold."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

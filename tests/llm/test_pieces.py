@@ -78,3 +78,17 @@ def test_query_over_documents(spark):
     got = op11_pieces(spark, SF001)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, got.collect())) == sorted((r.doc_id, *p) for r, p in zip(rows, plain([r.text for r in rows]), strict=True))
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+    for v in ([], [0], [1, 127, 128, 16383, 16384, 2 ** 21, 2 ** 28, 2 ** 32 - 1, 0, 5], list(range(70000))):
+        assert pieces.unpack(pieces.pack(np.array(v, np.int64))).tolist() == v
+
+
+def test_many_small_blocks_share_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(pieces, "BUCKET_DOCS", 20)
+    texts = [f"the cat {i % 7} sat  on {'x' * (i % 5)} the mat" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, pieces.digests(df).collect())) == [(i, *p) for i, p in enumerate(plain(texts))]
