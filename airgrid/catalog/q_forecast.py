@@ -8,6 +8,7 @@ from airgrid.catalog import common as cm
 from airgrid.catalog import sql_parts as sp
 from airgrid.catalog.registry import query
 from airgrid.operators import advise, clean, forecast as fc, metrics, splits
+from airgrid.schemas import FEATURES
 
 WITH_BASE = "WITH " + sp.BASE_CTES
 WITH_FEATS = "WITH " + sp.FEATS_CTES
@@ -136,33 +137,31 @@ def p03_recursive_forecast(spark, sf_dir):
     return _forecast(spark, sf_dir).select("location", "origin", "horizon", "datetime", "pm25_pred")
 
 
-@query("p02_next_row_features", WITH_BASE + ",\n" + _P03_STATE + """
-SELECT location, origin, """ + ", ".join([
-    sp.r("pm[-1]", "pm25_lag1"), sp.r("pm[-3]", "pm25_lag3"), sp.r("pm[-24]", "pm25_lag24"),
-    sp.r("wt[4]", "temperature"), sp.r("wh[4]", "humidity"), sp.r("ww[4]", "wind_speed"),
-    sp.r("wp[1]", "precipitation"), sp.r("wt[4] - wt[1]", "temp_change_3h"), sp.out(["pm10", "no2", "so2"])]) +
-    " FROM st")
+@query("p02_next_row_features", WITH_BASE + ",\n" + _P03_STATE + ",\nx AS (SELECT location, origin, " + ", ".join(
+    f"{e} AS f_{f}" for f, e in sp.future_feats(1).items()) + " FROM st)\nSELECT location, origin, " + ", ".join(
+    f"CAST(f_{f} AS BIGINT) AS {f}" if f in sp.INT_FEATURES else sp.r(f"f_{f}", f) for f in sp.FEATURE_ORDER) + " FROM x")
 def p02_next_row_features(spark, sf_dir):
-    """The synthesised first future row: persisted pollutants, as-of weather, lags."""
+    """The synthesised first future row: all features (persisted pollutants, as-of weather, lags)."""
     b = cm.base(spark, sf_dir)
     st = fc.latest_origins(fc.origin_state(b))
     full = fc.assemble_state(st, fc.future_weather(st, _weather(spark, sf_dir)))
-    f = fc.step_features(1, F.col("pm"), {})
-    return full.select("location", "origin", f["pm25_lag1"].alias("pm25_lag1"),
-                       f["pm25_lag3"].alias("pm25_lag3"), f["pm25_lag24"].alias("pm25_lag24"),
-                       f["temperature"].alias("temperature"), f["humidity"].alias("humidity"),
-                       f["wind_speed"].alias("wind_speed"), f["precipitation"].alias("precipitation"),
-                       f["temp_change_3h"].alias("temp_change_3h"), "pm10", "no2", "so2")
-
-
-@query("p04_input_warnings", _P03_SQL.replace(
-    "\nUNION ALL ".join(f"SELECT location, origin, CAST({s} AS BIGINT) AS horizon, origin + INTERVAL {s} HOUR AS datetime, "
-                        f"{sp.r(f'p{s}', 'pm25_pred')} FROM r12" for s in HZ),
-    "\nUNION ALL ".join(f"SELECT location, CAST({s} AS BIGINT) AS horizon, "
-                        f"CAST(CASE WHEN p{s} > 500 THEN 1 ELSE 0 END AS BIGINT) AS is_extreme FROM r12" for s in HZ)))
+    none = F.lit(None).cast("double")
+    f = fc.step_features(1, F.col("pm"), {"location_id": F.lit(-1), "lat_norm": none, "lon_norm": none})
+    return full.select("location", "origin", *[f[c].alias(c) for c in FEATURES])
+
+
+_MISSING_RATIO = "CASE WHEN missing_features = '' THEN 0.0 ELSE len(string_split(missing_features, ',')) / 34.0 END"
+
+
+@query("p04_input_warnings", WITH_BASE + ",\n" + _P03_STATE + ",\n" + sp.recursion() + "\n" + "\nUNION ALL ".join(
+    f"SELECT location, CAST({s} AS BIGINT) AS horizon, CAST(CASE WHEN p > 500 THEN 1 ELSE 0 END AS BIGINT) AS is_extreme, "
+    f"missing_features, {sp.r(_MISSING_RATIO, 'missing_ratio')} FROM ("
+    f"SELECT r.location, r.p{s} AS p, m.missing_features FROM r12 r JOIN (SELECT location, {sp.missing_names(s)} AS missing_features "
+    f"FROM {'st' if s == 1 else f'r{s - 1}'}) m USING (location))" for s in HZ))
 def p04_input_warnings(spark, sf_dir):
-    """Extreme-prediction flag per forecast step (missing-feature lists are not returned)."""
-    return _forecast(spark, sf_dir).select("location", "horizon", "is_extreme")
+    """Per forecast step: extreme-prediction flag, names and share of missing features."""
+    return _forecast(spark, sf_dir).select("location", "horizon", "is_extreme",
+                                           F.array_join("missing_features", ",").alias("missing_features"), "missing_ratio")
 
 
 @query("p06_local_time", WITH_BASE + """

@@ -341,6 +341,47 @@ def blend_feats(s: int) -> dict[str, str]:
     }
 
 
+def future_feats(s: int) -> dict[str, str]:
+    """SQL of all features of the future row at step ``s``, from the state before its own value is appended.
+
+    Without a spatial fit: no station number, no normalised coordinates.
+    """
+    t, h, v, ts = f"wt[{s + 3}]", f"wh[{s + 3}]", f"ww[{s + 3}]", f"(origin + INTERVAL {s} HOUR)"
+    tail = "list_slice(pm, -12, -1)"
+    full = f"len({tail}) = 12 AND len(list_filter({tail}, lambda x: x IS NOT NULL)) = 12"
+    mean12 = f"({_lsum(tail)} / 12)"
+    ss = _lsum(f"list_transform({tail}, lambda x: pow(x - {mean12}, 2))")
+    return blend_feats(s) | {
+        "pm10": "pm10", "no2": "no2", "so2": "so2",
+        "pm25_lag3": "pm[-3]", "pm25_lag6": "pm[-6]", "pm25_lag24": "pm[-24]", "pm25_trend_3h": "pm[-1] - pm[-3]",
+        "pm25_std_12h": f"CASE WHEN {full} THEN sqrt({ss} / 11) END",
+        "hour": f"hour({ts})", "hour_cos": f"cos(2 * pi() * hour({ts}) / 24)",
+        "month": f"month({ts})", "month_sin": f"sin(2 * pi() * month({ts}) / 12)",
+        "month_cos": f"cos(2 * pi() * month({ts}) / 12)",
+        "weekend_flag": f"CASE WHEN isodow({ts}) >= 6 THEN 1 ELSE 0 END",
+        "heating_season_flag": f"CASE WHEN month({ts}) IN (10, 11, 12, 1, 2, 3, 4) THEN 1 ELSE 0 END",
+        "wind_speed": v, "precipitation": f"wp[{s}]",
+        "temp_change_3h": f"{t} - wt[{s}]", "humidity_change_3h": f"{h} - wh[{s}]",
+        "stagnation_index": f"{h} / ({v} + 0.5)", "temp_wind_interaction": f"{t} * {v}",
+        "mixing_index": f"({t} + 273.15) * ({v} + 1.0) / ({h} + 20.0)", "ventilation_index": f"{v} * ({t} + 273.15)",
+        "location_id": "-1", "lat_norm": "CAST(NULL AS DOUBLE)", "lon_norm": "CAST(NULL AS DOUBLE)",
+    }
+
+
+def missing_names(s: int) -> str:
+    """SQL of the comma-joined names of the features that are NULL at step ``s``, in feature order."""
+    feats = future_feats(s)
+    names = ", ".join(f"CASE WHEN ({feats[f]}) IS NULL THEN '{f}' END" for f in FEATURE_ORDER)
+    return f"array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',')"
+
+
+# Written out here and not taken from the code under test.
+FEATURE_ORDER = """pm10 no2 so2 pm25_lag1 pm25_lag3 pm25_lag6 pm25_lag24 pm25_roll6 pm25_roll24 pm25_trend_3h
+pm25_std_12h hour hour_sin hour_cos month month_sin month_cos weekend_flag heating_season_flag temperature humidity
+wind_speed precipitation temp_change_3h humidity_change_3h wind_change_3h stagnation_index temp_wind_interaction
+mixing_index ventilation_index stagnation_hours_6h location_id lat_norm lon_norm""".split()
+
+
 def blend_step(s: int) -> str:
     feats = blend_feats(s)
     raw = "0.0" + "".join(f" + {c} * coalesce(CAST({feats[f]} AS DOUBLE), 0.0)" for f, c in BLEND_COEFS)

@@ -80,3 +80,26 @@ def with_time_chunks(df: DataFrame, chunk_hours: int, halo: int, time: str = TIM
 
 def chunk_window(key: str = KEY, time: str = TIME) -> WindowSpec:
     return Window.partitionBy(key, CHUNK).orderBy(time)
+
+
+def with_position_chunks(df: DataFrame, chunk_rows: int, halo: int, key: str = KEY, time: str = TIME,
+                         block_hours: int = 720) -> DataFrame:
+    """Split each station's rows into ``chunk_rows`` consecutive rows plus a ``halo``-row copy of those before.
+
+    Positions count rows, not hours, so they serve where rows are missing: rows are
+    numbered inside time blocks, and the counts of the blocks before (one row per
+    station and block) give the offset.  Owned rows have ``_halo`` false.
+    """
+    part = F.floor(F.unix_seconds(F.col(time)) / (3600 * block_hours))
+    rows = df.withColumn("_part", part)
+    starts = (rows.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_skip", F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_in").rowsBetween(
+                  Window.unboundedPreceding, -1)), F.lit(0))).drop("_n"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(time)) - 1
+    placed = (rows.withColumn("_at", inside).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
+              .withColumn("_pos", F.col("_skip") + F.col("_at")))
+    c = F.floor(F.col("_pos") / chunk_rows)
+    tag = lambda chunk, halo_row: F.struct(chunk.cast("long").alias(CHUNK), F.lit(halo_row).alias(HALO))
+    late = F.col("_pos") - c * chunk_rows >= chunk_rows - halo
+    tags = F.when(late, F.array(tag(c, False), tag(c + 1, True))).otherwise(F.array(tag(c, False)))
+    return placed.withColumn("_tag", F.explode(tags)).select(*df.columns, "_tag.*")

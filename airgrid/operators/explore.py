@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airgrid.functions.windows import HALO, chunk_window, with_position_chunks
 from airgrid.schemas import KEY, TIME
 
 
@@ -173,9 +174,10 @@ def box_stats(df: DataFrame, col: str = "pm25") -> DataFrame:
 
 def zscore_outliers(df: DataFrame, col: str = "pm25", threshold: float = 5.0) -> DataFrame:
     """Rows whose per-station z-score (sample std) exceeds ``threshold`` in absolute value."""
-    w = Window.partitionBy(KEY)
-    z = (F.col(col) - F.avg(col).over(w)) / F.stddev_samp(col).over(w)
-    return df.withColumn("z", z).where(F.abs("z") > threshold)
+    stats = df.groupBy(F.col(KEY).alias("_key")).agg(F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s"))
+    z = (F.col(col) - F.col("_m")) / F.col("_s")
+    joined = df.join(stats, F.col(KEY).eqNullSafe(F.col("_key"))).withColumn("z", z)
+    return joined.where(F.abs("z") > threshold).drop("_key", "_m", "_s")
 
 
 def clip_log(df: DataFrame, col: str = "pm25", upper: float = 300.0) -> DataFrame:
@@ -197,29 +199,40 @@ def seasonality(df: DataFrame, col: str = "pm25") -> DataFrame:
     return g.select(profile.alias("profile"), period.alias("period"), KEY, f"mean_{col}")
 
 
-def lag_correlation(df: DataFrame, col: str = "pm25", max_lag: int = 24) -> DataFrame:
-    """Per-station Pearson corr of x with x[-k] (pairwise complete), mean over stations."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
-    lagged = df.select(KEY, col, *[F.lag(col, k).over(w).alias(f"l{k}") for k in range(1, max_lag + 1)])
-    per = lagged.groupBy(KEY).agg(*[F.corr(col, f"l{k}").alias(f"{k}") for k in range(1, max_lag + 1)])
-    long = per.unpivot([KEY], [f"{k}" for k in range(1, max_lag + 1)], "lag", "corr")
+CHUNK_ROWS = 720             # rows of a station that one window of E14 and E15 owns
+
+
+def lag_correlation(df: DataFrame, col: str = "pm25", max_lag: int = 24, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per-station Pearson corr of x with x[-k] (pairwise complete), mean over stations.
+
+    A station's rows are dealt by position into blocks with a halo, so no window holds
+    a whole station; correlations add up over blocks.
+    """
+    laid = with_position_chunks(df.select(KEY, TIME, col), chunk_rows, max_lag)
+    w = chunk_window()
+    lags = range(1, max_lag + 1)
+    lagged = laid.select(KEY, HALO, col, *[F.lag(col, k).over(w).alias(f"l{k}") for k in lags]).where(~F.col(HALO))
+    per = lagged.groupBy(KEY).agg(*[F.corr(col, f"l{k}").alias(f"{k}") for k in lags])
+    long = per.unpivot([KEY], [f"{k}" for k in lags], "lag", "corr")
     return long.groupBy(F.col("lag").cast("int").alias("lag")).agg(F.avg("corr").alias("mean_corr"))
 
 
-def acf(df: DataFrame, col: str = "pm25", max_lag: int = 48) -> DataFrame:
-    """Per-station autocorrelation of the NULL-free series (biased, global mean)."""
-    w = Window.partitionBy(KEY).orderBy(TIME)
+def acf(df: DataFrame, col: str = "pm25", max_lag: int = 48, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per-station autocorrelation of the NULL-free series (biased, global mean).
+
+    Lags count the rows that are left, so blocks are cut by position; the products of
+    a block's own rows with the rows up to ``max_lag`` before them add up over blocks.
+    """
     s = df.where(F.col(col).isNotNull()).select(KEY, TIME, col)
-    m = s.groupBy(KEY).agg(F.avg(col).alias("_m"))
-    c = s.join(m, KEY).withColumn("_d", F.col(col) - F.col("_m"))
-    prods = c.select(KEY, *[(F.col("_d") * F.lead("_d", k).over(w)).alias(f"{k}")
-                            for k in range(0, max_lag + 1)])
-    sums = prods.groupBy(KEY).agg(*[F.sum(f"{k}").alias(f"{k}") for k in range(0, max_lag + 1)])
-    long = sums.unpivot([KEY], [f"{k}" for k in range(0, max_lag + 1)], "lag", "num")
-    den = sums.select(KEY, F.col("0").alias("_den"))
-    return (long.join(den, KEY)
-            .select(KEY, F.col("lag").cast("int").alias("lag"),
-                    (F.col("num") / F.col("_den")).alias("acf")))
+    m = s.groupBy(F.col(KEY).alias("_k")).agg(F.avg(col).alias("_m"))
+    laid = with_position_chunks(s, chunk_rows, max_lag)
+    c = laid.join(m, F.col(KEY).eqNullSafe(F.col("_k"))).withColumn("_d", F.col(col) - F.col("_m"))
+    w = chunk_window()
+    lags = range(0, max_lag + 1)
+    prods = c.select(KEY, HALO, *[(F.col("_d") * F.lag("_d", k).over(w)).alias(f"{k}") for k in lags]).where(~F.col(HALO))
+    sums = prods.groupBy(KEY).agg(*[F.sum(f"{k}").alias(f"{k}") for k in lags])
+    long = sums.withColumn("_den", F.col("0")).unpivot([KEY, "_den"], [f"{k}" for k in lags], "lag", "num")
+    return long.select(KEY, F.col("lag").cast("int").alias("lag"), (F.col("num") / F.col("_den")).alias("acf"))
 
 
 def missing_map(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

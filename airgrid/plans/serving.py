@@ -24,7 +24,7 @@ def load_forecaster(spark: SparkSession, path: str) -> fc.MLForecaster:
 
 def batch_forecast(base: DataFrame, weather: DataFrame, model: fc.Forecaster, fit=None,
                    horizon: int = fc.HORIZON) -> DataFrame:
-    hist = fc.serving_history(base, weather)
+    hist = fc.serving_history(fc.recent_rows(base), weather)          # the hours that a forecast looks back on
     tail = splits.last_valid_history(hist, 12)
     fcst = fc.forecast_latest(base, weather, model, fit, horizon, explain=True)
     fcst = advise.attach_weather_code(fcst, weather)
