@@ -11,7 +11,7 @@ from airgrid.operators import advise, clean
 from airgrid.operators import forecast as fc
 from airgrid.plans import serving
 from airgrid.session import cut_lineage, scratch_path
-from airgrid.streaming import hourly
+from airgrid.streaming import hourly, live
 
 
 _LABELS = {"pm25_lag1": (3, "Recent PM"), "pm25_roll6": (7, "Avg PM (6h)"), "pm25_roll24": (8, "Avg PM (24h)"),
@@ -104,3 +104,23 @@ def r01_stream_hourly_means(spark, sf_dir):
     sink = scratch_path(spark, "hourly-sink")
     hourly.run_hourly(spark, src, sink, scratch_path(spark, "hourly-ckpt"), files_per_trigger=1)
     return hourly.read_hourly(spark, sink)
+
+
+@query("r01_live_panel", "WITH " + sp.MEAS.strip().replace(
+    "CAST(date_trunc('hour', ts) AS TIMESTAMP) AS datetime", "CAST(ts AS TIMESTAMP) AS datetime") + """,
+h AS (SELECT location, date_trunc('hour', datetime) AS datetime, """ + ", ".join(
+    f"avg(CASE WHEN parameter = '{p}' AND value >= 0 THEN value END) AS {p}" for p in ("no2", "pm10", "pm25", "so2")) + """
+      FROM meas GROUP BY 1, 2),
+spine AS (SELECT location, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime
+          FROM (SELECT location, min(datetime) AS lo, max(datetime) AS hi FROM h GROUP BY location)),
+grid AS (SELECT s.location, s.datetime, no2, pm10, pm25, so2 FROM spine s LEFT JOIN h USING (location, datetime)),
+""" + sp.interp_state("st", "grid", ["no2", "pm10", "pm25", "so2"]) + "\nSELECT location, datetime, " + ", ".join(
+    f"{sp.r(p, p)}, {sp.r(f'{p}__f', f'{p}_filled')}" for p in ("no2", "pm10", "pm25", "so2")) + " FROM st")
+def r01_live_panel(spark, sf_dir):
+    """Readings landed in time order, streamed one file per trigger through the stateful ring of
+    each station: newest version of every hour, raw and gap-filled."""
+    meas, _ = cm.inputs(spark, sf_dir, hourly=False)
+    src, sink = scratch_path(spark, "live-landing"), scratch_path(spark, "live-sink")
+    hourly.land_in_order(meas, src, chunk_days=5)
+    live.run_live(spark, src, sink, scratch_path(spark, "live-ckpt"), files_per_trigger=1)
+    return live.read_live(spark, sink)
