@@ -2,8 +2,10 @@
 
 Of every ``w`` consecutive ``k``-gram hashes the minimum is kept, in documents and
 in benchmark items alike, so every shared span of ``k + w - 1`` words (the window
-length, 13) leaves the same fingerprint in both.  Fingerprints that meet are
-extended word by word to the windows around them.  An item shorter than a window
+length, 13) leaves the same fingerprint in both.  A document's fingerprints that occur
+in the benchmark are extended to the windows around them: each such window is looked
+up once among the benchmark's distinct windows and compared word by word, so the work
+is linear in the document however often words repeat on either side.  An item shorter than a window
 is one window of its own length ``n`` and is winnowed with ``k = n, w = 1``.
 
 The benchmark is the query set: it is cut into pieces of bounded length, the
@@ -25,8 +27,8 @@ from airgrid.llm.common import stored
 from airgrid.llm.words import gram_hashes, word_hashes
 
 WINDOW, GRAM = 13, 5
-PIECE_WINDOWS, BLOCK_WORDS = 4096, 2_000_000
-_PAIRS = 50_000
+PIECE_WINDOWS, BLOCK_WORDS = 4096, 1_000_000
+_STARTS = 50_000             # windows compared in one array operation
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
@@ -48,10 +50,12 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 class Block:
     """Fingerprints of some benchmark pieces: sorted hashes with their piece word position."""
 
-    words: np.ndarray            # word hashes of all pieces, WINDOW separators between them
-    item: np.ndarray             # item number at each word position, -1 between pieces
-    hashes: np.ndarray           # sorted fingerprints of full windows
-    places: np.ndarray           # word position of each
+    words: np.ndarray            # word hashes of all pieces, one after the other
+    hashes: np.ndarray           # sorted distinct fingerprints of full windows
+    windows: np.ndarray          # sorted distinct hashes of full windows
+    places: np.ndarray           # word position of one window of each hash
+    first: np.ndarray            # where the items of each hash begin in ``items``, and the end
+    items: np.ndarray            # distinct item numbers of each hash
     short: dict                  # length -> (sorted gram hashes, item numbers) of short items
     ids: list                    # item number -> item id
 
@@ -59,7 +63,7 @@ class Block:
 def make_block(pieces: list[tuple[object, np.ndarray]], window: int = WINDOW, k: int = GRAM) -> Block:
     ids = list(dict.fromkeys(i for i, _ in pieces))
     number = {i: n for n, i in enumerate(ids)}
-    words, item, hashes, places, short, at = [], [], [], [], {}, 0
+    words, hashes, full, places, owner, short, at = [], [], [], [], [], {}, 0
     for i, w in pieces:
         if 0 < len(w) < window:
             g, m = short.setdefault(len(w), ([], []))
@@ -67,29 +71,31 @@ def make_block(pieces: list[tuple[object, np.ndarray]], window: int = WINDOW, k:
             m.append(number[i])
         elif len(w):
             g = gram_hashes(w, k)
-            p = winnow(g, window - k + 1)
-            hashes.append(g[p])
-            places.append(p + at)
-            words += [w, np.zeros(window, np.uint64)]
-            item += [np.full(len(w), number[i]), np.full(window, -1)]
-            at += len(w) + window
+            hashes.append(np.unique(g[winnow(g, window - k + 1)]))
+            full.append(gram_hashes(w, window))
+            places.append(np.arange(at, at + len(full[-1])))
+            owner.append(np.full(len(full[-1]), number[i]))
+            words.append(w)
+            at += len(w)
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-    h, p = cat(hashes, np.uint64), cat(places, np.int64)
-    o = np.argsort(h, kind="stable")
     for n, (g, m) in short.items():
         g, m = np.array(g, np.uint64), np.array(m)
         s = np.argsort(g, kind="stable")
         short[n] = (g[s], m[s])
-    return Block(cat(words, np.uint64), cat(item, np.int64), h[o], p[o], short, ids)
+    full, places, owner = cat(full, np.uint64), cat(places, np.int64), cat(owner, np.int64)
+    o = np.lexsort((owner, full))
+    new = np.ones(len(o), bool)
+    new[1:] = (full[o][1:] != full[o][:-1]) | (owner[o][1:] != owner[o][:-1])          # each item once a window
+    o = o[new]
+    windows, first = np.unique(full[o], return_index=True)
+    return Block(cat(words, np.uint64), np.unique(cat(hashes, np.uint64)), windows, places[o][first],
+                 np.append(first, len(o)), owner[o], short, ids)
 
 
-def _meet(sorted_hashes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (position in ``own``, position in ``sorted_hashes``) with equal hashes."""
-    lo, hi = np.searchsorted(sorted_hashes, own, "left"), np.searchsorted(sorted_hashes, own, "right")
-    n = hi - lo
-    left = np.repeat(np.arange(len(own)), n)
-    right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    return left, right
+def _in(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in a sorted table, and where."""
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
 
 
 def find_hits(w: np.ndarray, b: Block, window: int = WINDOW, k: int = GRAM) -> tuple[np.ndarray, set]:
@@ -98,28 +104,29 @@ def find_hits(w: np.ndarray, b: Block, window: int = WINDOW, k: int = GRAM) -> t
     if len(w) >= window and len(b.hashes):
         g = gram_hashes(w, k)
         mine = winnow(g, window - k + 1)
-        left, right = _meet(b.hashes, g[mine])
-        side = window - k                               # a window reaches so far beside its gram
-        span = np.arange(-side, window)
-        for s in range(0, len(left), _PAIRS):
-            p, q = mine[left[s:s + _PAIRS]], b.places[right[s:s + _PAIRS]]
-            dp, dq = p[:, None] + span, q[:, None] + span
-            inside = (dp >= 0) & (dp < len(w)) & (dq >= 0)
-            dq = np.clip(dq, 0, len(b.words) - 1)
-            same = inside & (b.item[dq] == b.item[q][:, None]) & (w[np.clip(dp, 0, len(w) - 1)] == b.words[dq])
-            run = np.concatenate([np.zeros((len(p), 1), int), np.cumsum(same, axis=1)], axis=1)
-            full = run[:, window:] - run[:, :-window] == window
-            r, c = np.nonzero(full)
-            start = p[r] - side + c
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + window, -1)
-            items.update(np.unique(b.item[q[r]]).tolist())
+        mine = mine[_in(b.hashes, g[mine])[0]]
+        near = np.zeros(len(w) + 1, dtype=np.int64)         # starts of windows that hold such a gram
+        np.add.at(near, np.maximum(mine - (window - k), 0), 1)
+        np.add.at(near, mine + 1, -1)
+        start = np.flatnonzero(np.cumsum(near[:len(w) - window + 1]) > 0)
+        found, at = _in(b.windows, gram_hashes(w, window)[start])
+        start, at = start[found], at[found]
+        span = np.arange(window)
+        for s in range(0, len(start), _STARTS):
+            p, q = start[s:s + _STARTS], at[s:s + _STARTS]
+            same = (w[p[:, None] + span] == b.words[b.places[q][:, None] + span]).all(axis=1)
+            np.add.at(edge, p[same], 1)
+            np.add.at(edge, p[same] + window, -1)
+            q = np.unique(q[same])
+            for lo, hi in zip(b.first[q].tolist(), b.first[q + 1].tolist(), strict=True):
+                items.update(b.items[lo:hi].tolist())
     for n, (h, m) in b.short.items():
         if len(w) >= n:
-            left, right = _meet(h, gram_hashes(w, n))
-            np.add.at(edge, left, 1)
-            np.add.at(edge, left + n, -1)
-            items.update(np.unique(m[right]).tolist())
+            own = gram_hashes(w, n)
+            at = np.flatnonzero(_in(h, own)[0])
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + n, -1)
+            items.update(m[_in(np.unique(own), h)[0]].tolist())
     return np.cumsum(edge[:-1]) > 0, items
 
 
