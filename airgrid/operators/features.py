@@ -17,6 +17,7 @@ from airgrid.functions.windows import (CHUNK, HALO, chunk_window, diff, rolling_
                                        rolling_std_prev, rolling_sum_prev_rows, station_window,
                                        with_time_chunks)
 from airgrid.schemas import FEATURES, HEATING_MONTHS, KEY, LOW_WIND, TIME
+from airgrid.session import cut_lineage
 
 LAGS = (1, 3, 6, 24)
 LOOKBACK = 24            # the longest backward look of any window feature, in rows (= hours)
@@ -91,13 +92,22 @@ class SpatialFit:
 def fit_spatial(train: DataFrame) -> SpatialFit:
     """the two means (one tiny aggregate) and location -> 0-based alphabetical id.
 
-    The index is a window over the distinct-station dimension only.
+    The distinct stations are cut once: range partitions in order of the name, numbered
+    inside and shifted by the counts of the partitions before (one row a partition).
     """
-    means = train.agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b"),
-                      F.countDistinct(KEY).alias("n")).first()
-    mapping = (train.select(KEY).where(F.col(KEY).isNotNull()).distinct()
-               .withColumn("location_id", F.row_number().over(Window.orderBy(KEY)) - 1))
-    return SpatialFit(means["a"], means["b"], mapping, int(means["n"]))
+    means = train.agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b")).first()
+    names = cut_lineage(train.select(KEY).where(F.col(KEY).isNotNull()).distinct().repartitionByRange(KEY)
+                        .withColumn("_part", F.spark_partition_id()))
+    sizes = names.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    skip, n = [], 0
+    for r in sizes.orderBy("_part").collect():
+        skip.append((r["_part"], n))
+        n += r["_size"]
+    starts = train.sparkSession.createDataFrame(skip, "_part int, _skip long")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(KEY)) - 1
+    mapping = (names.withColumn("_at", inside).join(starts, "_part")
+               .select(KEY, (F.col("_at") + F.col("_skip")).cast("int").alias("location_id")))
+    return SpatialFit(means["a"], means["b"], cut_lineage(mapping), n)
 
 
 def apply_spatial(df: DataFrame, fit: SpatialFit) -> DataFrame:

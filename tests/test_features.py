@@ -80,3 +80,26 @@ def test_chunked_windows_equal_per_station(spark):
     assert sorted(b.columns) == sorted(cols)
     diff = a.select(*cols).exceptAll(b.select(*cols)).count() + b.select(*cols).exceptAll(a.select(*cols)).count()
     assert a.count() == b.count() and diff == 0
+
+
+def test_binned_density_lies_within_its_bound(spark):
+    import numpy as np
+
+    from airgrid.operators import explore
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.gamma(2, 12, 4000), [0.0, 0.0, 400.0]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "pm25 double")
+    for cells in (1 << 16, 4096, 512):
+        a = {r["i"]: r["density"] for r in explore.kde(df, cells=cells).collect()}
+        b = {r["i"]: r["density"] for r in explore.kde(df, exact=True).collect()}
+        bound = explore.kde_error(v.min(), v.max(), v.std(ddof=1), len(v), cells)
+        assert len(a) == 200 and max(abs(a[i] - b[i]) for i in a) <= bound + 1e-12
+    assert explore.kde_error(v.min(), v.max(), v.std(ddof=1), len(v)) < 1e-7
+
+
+def test_station_index_over_range_partitions(spark):
+    from airgrid.operators import features
+    names = [f"s{i:03d}" for i in range(300)]
+    df = spark.createDataFrame([(n, 1.0, 2.0) for n in reversed(names)] * 2 + [(None, 1.0, 2.0)], "location string, latitude double, longitude double")
+    fit = features.fit_spatial(df)
+    assert {r["location"]: r["location_id"] for r in fit.mapping.collect()} == {n: i for i, n in enumerate(names)} and fit.n_stations == 300
