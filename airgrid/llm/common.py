@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.session import scratch_path
 
 
+BATCH_BYTES = 4 << 20        # of an Arrow batch that travels to a Python task
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Batches end by bytes as well as by rows, so that long texts do not pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
+def giving_back(fn):
+    """Wrap a task function over batches: what it held goes back to the system when the task ends.
+
+    Workers serve one task after another, and their allocators keep freed memory.
+    """
+    @functools.wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):            # another C library
+                pass
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.buckets import block_pairs
-from airgrid.llm.common import stored, widest
+from airgrid.llm.common import giving_back, stored, widest
 from airgrid.llm.graph import components
 from airgrid.llm.words import gram_hashes, mix, occurrence, word_hashes
 
@@ -183,7 +183,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
             made = pd.DataFrame(out, columns=["doc_id", "digest", "n", "keys", "sig", "small"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
-    return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys array<long>, sig binary, small binary")
+    return docs.mapInPandas(giving_back(run), "doc_id long, digest binary, n long, keys array<long>, sig binary, small binary")
 
 
 def may_be_similar(match: np.ndarray, filled: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -253,7 +253,7 @@ def _verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: floa
                   zip(f["a"], f["b"], f["ta"], f["tb"], strict=True)]
             yield f.loc[ok, ["a", "b"]]
 
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInPandas(giving_back(run), "a long, b long")
 
 
 def _cross_pairs(buckets: DataFrame, reps: DataFrame, similarity: float, most: int | None, block: int) -> DataFrame:

@@ -1,17 +1,20 @@
 """Personal data: fixed patterns plus a character BiLSTM-CRF.
 
 The patterns give the base spans.  A bidirectional LSTM with CRF transitions is
-trained in numpy on windows labelled with base spans of a bounded sample of
-documents.  It reads every window that holds a digit or an at sign: each kind of
-span has one of them by definition, so other windows cannot hold a span.  Scores of
-overlapping windows are averaged, weighted towards window centres, and each run of
-windows is decoded as one sequence.  Spans found that way are added where no base
-span lies.
+trained in numpy on windows of a bounded sample of documents, labelled with base
+spans, and on the same number of windows with planted examples that no pattern
+covers: local phone forms, IPv6 addresses, cards with other separators, written-out
+mail addresses, and look-alikes that are none of these (dates, versions, order
+numbers, prices).  It reads every window that holds a digit, an at sign or the words
+of a written-out address.  Scores of overlapping windows are averaged, weighted
+towards window centres, and each run of windows is decoded as one sequence.  Spans
+found that way are added where no base span lies and their kind's least content is there.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm import tagger
+from airgrid.llm.common import giving_back
 from airgrid.llm.tagger import KINDS, STRIDE, WINDOW
 
-MAX_DOCS, MAX_WINDOWS = 3000, 6000
+MAX_DOCS, MAX_WINDOWS, MAX_PLANTED = 3000, 6000, 6000
 _RUN = 512
+_CELLS = 1 << 16             # places decoded in one block, unless one run is longer
 
 # The patterns.  Runs are possessive where giving characters back could not help.
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -31,7 +36,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\b[dD]ot\b|[(\[{] ?[aA]t ?[)\]}]")
 
 
 def luhn(digits: str) -> bool:
@@ -86,7 +91,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 # ---- windows -------------------------------------------------------------------
 
 def windows(text: str) -> np.ndarray:
-    """Starts (multiples of STRIDE) of the windows that hold a digit or an at sign."""
+    """Starts (multiples of STRIDE) of the windows that a trigger begins in."""
     at = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), dtype=np.int64)
     last = at // STRIDE
     return np.unique(np.concatenate([last, last - 1]).clip(0)) * STRIDE
@@ -115,8 +120,9 @@ def window_tags(text: str, starts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS,
-          max_windows: int = MAX_WINDOWS, epochs: int = 6) -> dict[str, np.ndarray]:
-    """Fit the tagger on at most ``max_windows`` windows of at most ``max_docs`` documents.
+          max_windows: int = MAX_WINDOWS, max_planted: int = MAX_PLANTED, epochs: int = 6) -> dict[str, np.ndarray]:
+    """Fit the tagger on at most ``max_windows`` windows of at most ``max_docs`` documents
+    and at most ``max_planted`` of these windows with a planted example.
 
     Documents that hold a digit or an at sign are drawn by a hash of id and text, their
     windows by a hash as well, so the draw does not depend on partitioning.
@@ -144,9 +150,76 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
              .orderBy("k", "at", "x").limit(max_windows).collect())
     x = np.array([np.frombuffer(bytes(r["x"]), np.uint8) for r in drawn], dtype=np.int64)
     y = np.array([np.frombuffer(bytes(r["y"]), np.uint8) for r in drawn], dtype=np.int64)
+    if len(x):
+        more = [plant(x[k % len(x)], y[k % len(x)], np.random.default_rng(k)) for k in range(max_planted)]
+        x, y = np.concatenate([x, [a for a, _ in more]]), np.concatenate([y, [b for _, b in more]])
     return tagger.fit(x, y, epochs=epochs)
 
 
+# ---- planted examples ------------------------------------------------------------
+
+def _digits(rng, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _name(rng) -> str:
+    return "".join(rng.choice(list("bcdfghklmnprstvw")) + rng.choice(list("aeiou")) for _ in range(rng.integers(2, 4)))
+
+
+def _card(rng, sep: str) -> str:
+    body = "4" + _digits(rng, 14)
+    whole = next(body + str(d) for d in range(10) if luhn(body + str(d)))
+    return sep.join(whole[i:i + 4] for i in range(0, 16, 4))
+
+
+def example(rng: np.random.Generator) -> tuple[str | None, str]:
+    """(kind, text): an example beyond the patterns, or a look-alike of kind None."""
+    d, pick = (lambda n: _digits(rng, n)), (lambda *xs: xs[rng.integers(0, len(xs))])
+    form = rng.integers(0, 8)
+    if form == 0:
+        return "phone", pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}")
+    if form == 1:
+        who = pick(_name(rng), f"{_name(rng)} dot {_name(rng)}")
+        return "email", pick(f"{who} at {_name(rng)} dot {pick('com', 'org', 'net')}", f"{_name(rng)}(at){_name(rng)}.{pick('com', 'org')}",
+                             f"{_name(rng)} [at] {_name(rng)} [dot] {pick('com', 'net', 'de')}")
+    if form == 2:
+        part = [f"{rng.integers(0, 65536):x}" for _ in range(rng.integers(4, 8))]
+        return "ip", pick(":".join(part + ["1"] * (8 - len(part))), "2001:" + ":".join(part[:3]) + "::" + part[3])
+    if form == 3:
+        return "card", _card(rng, pick(".", "/", "  ", "_"))
+    year = f"{rng.integers(1900, 2030)}"
+    return None, pick(f"{year}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{year}", f"{d(2)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(2)}.{d(1)}", f"No. {d(8)}",
+                      f"order {d(6)}-{d(3)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"${d(1)},{d(3)}.{d(2)}", f"{year}-{year}", f"{d(1)}.{d(1)}.{d(2)}",
+                      f"{d(3)} x {d(3)}", f"{d(5)}", "the dot on the map", f"{d(2)} dot {d(2)}", f"{d(1)}.{d(4)}e-{d(1)}", f"#{d(6)}")
+
+
+def plant(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A window with an example put between two of its characters outside spans; what is behind moves on."""
+    kind, text = example(rng)
+    c = tagger.codes(f" {text} ")[:WINDOW]
+    t = np.zeros(len(c), np.int64)
+    if kind:
+        t[1:-1], t[1] = 2 + 2 * KINDS.index(kind), 1 + 2 * KINDS.index(kind)
+    free = np.flatnonzero((y == 0) & (np.append(0, y[:-1]) == 0) & (np.arange(len(y)) <= WINDOW - min(len(c), 48)))
+    at = int(rng.choice(free)) if len(free) else 0
+    if not len(free):
+        x, y = np.zeros_like(x), np.zeros_like(y)
+    return np.concatenate([x[:at], c, x[at:]])[:WINDOW], np.concatenate([y[:at], t, y[at:]])[:WINDOW]
+
+
+# The least content of an added span.
+_LEAST = {"email": re.compile(r"(?:@|\bat\b).*(?:\.|\bdot\b)", re.IGNORECASE | re.DOTALL),
+          "ip": re.compile(r"[0-9a-fA-F]+(?:::?[0-9a-fA-F]+){3,7}|[0-9]+(?:\.[0-9]+){3}"),
+          "card": re.compile(r"(?:[0-9][^0-9]{0,2}){12,18}[0-9]"), "phone": re.compile(r"\+?(?:[0-9][^0-9]{0,3}){7,14}[0-9]")}
+
+
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span of the tagger holds what its kind needs; cards pass Luhn's check."""
+    if not _LEAST[kind].search(text):
+        return False
+    return kind != "card" or luhn("".join(ch for ch in text if ch in "0123456789"))
+
+
 # ---- decoding ------------------------------------------------------------------
 
 _WEIGHT = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
@@ -180,7 +253,7 @@ def decode(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[st
     k = 0
     while k < len(runs):
         top = k
-        while top < len(runs) and top - k < 256 and len(runs[top][2]) <= 2 * len(runs[k][2]):
+        while top < len(runs) and (top - k + 1) * len(runs[top][2]) <= max(_CELLS, len(runs[k][2])):
             top += 1
         length = len(runs[top - 1][2])
         block = np.full((top - k, length, tagger.TAGS), tagger._BARRED, np.float32)
@@ -193,7 +266,7 @@ def decode(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[st
                 while b < length and path[b] == tag + 1:
                     b += 1
                 lo, hi = begin + int(a), min(begin + b, len(texts[n]))
-                if _TRIGGER.search(texts[n], lo, hi):
+                if plausible(KINDS[tag // 2], texts[n][lo:hi]):
                     found[n].append((KINDS[tag // 2], lo, hi))
         k = top
     return found
@@ -202,9 +275,12 @@ def decode(model: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[st
 def merged(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those of ``more`` that touch none of them, by kind, then start."""
     taken = sorted((a, b) for _, a, b in base)
+    reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    starts = [a for a, _ in taken]
     out = list(base)
     for kind, a, b in more:
-        if not any(x < b and a < y for x, y in taken):
+        k = bisect_left(starts, b)                       # base spans that begin before this one ends
+        if k == 0 or reach[k - 1] <= a:
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -221,7 +297,7 @@ def _udf(docs: DataFrame, model: dict[str, np.ndarray], make, schema: str):
                 parts += [make(t, base_spans(t), more) for t, more in zip(texts, found, strict=True)]
             yield pd.DataFrame(parts, columns=[c.split()[0] for c in schema.split(", ")])
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, schema)
+    return F.pandas_udf(giving_back(run), schema)
 
 
 def find(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airgrid.llm.common import giving_back
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("first", "middle", "last")
 # The vocabulary's splitting pattern, and the white space it means by \s.
@@ -24,7 +26,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 _BREAK = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _PIECE = 1 << 20
-_CACHE = 300_000
+_CACHE = 50_000
 
 
 def share_vocabulary(spark: SparkSession, path: str = VOCABULARY):
@@ -137,7 +139,7 @@ def attribute(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_
                                 "crossing": cols[6]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given)
-    return rows.mapInPandas(run, "doc_id long, section long, begin long, until long, n_tokens long, crossing long")
+    return rows.mapInPandas(giving_back(run), "doc_id long, section long, begin long, until long, n_tokens long, crossing long")
 
 
 class _Counts(dict):
@@ -168,4 +170,4 @@ def count_tokens(raw):
             yield pd.Series([sum(map(counts.__getitem__, _CHUNK.findall(t.encode("utf-8", "replace").decode("utf-8"))))
                              if t else 0 for t in s], dtype="int64")
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "long")
+    return F.pandas_udf(giving_back(run), "long")

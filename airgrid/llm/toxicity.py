@@ -28,8 +28,9 @@ from airgrid.llm.common import widest
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 3000, 5000, 3000
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 50_000
 SMOOTHING = 60.0
+MAX_RATE = 0.3               # of one word; a value of a feature, not a limit of the text that is read
 
 
 @dataclass(frozen=True)
@@ -56,20 +57,23 @@ def word_counts(text: str | None) -> Counter:
 
 
 def rate_scale(n_words: int) -> float:
-    """Turns a count into a smoothed rate: 1.0 is one occurrence in fifty words."""
+    """Turns a count into a smoothed rate: 1.0 is one occurrence in fifty words.
+
+    A word counts up to ``MAX_RATE``, so that a text which repeats a few words without
+    end is worth no more in the fit than any other."""
     return 50.0 / (n_words + SMOOTHING)
 
 
 def doc_features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature ids of a whole text and their smoothed rates."""
-    counts: Counter = Counter()
+    """Sorted feature ids of a whole text and the sums of their words' bounded rates."""
+    rates: Counter = Counter()
     words = word_counts(text)
+    scale = rate_scale(sum(words.values()))
     for w, c in words.items():
         for i in word_features(w, bits):
-            counts[i] += c
-    ids = np.array(sorted(counts), dtype=np.int32)
-    rates = np.array([counts[i] for i in ids.tolist()], dtype=np.float32) * np.float32(rate_scale(sum(words.values())))
-    return ids, rates
+            rates[i] += min(c * scale, MAX_RATE)
+    ids = np.array(sorted(rates), dtype=np.int32)
+    return ids, np.array([rates[i] for i in ids.tolist()], dtype=np.float32)
 
 
 # ---- training (bounded sample) ------------------------------------------------
@@ -96,12 +100,9 @@ def _gradient(x: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray, size:
     return np.bincount(cols, np.repeat(d, np.diff(starts)) * vals, minlength=size)
 
 
-def _moments(rows: Rows, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per feature: mean rate, its variance and the number of rows that have it."""
-    ids, vals = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(float)
-    mean = np.bincount(ids, vals, minlength=size) / len(rows)
-    var = np.bincount(ids, vals * vals, minlength=size) / len(rows) - mean * mean
-    return mean, np.maximum(var, 0), np.bincount(ids, minlength=size)
+def _rows_with(rows: Rows, size: int) -> np.ndarray:
+    """Per feature: the number of rows that have it."""
+    return np.bincount(np.concatenate([i for i, _ in rows]), minlength=size)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def fit_nnpu(pos: Rows, unl: Rows, prior: float, bits: int = 18, members: int =
              min_rows: int = 3, min_z: float = 4.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Mean weights of ``members`` classifiers, each trained on its own bootstrap of U.
 
-    Only features whose mean rates in P and U differ by ``min_z`` standard
+    Only features whose shares of rows in P and U differ by ``min_z`` standard
     errors take part: a linear model over every hashed feature would learn the
     positives by heart.  No positive example gives zero weights and the prior's
     log odds as bias.
@@ -121,12 +122,9 @@ def fit_nnpu(pos: Rows, unl: Rows, prior: float, bits: int = 18, members: int =
     weights, bias = np.zeros(1 << bits), float(np.log(prior / (1 - prior)))
     if not pos or not unl:
         return weights, bias
-    mean_p, var_p, in_p = _moments(pos, 1 << bits)
-    mean_u, var_u, in_u = _moments(unl, 1 << bits)
-    n_p, n_u = len(pos), len(unl)
-    mean = (n_p * mean_p + n_u * mean_u) / (n_p + n_u)
-    pooled = (n_p * (var_p + (mean_p - mean) ** 2) + n_u * (var_u + (mean_u - mean) ** 2)) / (n_p + n_u)
-    z = (mean_p - mean_u) / np.sqrt(pooled * (1 / n_p + 1 / n_u) + 1e-12)
+    in_p, in_u, n_p, n_u = _rows_with(pos, 1 << bits), _rows_with(unl, 1 << bits), len(pos), len(unl)
+    share = (in_p + in_u) / (n_p + n_u)
+    z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
     ids = np.flatnonzero((in_p + in_u >= min(min_rows, len(pos))) & (np.abs(z) >= min_z))
     keep = np.full(1 << bits, -1, dtype=np.int64)
     keep[ids] = np.arange(len(ids))
@@ -195,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
 
     ``usable``: Column condition on the id that says which rows may be learnt from.
     Draws are ordered by a hash of the id, so they do not depend on partitioning.
-    Null ids or labels are not used; no labels at all give a constant score.
+    Null ids or labels are not used; no labels at all give a constant score.  Ids may
+    be of any type that orders; of rows that repeat an id one is learnt from.
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.lit("toxicity"), F.col("id"))
@@ -235,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
             .join(F.broadcast(chosen), "id")          # size bound: the three limits above
             .groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("id", "text"), F.col("text"))).alias("text"))
             .repartition(widest(docs))                # one row per drawn id, however often it is repeated
-            .mapInPandas(extract, "id long, ids binary, rates binary").collect())
+            .mapInPandas(extract, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, rates binary").collect())
     pos, unl, cal, y = [], [], [], []
     for r in sorted(rows, key=lambda r: (r["id"], bytes(r["ids"]))):
         ids = (np.frombuffer(bytes(r["ids"]), dtype=np.int32), np.frombuffer(bytes(r["rates"]), dtype=np.float32))
@@ -262,14 +261,15 @@ def make_scorer(model: PuModel):
 
     def score(text: str | None) -> float:
         words, total = word_counts(text), 0.0
+        scale = rate_scale(sum(words.values()))
         for word, n in words.items():
             s = cache.get(word)
             if s is None:
                 if len(cache) > _CACHE_WORDS:
                     cache.clear()
                 s = cache[word] = float(sum(w[i] for i in word_features(word, bits)))
-            total += n * s
-        z = (total * rate_scale(sum(words.values())) + model.bias) * model.slope + model.shift
+            total += min(n * scale, MAX_RATE) * s
+        z = (total + model.bias) * model.slope + model.shift
         return float(1.0 / (1.0 + np.exp(-min(40.0, max(-40.0, z)))))
     return score
 

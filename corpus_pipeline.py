@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm import decontam, omh, packing, pii, toxicity
-from airgrid.llm.common import stored, table
+from airgrid.llm.common import bound_batches, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays, once."""
+    bound_batches(spark)
     return omh.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -32,6 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data is replaced by its kind; n_chars follows the new text."""
+    bound_batches(spark)
     base = docs.select(*COLUMNS)
     clean = base.withColumn("text", pii.scrub(base, pii.train(base)))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")).select(*COLUMNS)
@@ -39,6 +41,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length bucket, batch and slot of every remaining document."""
+    bound_batches(spark)
     return packing.pack_texts(docs.select(*COLUMNS))
 
 
@@ -49,7 +52,7 @@ ORACLE_SQL = None          # trained models are not expressible in SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is stored before the next stage reads it."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs = table(bound_batches(spark), sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

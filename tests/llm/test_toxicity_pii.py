@@ -134,7 +134,6 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p[i] for i in p if truth[i]) >= 0.3 * sum(truth[i] for i in p)
 
 
-@pytest.mark.xfail(reason="known weakness: about 30 toxic examples give word prefixes wrong signs, and rates are not capped")
 def test_toxicity_of_a_text_of_nothing_but_insults(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(90002, "pathetic loser scum " * 20000)], "doc_id long, text string"))
