@@ -119,6 +119,13 @@ def p01_asof_subhour(spark, sf_dir):
     return fc.asof_weather(tg, w, "target")
 
 
+@query("v07_one_step_naive", _SCORED + "\nSELECT " + sp.r("avg(abs(pm25_next - pm25))", "baseline_MAE") +
+       ", CAST(count(*) AS BIGINT) AS n FROM sc WHERE pm25 IS NOT NULL")
+def v07_one_step_naive(spark, sf_dir):
+    """MAE of the value one hour before the target (the other baseline is two hours before it)."""
+    return metrics.baseline_mae(_scored(spark, sf_dir), naive="pm25")
+
+
 # ------------------------------------------------------------------ P03 -------
 _P03_STATE = sp.forecast_state("r._rn = (SELECT max(r2._rn) FROM rows r2 WHERE r2.location = r.location)")
 _P03_SQL = (WITH_BASE + ",\n" + _P03_STATE + ",\n" + sp.recursion() + "\n" + "\nUNION ALL ".join(
@@ -204,6 +211,15 @@ def p08_walk_forward(spark, sf_dir):
     return _backtest(spark, sf_dir)
 
 
+@query("p08_last_row_weather", WITH_BASE + ",\n" + sp.forecast_state("r._rn >= 48 AND r._rn <= r._n - 13", truth=True, last_row=True) +
+       ",\n" + sp.recursion() + "\n" + "\nUNION ALL ".join(
+           f"SELECT location, origin AS forecast_origin, CAST({s} AS BIGINT) AS horizon, {sp.r(f'p{s}', 'y_pred')} FROM r12" for s in HZ))
+def p08_last_row_weather(spark, sf_dir):
+    """The backtest with the last weather row for every target hour."""
+    out = fc.backtest(cm.base(spark, sf_dir), _weather(spark, sf_dir), fc.BLEND, None, weather_rule="last_row")
+    return out.select("location", "forecast_origin", "horizon", "y_pred")
+
+
 @query("v08_metrics_by_horizon", _P08_SQL + "\nSELECT CAST(horizon AS BIGINT) AS horizon, " +
        sp.r("sqrt(avg(pow(y_true - y_pred, 2)))", "RMSE") + ", " + sp.r("avg(abs(y_true - y_pred))", "MAE") +
        ", CAST(count(*) AS BIGINT) AS n FROM bt WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY horizon")

@@ -178,6 +178,36 @@ def t06_target(spark, sf_dir):
     return splits.add_target(p.train).select("location", "datetime", "pm25", "pm25_next")
 
 
+@query("t06_target_consistent", WITH_FEATS + "\nSELECT location, datetime, " + sp.r("pm25", "pm25_next") + ", " +
+       sp.r("pm25_lag1 - pm25_lag3", "pm25_trend_3h") + " FROM ftrain")
+def t06_target_consistent(spark, sf_dir):
+    """Target and trend aligned as in a forecast: a row's features predict the row itself."""
+    tr, _, _ = cm.train_features(spark, sf_dir)
+    return splits.add_target(tr, align="consistent").select("location", "datetime", "pm25_next", "pm25_trend_3h")
+
+
+@query("t05_keep_context", WITH_PANELS + ",\n" + sp.FIT + ",\n" + sp.features_cte("fctx", "ctx") +
+       "\nSELECT c.location, c.datetime, " + ", ".join(sp.r(f"c.{x}", x) for x in ("pm25_lag24", "pm25_roll24", "temp_change_3h")) +
+       " FROM fctx c WHERE EXISTS (SELECT 1 FROM test_raw t WHERE t.location = c.location AND t.datetime = c.datetime)")
+def t05_keep_context(spark, sf_dir):
+    """Test features built before the train context is removed: the first test rows keep their lags."""
+    prep = splits.prepare_panels(cm.base(spark, sf_dir), keep_context=True)
+    feats, _ = features.build_features(prep.test, features.fit_spatial(prep.train))
+    return splits.drop_context(feats, prep).select("location", "datetime", "pm25_lag24", "pm25_roll24", "temp_change_3h")
+
+
+@query("c09_forward_fill", WITH_BASE + """,
+n AS (SELECT *, row_number() OVER w AS rn FROM base WINDOW w AS (PARTITION BY location ORDER BY datetime)),
+p AS (SELECT location, datetime, """ + ", ".join(
+    f"last_value({c} IGNORE NULLS) OVER b AS {c}, rn - last_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS {c}_age"
+    for c in ("no2", "pm10", "pm25", "so2")) + """ FROM n
+      WINDOW b AS (PARTITION BY location ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT location, datetime, """ + ", ".join(sp.r(f"CASE WHEN {c}_age <= 3 THEN {c} END", c) for c in ("no2", "pm10", "pm25", "so2")) + " FROM p")
+def c09_forward_fill(spark, sf_dir):
+    """Gap filling that repeats the last value: no filled value uses a later one."""
+    return clean.interpolate_pollutants(cm.base(spark, sf_dir), fill="forward").select("location", "datetime", "no2", "pm10", "pm25", "so2")
+
+
 _REQ_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in REQUIRED_COLUMNS)
 _T07_COLS = ["location", "datetime"] + REQUIRED_COLUMNS
 

@@ -275,7 +275,7 @@ def padl(expr: str, n: int) -> str:
     return f"list_reverse(list_resize(list_reverse({expr}), {n}))"
 
 
-def forecast_state(origin_where: str, truth: bool = False) -> str:
+def forecast_state(origin_where: str, truth: bool = False, last_row: bool = False) -> str:
     """CTEs from ``base`` (and ``wxd``) to ``st``: one row per origin with the state lists."""
     wcols = ["temperature", "humidity", "wind_speed"]
     extra = ", count(*) OVER (PARTITION BY location) AS _n" if truth else ""
@@ -304,7 +304,8 @@ def forecast_state(origin_where: str, truth: bool = False) -> str:
         "list(coalesce(w.humidity, (SELECT humidity FROM wlast)) ORDER BY tg.s) AS fh, "
         "list(coalesce(w.wind_speed, (SELECT wind_speed FROM wlast)) ORDER BY tg.s) AS fv, "
         "list(coalesce(w.precipitation, (SELECT precipitation FROM wlast)) ORDER BY tg.s) AS fp "
-        "FROM tg ASOF LEFT JOIN wxd w ON tg.target >= w.datetime GROUP BY tg.origin)",
+        + ("FROM tg LEFT JOIN wxd w ON false GROUP BY tg.origin)" if last_row else
+           "FROM tg ASOF LEFT JOIN wxd w ON tg.target >= w.datetime GROUP BY tg.origin)"),
         "st AS (SELECT s.*, list_concat(s.t3, f.ft) AS wt, list_concat(s.h3, f.fh) AS wh, "
         "list_concat(list_slice(s.w6, 4, 6), f.fv) AS ww, list_concat(s.w6, f.fv) AS wf, f.fp AS wp "
         "FROM st0 s JOIN fw f ON s.origin = f.origin)",

@@ -12,7 +12,8 @@ or after it:
 This is pandas ``interpolate(limit=limit, limit_direction="forward")`` on
 equally spaced rows.  Interior gaps are drawn toward the *next* valid reading,
 so a filled value uses data after it (kept on purpose for the training panel;
-backtests use prefix-only views instead).
+backtests use prefix-only views instead).  With ``fill="forward"`` a gap repeats its
+last value, so no filled value looks ahead.
 """
 
 from __future__ import annotations
@@ -50,17 +51,19 @@ def _parts(c: str, w: WindowSpec, key: str | None = KEY,
 
 
 def fill_expr(c: str, pi: Column, px: Column, ni: Column, nx: Column,
-              limit: int = INTERP_LIMIT) -> Column:
-    rn = F.col(_RN)
+              limit: int = INTERP_LIMIT, fill: str = "linear", at: str = _RN) -> Column:
+    if fill not in ("linear", "forward"):
+        raise ValueError("fill must be linear or forward")
+    rn = F.col(at)
     x = F.col(c)
-    return (F.when(x.isNotNull(), x)
-            .when(pi.isNull() | ((rn - pi) > limit), F.lit(None).cast("double"))
-            .when(ni.isNull(), px)
-            .otherwise(px + (nx - px) * (rn - pi) / (ni - pi)))
+    out = F.when(x.isNotNull(), x).when(pi.isNull() | ((rn - pi) > limit), F.lit(None).cast("double"))
+    if fill == "forward":
+        return out.otherwise(px)
+    return out.when(ni.isNull(), px).otherwise(px + (nx - px) * (rn - pi) / (ni - pi))
 
 
 def interpolate(df: DataFrame, cols: list[str], key: str | None = KEY,
-                time: str = TIME, limit: int = INTERP_LIMIT) -> DataFrame:
+                time: str = TIME, limit: int = INTERP_LIMIT, fill: str = "linear") -> DataFrame:
     """Fill ``cols`` in place per ``key`` group (``key=None``: one global order).
 
     ``key=None`` is meant for tables with one row per hour (the weather grid);
@@ -71,7 +74,7 @@ def interpolate(df: DataFrame, cols: list[str], key: str | None = KEY,
     filled = {}
     for c in cols:
         pi, px, ni, nx = _parts(c, w, key, time)
-        filled[c] = fill_expr(c, pi, px, ni, nx, limit)
+        filled[c] = fill_expr(c, pi, px, ni, nx, limit, fill)
     return out.withColumns(filled).drop(_RN)
 
 
@@ -89,7 +92,7 @@ def interpolation_state(df: DataFrame, cols: list[str], key: str | None = KEY,
 
 
 def interpolate_chunked(df: DataFrame, cols: list[str], chunk_hours: int, key: str = KEY,
-                        time: str = TIME, limit: int = INTERP_LIMIT) -> DataFrame:
+                        time: str = TIME, limit: int = INTERP_LIMIT, fill: str = "linear") -> DataFrame:
     """The same fill on (station, time block) partitions, for a gap-free hourly panel.
 
     Row positions are hour indices.  The backward part needs the previous valid
@@ -122,9 +125,6 @@ def interpolate_chunked(df: DataFrame, cols: list[str], chunk_hours: int, key: s
         px = F.last(x, ignorenulls=True).over(back)
         ni = F.coalesce(F.last(pos, ignorenulls=True).over(ahead), F.col(f"_a_{c}.h"))
         nx = F.coalesce(F.last(x, ignorenulls=True).over(ahead), F.col(f"_a_{c}.x"))
-        filled[c] = (F.when(x.isNotNull(), x)
-                     .when(pi.isNull() | ((h - pi) > limit), F.lit(None).cast("double"))
-                     .when(ni.isNull(), px)
-                     .otherwise(px + (nx - px) * (h - pi) / (ni - pi)))
+        filled[c] = fill_expr(c, pi, px, ni, nx, limit, fill, "_h")
     out = j.withColumns(filled).where(~F.col(HALO))
     return out.select(*df.columns)

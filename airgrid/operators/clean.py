@@ -141,21 +141,24 @@ CHUNK_HOURS = 30 * 24
 
 
 def interpolate_pollutants(df: DataFrame, cols: list[str] = POLLUTANTS,
-                           limit: int = INTERP_LIMIT, chunk_hours: int | None = CHUNK_HOURS) -> DataFrame:
+                           limit: int = INTERP_LIMIT, chunk_hours: int | None = CHUNK_HOURS,
+                           fill: str = "linear") -> DataFrame:
     """Per station, linear by row position, forward, at most ``limit`` rows per gap.
 
+    ``fill="forward"`` repeats the last value instead, so that no filled value looks ahead.
+
     With ``chunk_hours`` (the default) the windows run on (station, time block)
     partitions (``interpolate_chunked``), exact on the gap-free hourly panel;
     ``None`` uses one window partition per station.
     """
     cols = [c for c in cols if c in df.columns]
     if chunk_hours:
-        return interpolate_chunked(df, cols, chunk_hours, KEY, TIME, limit)
-    return interpolate(df, cols, KEY, TIME, limit)
+        return interpolate_chunked(df, cols, chunk_hours, KEY, TIME, limit, fill)
+    return interpolate(df, cols, KEY, TIME, limit, fill)
 
 
 def interpolate_weather(df: DataFrame, cols: list[str] = WEATHER_COLS,
-                        limit: int = INTERP_LIMIT) -> DataFrame:
+                        limit: int = INTERP_LIMIT, fill: str = "linear") -> DataFrame:
     """The same rule over the one-row-per-hour weather of the panel.
 
     Deliberate fix: gaps are filled along time on the distinct hours of the
@@ -164,13 +167,13 @@ def interpolate_weather(df: DataFrame, cols: list[str] = WEATHER_COLS,
     single ordered window over it is cheap; it is joined back on ``datetime``.
     """
     hours = df.groupBy(TIME).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
-    filled = interpolate(hours, cols, None, TIME, limit)
+    filled = interpolate(hours, cols, None, TIME, limit, fill)
     return df.drop(*cols).join(filled, TIME, "left").select(*df.columns)
 
 
-def interpolate_station(df: DataFrame, limit: int = INTERP_LIMIT) -> DataFrame:
+def interpolate_station(df: DataFrame, limit: int = INTERP_LIMIT, fill: str = "linear") -> DataFrame:
     """C09 + C10 on a base-shaped panel."""
-    return interpolate_pollutants(interpolate_weather(df, limit=limit), limit=limit)
+    return interpolate_pollutants(interpolate_weather(df, limit=limit, fill=fill), limit=limit, fill=fill)
 
 
 def build_base_dataset(pollution: DataFrame, weather: DataFrame, materialize: bool = True) -> DataFrame:

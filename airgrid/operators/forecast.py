@@ -247,8 +247,16 @@ def origin_state(base: DataFrame, weather_hours: DataFrame | None = None,
     return state
 
 
-def future_weather(origins: DataFrame, weather: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """Per distinct origin time: arrays of the as-of weather for the next ``horizon`` hours."""
+def future_weather(origins: DataFrame, weather: DataFrame, horizon: int = HORIZON, rule: str = "asof") -> DataFrame:
+    """Per distinct origin time: arrays of the as-of weather for the next ``horizon`` hours.
+
+    ``rule="last_row"`` gives every hour the table's last row: what is left of the as-of
+    rule when the forecast table begins after all target hours.
+    """
+    if rule not in ("asof", "last_row"):
+        raise ValueError("rule must be asof or last_row")
+    if rule == "last_row":
+        weather = weather.orderBy(F.col(TIME).desc()).limit(1)
     o = origins.select(TIME).distinct()
     t = o.select(TIME, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_s"))
     t = t.withColumn("target", F.col(TIME) + F.make_dt_interval(F.lit(0), F.col("_s")))
@@ -503,7 +511,7 @@ def forecast_latest(base: DataFrame, weather: DataFrame, model: Forecaster, fit=
 
 
 def backtest(base: DataFrame, weather: DataFrame, model: Forecaster, fit=None,
-             lag_hours: int = 48, horizon: int = HORIZON) -> DataFrame:
+             lag_hours: int = 48, horizon: int = HORIZON, weather_rule: str = "asof") -> DataFrame:
     """Walk-forward over every origin with ``lag_hours`` history and ``horizon`` truth rows.
 
     Origin rows are the ``lag_hours``-th through the ``(n - horizon - 1)``-th row of a
@@ -514,7 +522,7 @@ def backtest(base: DataFrame, weather: DataFrame, model: Forecaster, fit=None,
     st = origin_state(base, truth=horizon)
     st = st.where((F.col("_rn") >= lag_hours) & (F.col("_rn") <= F.col("_n") - horizon - 1))
     st = cut_lineage(st)
-    full = assemble_state(st, future_weather(st, weather, horizon), keep=["_truth"])
+    full = assemble_state(st, future_weather(st, weather, horizon, weather_rule), keep=["_truth"])
     fc = recursive_forecast(full, model, fit, horizon, truth="_truth")
     return fc.select(KEY, F.col("origin").alias("forecast_origin"), "horizon", "y_true",
                      F.col("pm25_pred").alias("y_pred"))

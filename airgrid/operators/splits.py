@@ -60,8 +60,18 @@ def restrict_to(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys.select(KEY, TIME).distinct(), [KEY, TIME], "left_semi")
 
 
-def add_target(df: DataFrame, col: str = "pm25", name: str = TARGET) -> DataFrame:
-    """The next row's value per station."""
+def add_target(df: DataFrame, col: str = "pm25", name: str = TARGET, align: str = "reference") -> DataFrame:
+    """The next row's value per station.
+
+    In forecasts the features of a future row predict that row itself.  With
+    ``align="consistent"`` training does the same: the target is the row's own value
+    and the trend starts from the value before it, as it does in a future row.
+    """
+    if align not in ("reference", "consistent"):
+        raise ValueError("align must be reference or consistent")
+    if align == "consistent":
+        trend = {"pm25_trend_3h": F.col("pm25_lag1") - F.col("pm25_lag3")} if "pm25_trend_3h" in df.columns else {}
+        return df.withColumns({name: F.col(col), **trend})
     return df.withColumn(name, F.lead(col, 1).over(Window.partitionBy(KEY).orderBy(TIME)))
 
 
@@ -149,12 +159,16 @@ class PreparedData:
     train: DataFrame            # gap-filled train panel
     test: DataFrame             # gap-filled test panel (after the 24-row context pass)
     split_us: float
+    test_rows: DataFrame | None = None      # keys of the test rows, where ``test`` still holds its context
 
 
-def prepare_panels(base: DataFrame, q: float = 0.75, context: int = 24,
-                   materialize: bool = True) -> PreparedData:
+def prepare_panels(base: DataFrame, q: float = 0.75, context: int = 24, materialize: bool = True,
+                   keep_context: bool = False) -> PreparedData:
     """T01 + C09/C10 + T03-T05 as the offline job does it.
 
+    With ``keep_context`` the test panel keeps the train rows before it, so that the
+    first test rows have their lags; ``drop_context`` removes them after the features.
+
     The gap-filled train and test panels are the job's hand-off tables; with
     ``materialize`` they are cut with reliable checkpoints, so the feature
     builds, the spatial fit and the test context read them instead of
@@ -165,7 +179,14 @@ def prepare_panels(base: DataFrame, q: float = 0.75, context: int = 24,
     train = interpolate_station(train_raw)
     if materialize:
         train = cut_lineage(train)
-    test = restrict_to(with_context(train, test_raw, context), test_raw)
+    test = with_context(train, test_raw, context)
+    if not keep_context:
+        test = restrict_to(test, test_raw)
     if materialize:
         test = cut_lineage(test)
-    return PreparedData(base, train, test, split_us)
+    return PreparedData(base, train, test, split_us, test_raw.select(KEY, TIME) if keep_context else None)
+
+
+def drop_context(features: DataFrame, data: PreparedData) -> DataFrame:
+    """The rows of ``features`` that are test rows."""
+    return features if data.test_rows is None else restrict_to(features, data.test_rows)
