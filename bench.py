@@ -17,10 +17,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from airgrid.operators import clean, explore, features, splits  # noqa: E402
+from airgrid.operators import clean, explain, explore, features, models, splits  # noqa: E402
 from airgrid.operators import forecast as fc  # noqa: E402
-from airgrid.session import get_spark  # noqa: E402
+from airgrid.schemas import TARGET  # noqa: E402
+from airgrid.session import get_spark, scratch_path  # noqa: E402
 from airgrid.sources import fixtures  # noqa: E402
+from airgrid.streaming import hourly, live  # noqa: E402
 
 
 def run(df) -> None:
@@ -67,7 +69,29 @@ def main() -> None:
     timed("q5_forecast_all_stations", lambda: run(fc.forecast_latest(base, wxd, fc.BLEND, None)))
     timed("q6_walk_forward_backtest", lambda: run(fc.backtest(base, wxd, fc.BLEND, None)))
 
-    total = round(sum(times.values()), 3)
+    # Models, explanations and the stream at three stations: their cost is per pass, not per row.
+    small, small_wx = fixtures.load(spark, sf_dir, 3)
+    few = clean.base_from_measurements(small, small_wx).persist()
+    prep = splits.prepare_panels(few)
+    train, fit = features.build_features(prep.train)
+    test, _ = features.build_features(prep.test, fit)
+    train, test = (splits.complete_cases(splits.add_target(d)).persist() for d in (train, test))
+    run(test.select(TARGET))
+    held = {}
+    cut = {**models.PRESETS["HistGB"], "rounds": 100}
+    timed("q7_boosting_100_rounds", lambda: held.update(m=models.fit_model(train, "HistGB", cut)))
+    timed("q8_tree_attributions", lambda: run(explain.tree_attributions(test, held["m"])))
+    timed("q9_tree_backtest", lambda: run(fc.backtest(few, clean.dedup_weather(small_wx), models.as_forecaster([held["m"]]), fit)))
+
+    def stream():
+        raw, _ = fixtures.load(spark, sf_dir, 3, hourly=False)
+        src, sink = scratch_path(spark, "bench-landing"), scratch_path(spark, "bench-sink")
+        hourly.land_in_order(raw, src, chunk_days=5)
+        live.run_live(spark, src, sink, scratch_path(spark, "bench-ckpt"), files_per_trigger=1)
+        run(live.read_live(spark, sink))
+    timed("q10_live_panel", stream)
+
+    total = round(sum(times[q] for q in times if int(re.match(r"q(\d+)", q)[1]) <= 6), 3)     # as in the rounds before
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_headline_seconds", "value": total, "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else sf_dir,
