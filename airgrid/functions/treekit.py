@@ -67,9 +67,12 @@ def best_split(hist: np.ndarray, g: float, h: float, n: int, lim: GrowthLimits,
     Rows with code <= bin go left.  Both sides are tried for missing values; without
     any in the node they go to the larger child.  Ties take the first feature, bin, side.
     """
+    given = np.arange(len(hist)) if allowed is None else np.flatnonzero(allowed)
+    hist = hist if allowed is None else hist[given]
     lost = hist[:, MISSING]
     has_missing = lost[:, 2].any()
-    below = np.cumsum(hist[:, :MISSING], axis=1)
+    bins = min(MISSING, int(np.flatnonzero(hist[:, :MISSING, 2].any(axis=0)).max(initial=0)) + 1)
+    below = np.cumsum(hist[:, :bins], axis=1)
     sides = [below, below + lost[:, None, :]] if has_missing else [below]
     best = None
     whole = g * g / (h + lim.l2) if h + lim.l2 > 0 else 0.0
@@ -79,18 +82,15 @@ def best_split(hist: np.ndarray, g: float, h: float, n: int, lim: GrowthLimits,
         ok = (nl >= lim.min_leaf) & (nr >= lim.min_leaf) & (nl > 0) & (nr > 0)
         if lim.min_weight > 0:
             ok &= (hl >= lim.min_weight) & (hr >= lim.min_weight)
-        if allowed is not None:
-            ok &= allowed[:, None]
         if not ok.any():
             continue
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(ok, gl * gl / (hl + lim.l2) + (g - gl) ** 2 / (hr + lim.l2) - whole, -np.inf)
-        i = int(gain.argmax())
-        f, b = divmod(i, MISSING)
+        f, b = divmod(int(gain.argmax()), bins)
         top = float(gain[f, b])
         if top > 1e-12 * max(1.0, abs(whole)) and (best is None or top > best[0]):
             to_left = bool(side) if lost[f, 2] > 0 else bool(nl[f, b] >= nr[f, b])
-            best = (top, f, b, to_left, int(nl[f, b]), float(gl[f, b]), float(hl[f, b]))
+            best = (top, int(given[f]), b, to_left, int(nl[f, b]), float(gl[f, b]), float(hl[f, b]))
     return best
 
 

@@ -21,6 +21,7 @@ per-partition arrays, as in Spark ML's own boosting.
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 from collections.abc import Iterator
@@ -41,6 +42,7 @@ from airgrid.session import ensure_checkpoint_dir, scratch_path
 BLOCK_ROWS = 65_536          # rows of one block of arrays
 CARRY = 16                   # rounds whose trees are applied on the fly before scores are carried on
 CHECKPOINT_EVERY = 8         # carried states between two checkpoints
+_AT_ONCE = 16                # partitions whose contents the driver merges without a step between
 GROUP_NODES = 256            # nodes whose histograms one forest job makes
 
 
@@ -216,49 +218,83 @@ class _Boosting:
     carried: int = 0
 
     def __post_init__(self):
-        start = self.data.mean
-        self.state = self.data.blocks.map(lambda b: (*b, np.full(len(b[1]), start)))
+        self.state = self.data.blocks.mapPartitions(_Start(self.data.mean))
         self.state.persist(StorageLevel.MEMORY_AND_DISK)
 
     def carry(self) -> None:
         """Put the pending trees into the scores; the old state goes when the new one is held."""
         trees, old = self.pending, self.state
-        self.state = old.map(lambda b: (*b[:3], _advance(b, trees)))
+        self.state = old.mapPartitions(_Carry(trees))
         self.state.persist(StorageLevel.MEMORY_AND_DISK)
         self.carried += 1
         if self.carried % CHECKPOINT_EVERY == 0:
             ensure_checkpoint_dir(SparkSession.active())
             self.state.checkpoint()
-        self.state.foreach(lambda b: None)
+        self.state.count()
         old.unpersist()
         self.pending = []
 
     def contents(self, tree: int, shape: dict | None, wanted: dict[int, str]) -> dict:
         """For node -> "hist" or "rows": what the blocks hold of it, merged."""
-        pending, spec = self.pending, self.spec
+        spec = self.spec
         sampled = spec.row_share < 1.0 and spec.row_every > 0
-        epoch = tree // spec.row_every if sampled else 0
-
-        def look(block: tuple) -> dict:
-            codes, y, ids, _ = block
-            g = _advance(block, pending) - y
-            if sampled:
-                kept = kit.draw(ids, spec.seed, epoch) < spec.row_share
-                codes, g = codes[kept], g[kept]
-            at = kit.leaf_of(shape, codes) if shape is not None else np.zeros(len(codes), np.int64)
-            out = {}
-            for i, kind in wanted.items():
-                here = at == i if shape is not None else slice(None)
-                c, gi = codes[here], g[here]
-                out[i] = (kind, kit.histogram(c, gi, None) if kind == "hist" else (c, gi))
-            return out
-
-        return self.state.map(look).treeReduce(_merge, 2)
+        parts = self.state.mapPartitions(_Look(self.pending, shape, wanted, spec.row_share if sampled else None, spec.seed,
+                                               tree // spec.row_every if sampled else 0))
+        if parts.getNumPartitions() > _AT_ONCE:
+            return parts.treeReduce(_merge, 2)
+        return functools.reduce(_merge, parts.collect())
 
     def close(self) -> None:
         self.state.unpersist()
 
 
+# Task functions as classes: they pickle by name, which a short job notices.
+
+@dataclass
+class _Start:
+    mean: float
+
+    def __call__(self, blocks: Iterator[tuple]) -> Iterator[tuple]:
+        for b in blocks:
+            yield (*b, np.full(len(b[1]), self.mean))
+
+
+@dataclass
+class _Carry:
+    trees: list
+
+    def __call__(self, blocks: Iterator[tuple]) -> Iterator[tuple]:
+        for b in blocks:
+            yield (*b[:3], _advance(b, self.trees))
+
+
+@dataclass
+class _Look:
+    """Contents of the wanted nodes in the blocks of a partition."""
+    trees: list
+    shape: dict | None
+    wanted: dict
+    share: float | None
+    seed: int
+    epoch: int
+
+    def one(self, block: tuple) -> dict:
+        codes, y, ids, _ = block
+        g = _advance(block, self.trees) - y
+        if self.share is not None:
+            kept = kit.draw(ids, self.seed, self.epoch) < self.share
+            codes, g = codes[kept], g[kept]
+        at = kit.leaf_of(self.shape, codes) if self.shape is not None else None
+        out = {}
+        for i, kind in self.wanted.items():
+            c, gi = (codes, g) if at is None else (codes[at == i], g[at == i])
+            out[i] = (kind, kit.histogram(c, gi, None) if kind == "hist" else (c, gi))
+        return out
+
+    def __call__(self, blocks: Iterator[tuple]) -> Iterator[dict]:
+        yield functools.reduce(_merge, map(self.one, blocks), {})
+
+
 def _advance(block: tuple, trees: list[dict]) -> np.ndarray:
     score = block[3]
     for t in trees:
