@@ -3,7 +3,7 @@
 from airgrid.operators import clean, models
 from airgrid.operators import forecast as fc
 from airgrid.plans import backtest, offline, serving
-from airgrid.sources import fixtures
+from airgrid.sources import files, fixtures
 
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ def test_offline_job_and_backtest_plan(spark):
     # serving with the stored model: five drivers for every step
     loaded = serving.load_forecaster(spark, res.model_path)
     names = res.training.members if res.training.best == "ENSEMBLE" else [res.training.best]
-    assert [m.name for m in loaded.members] == names
+    assert [m.name for m in files.load_models(spark, res.model_path)] == names and len(loaded.parts) == len(names)
     wxd = clean.dedup_weather(wx)
     a = fc.forecast_latest(base, wxd, loaded, res.fit)
     b = fc.forecast_latest(base, wxd, models.as_forecaster([res.training.models[n] for n in names]), res.fit)
