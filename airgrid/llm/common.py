@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 
 import pyarrow as pa
@@ -22,6 +23,16 @@ def bound_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system; its allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                    # another C library
+        pass
+
+
 def giving_back(fn):
     """Wrap a task function over batches: what it held goes back to the system when the task ends.
 
@@ -32,11 +43,7 @@ def giving_back(fn):
         try:
             yield from fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):            # another C library
-                pass
+            give_back()
     return run
 
 

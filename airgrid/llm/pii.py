@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm import tagger
-from airgrid.llm.common import giving_back
+from airgrid.llm.common import give_back, giving_back
 from airgrid.llm.tagger import KINDS, STRIDE, WINDOW
 
 MAX_DOCS, MAX_WINDOWS, MAX_PLANTED = 3000, 6000, 6000
@@ -153,7 +153,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     if len(x):
         more = [plant(x[k % len(x)], y[k % len(x)], np.random.default_rng(k)) for k in range(max_planted)]
         x, y = np.concatenate([x, [a for a, _ in more]]), np.concatenate([y, [b for _, b in more]])
-    return tagger.fit(x, y, epochs=epochs)
+    model = tagger.fit(x, y, epochs=epochs)
+    give_back()
+    return model
 
 
 # ---- planted examples ------------------------------------------------------------

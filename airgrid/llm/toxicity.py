@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import widest
+from airgrid.llm.common import give_back, giving_back, stored, widest
 
 _WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
@@ -101,8 +101,11 @@ def _gradient(x: tuple[np.ndarray, np.ndarray, np.ndarray], d: np.ndarray, size:
 
 
 def _rows_with(rows: Rows, size: int) -> np.ndarray:
-    """Per feature: the number of rows that have it."""
-    return np.bincount(np.concatenate([i for i, _ in rows]), minlength=size)
+    """Per feature: the number of rows that have it (a row names a feature once)."""
+    out = np.zeros(size)
+    for ids, _ in rows:
+        out[ids] += 1
+    return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -128,6 +131,7 @@ def fit_nnpu(pos: Rows, unl: Rows, prior: float, bits: int = 18, members: int =
     ids = np.flatnonzero((in_p + in_u >= min(min_rows, len(pos))) & (np.abs(z) >= min_z))
     keep = np.full(1 << bits, -1, dtype=np.int64)
     keep[ids] = np.arange(len(ids))
+    pos, unl = ([(i[keep[i] >= 0], v[keep[i] >= 0]) for i, v in rows] for rows in (pos, unl))
     total_w, total_b = np.zeros(len(ids)), 0.0
     for m in range(members):
         rng = np.random.default_rng(seed + m)
@@ -230,15 +234,17 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
             yield pd.DataFrame({"id": f["id"], "ids": [i.tobytes() for i, _ in made],
                                 "rates": [v.tobytes() for _, v in made]})
 
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(F.broadcast(chosen), "id")          # size bound: the three limits above
             .groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("id", "text"), F.col("text"))).alias("text"))
             .repartition(widest(docs))                # one row per drawn id, however often it is repeated
-            .mapInPandas(extract, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, rates binary").collect())
+            .mapInPandas(extract, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary, rates binary"))
+    # Stored first, so that the driver reads it partition by partition and not at once.
+    rows = [(r["id"], bytes(r["ids"]), bytes(r["rates"])) for r in stored(made, "toxicity-sample").toLocalIterator()]
     pos, unl, cal, y = [], [], [], []
-    for r in sorted(rows, key=lambda r: (r["id"], bytes(r["ids"]))):
-        ids = (np.frombuffer(bytes(r["ids"]), dtype=np.int32), np.frombuffer(bytes(r["rates"]), dtype=np.float32))
-        is_u, is_p, label = roles[r["id"]]
+    for i, held, rates in sorted(rows):
+        ids = (np.frombuffer(held, dtype=np.int32), np.frombuffer(rates, dtype=np.float32))
+        is_u, is_p, label = roles[i]
         if is_u:
             unl.append(ids)
         if is_p:
@@ -246,9 +252,12 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
         if label is not None:
             cal.append(ids)
             y.append(label)
+    del rows
     w, b = fit_nnpu(pos, unl, prior, bits)
     z = np.array([(w[i] * v).sum() + b for i, v in cal])
     slope, shift = calibrate(z, np.array(y))
+    del pos, unl, cal
+    give_back()
     return PuModel(w, b, slope, shift, prior)
 
 
@@ -278,13 +287,14 @@ def score(docs: DataFrame, model: PuModel, text_col: str = "text", out: str = "s
     """``docs`` plus a score in [0, 1] of each whole text; null and empty texts are scored too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)       # a few MB, fixed by ``bits``
 
-    @F.pandas_udf("double")
+    @giving_back
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = make_scorer(shared.value)
         for s in batches:
             yield pd.Series([f(t) for t in s], dtype="float64")
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn(out, F.pandas_udf(run, "double")(F.col(text_col)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, usable, threshold: float = 0.7) -> DataFrame:
