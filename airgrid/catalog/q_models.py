@@ -7,6 +7,7 @@ and 615 boosting rounds).  One session fits each preset once per input folder.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -93,8 +94,13 @@ def m07_missing_fill(spark, sf_dir):
 
 def _training(spark, sf_dir):
     train, test, fit = _complete(spark, sf_dir)
-    res = _memo(spark, sf_dir, "training", lambda: models.select(
-        {n: _fit(spark, sf_dir, n)[0] for n in models.PRESETS}, test))
+
+    def make():
+        # fits overlap: each is a chain of short jobs
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            fitted = dict(zip(models.PRESETS, pool.map(lambda n: _fit(spark, sf_dir, n)[0], models.PRESETS), strict=True))
+        return models.select(fitted, test)
+    res = _memo(spark, sf_dir, "training", make)
     return res, train, test, fit
 
 

@@ -282,7 +282,7 @@ def select(models: dict[str, FittedModel | TreeModel], test: DataFrame, members:
 
 
 def train_and_select(train: DataFrame, test: DataFrame, presets: dict[str, dict] = PRESETS,
-                     parallel: int = 2, select_on: str = "test") -> TrainingResult:
+                     parallel: int = 4, select_on: str = "test") -> TrainingResult:
     """M02-M10 as the offline job runs them (fits overlap in a small thread pool).
 
     ``select_on="test"`` picks members and best model on the test rows, as the
