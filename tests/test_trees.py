@@ -1,7 +1,9 @@
 """Tree learners against exhaustive search, plain boosting and subset enumeration."""
 
+import dataclasses
 import itertools
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -194,6 +196,71 @@ def test_forest_limits_and_paths_agree(spark, monkeypatch, rows):
         assert flat.cover[a] == w.sum() and np.isclose(np.bincount(at, w[w > 0], b - a)[~inner], flat.cover[a:b][~inner]).all()
 
 
+@pytest.mark.parametrize(("rows", "blocks"), [(10_000, 65_536), (40, 64), (0, 64)])
+def test_only_splits_of_boosted_trees_reach_the_driver(spark, monkeypatch, rows, blocks):
+    """What a job returns is far less than the rows or a histogram of a node, and follows the splits."""
+    from pyspark import RDD
+    seen, collect, reduce = [], RDD.collect, RDD.treeReduce
+
+    def collected(self):
+        seen.append(collect(self))
+        return seen[-1]
+
+    def reduced(self, *a, **k):
+        seen.append(reduce(self, *a, **k))
+        return seen[-1]
+    monkeypatch.setattr(kit, "rows_limit", lambda f: rows)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", blocks)
+    x, y = made(900)
+    df, cols = frame(spark, x, y)
+    data = trees.bin_rows(df, "y", cols)
+    monkeypatch.setattr(RDD, "collect", collected)
+    monkeypatch.setattr(RDD, "treeReduce", reduced)
+    spec = trees.BoostSpec(rounds=4, max_depth=4, max_leaves=9, min_leaf=5)
+    trees.fit_boosting(data, spec)
+    assert seen and max(len(pickle.dumps(r)) for r in seen) < 4_000
+    trees.fit_forest(data, trees.ForestSpec(trees=2, max_depth=3, min_leaf=3))
+    assert max(len(pickle.dumps(r)) for r in seen) < 4_000
+
+
+def test_splits_found_ahead_give_the_tree_of_single_steps():
+    """A subtree grown with the leaves that are left holds all that best-first growth takes from it."""
+    x, y = made(500, missing=0)
+    edges = [(np.unique(c)[1:] + np.unique(c)[:-1]) / 2 for c in x.T]
+    edges = [e[::max(1, len(e) // 200)] for e in edges]
+    codes, g, lim = kit.bin_codes(x, edges), y.mean() - y, GrowthLimits(max_leaves=12, min_leaf=4)
+    want = kit.flatten(kit.grow(Node(0, 500, g.sum(), 500.0, rows=(codes, g, None)), lim), lambda v: v.g)
+
+    def fetch(root, nodes, left):
+        shape = kit.flatten(root, lambda v: 0.0, known=True)
+        held = shape.pop("nodes")
+        at = kit.leaf_of(shape, codes)
+        for k in (k for node in nodes for k in node.kids):
+            here = at == next(i for i, v in enumerate(held) if v is k)
+            grown_ = Node(k.depth, k.n, k.g, k.h, rows=(codes[here], g[here], None))
+            kit.hang(k, kit.found_splits(kit.grow(grown_, dataclasses.replace(lim, max_leaves=left))))
+    root = Node(0, 500, g.sum(), 500.0)
+    top = Node(0, 500, g.sum(), 500.0, rows=(codes, g, None))
+    root.known, root.split = True, kit.best(top, lim)
+    got = kit.flatten(kit.grow(root, lim, None, fetch), lambda v: v.g)
+    for k in ("feature", "bin", "missing_left", "left", "right", "cover"):
+        assert got[k].tolist() == want[k].tolist()
+    assert np.allclose(got["value"], want["value"])
+
+
+def test_packed_trees_come_back_whole():
+    x, y = made(300)
+    for h in (np.ones(300), np.linspace(0.1, 3.0, 300)):
+        _, tree = grown(x, -y, h, GrowthLimits(min_leaf=3))
+        del tree["nodes"]
+        back = kit.unpack(kit.pack(tree))
+        assert all(back[k].dtype == tree[k].dtype and (back[k] == tree[k]).all() for k in tree)
+        assert len(kit.pack(tree)) < 0.6 * sum(v.nbytes for v in tree.values())
+    one = {k: v[:1] for k, v in tree.items()} | {"left": np.array([-1], np.int32), "right": np.array([-1], np.int32)}
+    one |= {"feature": np.zeros(1, np.int32), "bin": np.zeros(1, np.int32), "missing_left": np.zeros(1, bool)}
+    assert all((kit.unpack(kit.pack(one))[k] == one[k]).all() for k in one)
+
+
 def test_edges_and_edge_tables(spark):
     x = np.column_stack([np.arange(1000.0), np.repeat([1.0, 2.0], 500), np.full(1000, np.nan), np.zeros(1000)])
     df, cols = frame(spark, x, np.arange(1000.0))
