@@ -38,14 +38,20 @@ _ROWS = 64
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Occurrence-labelled shingle hashes in text order; fewer than ``k`` words are one shingle."""
-    w = word_hashes(text)
+    return _shingles(word_hashes(text), k)
+
+
+def _shingles(w: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     g = gram_hashes(w, min(k, len(w))) if len(w) else np.empty(0, np.uint64)
     return mix(g + occurrence(g).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def digest(text: str | None) -> bytes:
     """Equal for equal word sequences; wordless texts are compared as they are."""
-    w = word_hashes(text)
+    return _digest(word_hashes(text), text)
+
+
+def _digest(w: np.ndarray, text: str | None) -> bytes:
     return hashlib.blake2b(w.tobytes() if len(w) else (text or "").encode("utf-8", "surrogatepass"),
                            digest_size=16, person=b"words" if len(w) else b"raw").digest()
 
@@ -73,11 +79,13 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(28)
-        if h.shape[1] > take:
-            p = np.argpartition(h, take - 1, axis=1)[:, :take]
-        else:
-            p = np.broadcast_to(np.arange(h.shape[1]), h.shape)
-        both = np.concatenate([best, h[rows, p]], axis=1)
+        p = np.zeros((len(_SEEDS), min(take, h.shape[1])), dtype=np.int64)
+        least = np.empty(p.shape, dtype=np.uint64)
+        for j in range(p.shape[1]):                          # a partition is far slower for so few
+            p[:, j] = h.argmin(axis=1)
+            least[:, j] = h[rows[:, 0], p[:, j]]
+            h[rows[:, 0], p[:, j]] = np.iinfo(np.uint64).max
+        both = np.concatenate([best, least], axis=1)
         where = np.concatenate([place, p + at], axis=1)
         o = np.argsort(both, axis=1, kind="stable")[:, :take]
         best, place = both[rows, o], where[rows, o]
@@ -86,10 +94,13 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     for j in range(take):
         key = mix(key ^ s[order[:, j]])
     h = np.sort(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)       # 256 bins by the top byte
+    top = (h >> np.uint64(56)).astype(np.int64)              # 256 bins by the top byte
+    first = np.flatnonzero(np.diff(top, prepend=-1))
+    bins = top[first]
     sig = np.zeros(SLOTS, dtype=np.uint8)
     sig[bins] = 1 + (h[first] >> np.uint64(20)) % np.uint64(254)       # 255 stays free
-    return key, sig.tobytes(), np.unique((s >> np.uint64(24)).astype(np.uint16)).tobytes()
+    small = np.sort((s >> np.uint64(24)).astype(np.uint16), kind="stable")
+    return key, sig.tobytes(), small[np.append(True, small[1:] != small[:-1])].tobytes()
 
 
 # ---- verification --------------------------------------------------------------
@@ -172,14 +183,20 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 # ---- operator ------------------------------------------------------------------
 
+def _facts(text: str | None) -> tuple[bytes, int, np.ndarray, bytes, bytes]:
+    """(digest, number of shingles, keys, signature, short hashes) from one splitting of the text."""
+    w = word_hashes(text)
+    s = _shingles(w)
+    keys, sig, small = sketch(s) if len(s) else (np.empty(0, np.uint64), b"", b"")
+    return _digest(w, text), len(s), keys.view(np.int64), sig, small
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for i, t in zip(f["doc_id"], f["text"], strict=True):
-                s = shingles(t)
-                keys, sig, small = sketch(s) if len(s) else (np.empty(0, np.uint64), b"", b"")
-                out.append((i, digest(t), len(s), keys.view(np.int64), sig, small))
+                out.append((i, *_facts(t)))
             made = pd.DataFrame(out, columns=["doc_id", "digest", "n", "keys", "sig", "small"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made

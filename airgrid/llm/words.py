@@ -23,15 +23,17 @@ def _byte_table() -> np.ndarray:
 
 
 _TABLE = _byte_table()
+_INSIDE = _TABLE != 0
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift and multiply), wrapping arithmetic."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def _powers(n: int) -> np.ndarray:
@@ -45,22 +47,23 @@ def word_hashes(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, dtype=np.uint64)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    val = _TABLE[raw]
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = val != 0
-    step = np.diff(inside)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _INSIDE[raw]
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = change[::2], change[1::2]
     if not len(start):
         return np.empty(0, dtype=np.uint64)
     # Sum of byte * base**offset with offsets that restart at each word, so equal words
-    # get equal sums wherever they stand.
-    owner = np.maximum(np.cumsum(step[:-1] == 1) - 1, 0)
-    offset = np.maximum(np.arange(len(raw)) - start[owner], 0)
-    longest = int((end - start).max())
-    power = _powers(longest + 1)
-    term = val * power[np.minimum(offset, longest)]
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(term, dtype=np.uint64)])
-    return mix((total[end] - total[start]) ^ ((end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+    # get equal sums wherever they stand.  Separators after a word add nothing to it.
+    at, length = start - start[0], end - start
+    raw = raw[start[0]:end[-1]]
+    offset = np.arange(len(raw)) - np.repeat(at, np.diff(at, append=len(raw)))
+    longest = int(length.max())
+    term = _TABLE[raw]
+    term *= _powers(longest + 1)[np.minimum(offset, longest, out=offset)]
+    total = np.add.reduceat(term, at)
+    total ^= length.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+    return mix(total)
 
 
 def gram_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
