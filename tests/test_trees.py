@@ -223,6 +223,28 @@ def test_only_splits_of_boosted_trees_reach_the_driver(spark, monkeypatch, rows,
     assert max(len(pickle.dumps(r)) for r in seen) < 4_000
 
 
+def test_a_leaf_of_one_block_is_grown_in_one_job(spark, monkeypatch):
+    """A tree whose root's children fit a block takes two jobs, and no more tasks than blocks look for splits."""
+    from pyspark import RDD
+    x, y = made(500, missing=0)
+    df, cols = frame(spark, x, y)
+    spec = trees.BoostSpec(rounds=2, max_depth=5, max_leaves=9, min_leaf=5)
+    whole = trees.fit_trees(df, "m", spec, "y", cols).trees.predict(x)
+    monkeypatch.setattr(kit, "rows_limit", lambda f: 10)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 450)
+    data = trees.bin_rows(df, "y", cols)
+    tasks, collect = [], RDD.collect
+
+    def collected(self):
+        tasks.append(self.getNumPartitions())
+        return collect(self)
+    monkeypatch.setattr(RDD, "collect", collected)
+    got = trees.fit_boosting(data, spec)
+    blocks = data.blocks.getNumPartitions()
+    assert blocks > 1 and len(tasks) == 2 * spec.rounds and max(tasks) <= blocks
+    assert np.allclose(got.predict(x), whole)
+
+
 def test_splits_found_ahead_give_the_tree_of_single_steps():
     """A subtree grown with the leaves that are left holds all that best-first growth takes from it."""
     x, y = made(500, missing=0)
